@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import encoding, splitting
-from folioflow.session import table
+from folioflow.llm import encoding, language, splitting
+from folioflow.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,3 +54,33 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled(_p4_repaired(spark, d)).select("record_kind", "record_id").distinct()
+
+
+def _p5_detected(spark: SparkSession, d: str, segments: bool) -> DataFrame:
+    model = language.fit(table(spark, d, "documents"))
+    chunks = table(spark, d, "chunks").select("vec_rowid", "book_id", "level", "text")
+    return language.detect(chunks, model, segments=segments)
+
+
+@query("p5_segments")
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    found = _p5_detected(spark, d, True).select("vec_rowid", F.posexplode("detected.segments").alias("segment_no", "s"))
+    return found.select("vec_rowid", "segment_no", "s.*")
+
+
+@query("p5_books")
+def p5_books(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "mobi_metadata").select("book_id", "language").distinct()
+    votes = language.book_languages(_p5_detected(spark, d, False).select("book_id", "level", "detected"))
+    return labels.join(votes, "book_id", "left").withColumn("label_lang", language.label_code(F.col("language")))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    # one pass over the texts serves both kinds of record: its small columns are written once
+    small = cut(_p5_detected(spark, d, False).select("vec_rowid", "book_id", "level", F.struct("detected.lang", "detected.confidence", "detected.langs").alias("detected")))
+    mixed = small.filter(F.size("detected.langs") > 1)
+    mixed = mixed.select(F.lit("chunk").alias("record_kind"), F.col("vec_rowid").cast("string").alias("record_id"), F.explode("detected.langs").alias("lang"))
+    labels = table(spark, d, "mobi_metadata").select("book_id", language.label_code(F.col("language")).alias("label")).distinct()
+    wrong = language.book_languages(small).join(labels, "book_id").filter(~F.col("lang").eqNullSafe(F.col("label")))
+    return mixed.union(wrong.select(F.lit("book"), "book_id", "lang")).distinct()
