@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import encoding, language, splitting
+from folioflow.llm import encoding, language, quality, splitting
 from folioflow.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "mobi_metadata").select("book_id", language.label_code(F.col("language")).alias("label")).distinct()
     wrong = language.book_languages(small).join(labels, "book_id").filter(~F.col("lang").eqNullSafe(F.col("label")))
     return mixed.union(wrong.select(F.lit("book"), "book_id", "lang")).distinct()
+
+
+def _p10_kinds(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    common = quality.common_words(table(spark, d, "common_words"))
+    rules = quality.fit_rules(documents, common)
+    return quality.classify(quality.statistics(documents, common), rules).drop("text")
+
+
+@query("p10_statistics")
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _p10_kinds(spark, d)
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p10_kinds(spark, d).filter("kind <> 'prose'").select("doc_id", "kind").distinct()
