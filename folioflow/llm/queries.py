@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import encoding, language, quality, splitting
+from folioflow.llm import encoding, language, pairs, quality, splitting
 from folioflow.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,21 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 @query("p10_found")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return _p10_kinds(spark, d).filter("kind <> 'prose'").select("doc_id", "kind").distinct()
+
+
+def _p7_defects(spark: SparkSession, d: str) -> DataFrame:
+    chats = pairs.pairs_of_chats(table(spark, d, "chatml_lines"))
+    raws = pairs.pairs_of_raw(table(spark, d, "synth_raw_samples"))
+    # parsed once: the end model reads all answers before the pairs are judged
+    both = cut(chats.unionByName(raws))
+    return pairs.defects(both, language.fit(table(spark, d, "documents")), pairs.fit_ends(both))
+
+
+@query("p7_pairs")
+def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _p7_defects(spark, d)
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p7_defects(spark, d).filter("defect IS NOT NULL").select("record_kind", "record_no", "pair_no", "defect").distinct()
