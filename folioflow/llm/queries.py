@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import encoding, language, pairs, quality, splitting
+from folioflow.llm import encoding, language, overlap, pairs, quality, splitting
 from folioflow.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,13 @@ def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query("p7_found")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _p7_defects(spark, d).filter("defect IS NOT NULL").select("record_kind", "record_no", "pair_no", "defect").distinct()
+
+
+@query("p1_report")
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(table(spark, d, "split_lines"))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.pairs(table(spark, d, "split_lines")).select("line_a", "line_b").distinct()
