@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import encoding, language, overlap, pairs, quality, splitting
+from folioflow.llm import encoding, language, names, overlap, pairs, quality, splitting
 from folioflow.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +129,19 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 @query("p1_found")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.pairs(table(spark, d, "split_lines")).select("line_a", "line_b").distinct()
+
+
+def _p6_entities(spark: SparkSession, d: str) -> DataFrame:
+    books = table(spark, d, "books")
+    strings = books.select(F.explode(F.array("author", "author_ru", "author_en")).alias("name"))
+    return names.entities(strings, table(spark, d, "name_forms"))
+
+
+@query("p6_entities")
+def p6_entities(spark: SparkSession, d: str) -> DataFrame:
+    return _p6_entities(spark, d)
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked(_p6_entities(spark, d)).distinct()
