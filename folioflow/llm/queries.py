@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import encoding, language, names, overlap, pairs, quality, splitting
+from folioflow.llm import encoding, language, names, overlap, pairs, quality, scans, splitting
 from folioflow.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,21 @@ def p6_entities(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_found")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return names.linked(_p6_entities(spark, d)).distinct()
+
+
+def _p2_sections(spark: SparkSession, d: str) -> tuple[DataFrame, scans.ScanModel]:
+    sections = table(spark, d, "chunks").filter("level = 1").select("vec_rowid", "path_titles", "text")
+    return sections, scans.fit(sections)
+
+
+@query("p2_repaired")
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    sections, model = _p2_sections(spark, d)
+    return scans.repair(sections, model).select("vec_rowid", "text")
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    sections, model = _p2_sections(spark, d)
+    noise = cut(scans.chunk_noise(sections, model))
+    return scans.found(noise, scans.corrections(noise, model)).select("vec_rowid", "noise")
