@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import encoding, language, names, overlap, pairs, quality, scans, splitting
-from folioflow.session import cut, table
+from folioflow.llm import encoding, language, mixing, names, overlap, packing, pairs, quality, scans, splitting, tokens
+from folioflow.session import bounded_collect, cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,3 +164,35 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     sections, model = _p2_sections(spark, d)
     noise = cut(scans.chunk_noise(sections, model))
     return scans.found(noise, scans.corrections(noise, model)).select("vec_rowid", "noise")
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "source", tokens.count(F.col("text")).alias("tokens"))
+    return cut(documents)
+
+
+def _p8_packed(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
+    sizes = _sizes(spark, d)
+    kinds = bounded_collect(table(spark, d, "pack_sizes"), 100, "the table of pack sizes")
+    return [(k.pack_name, k.capacity_tokens, packing.pack(sizes, k.capacity_tokens)) for k in kinds]
+
+
+@query("p8_packs")
+def p8_packs(spark: SparkSession, d: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [p.select(F.lit(n).alias("pack_name"), "*") for n, _, p in _p8_packed(spark, d)])
+
+
+@query("p8_summary")
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [packing.summary(p, c).select(F.lit(n).alias("pack_name"), "*") for n, c, p in _p8_packed(spark, d)])
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(_sizes(spark, d), targets), targets)
