@@ -105,7 +105,8 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 1
 
     def level(df: DataFrame, land: bool) -> DataFrame:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["tokens", "item"], kind="stable").reset_index(drop=True)
+            # the largest first: what is left for the landing is small
+            pdf = pdf.sort_values(["tokens", "item"], ascending=[False, True], kind="stable").reset_index(drop=True)
             p, size = pdf["p"].to_numpy(float), pdf["tokens"].to_numpy(float)
             x = np.stack([size / max(size.max(), 1.0), np.ones(len(p))])
             p = flight(p, x, seed + len(p))
