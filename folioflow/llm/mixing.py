@@ -16,8 +16,8 @@ from folioflow.session import bounded_collect, cut, require
 
 #: Documents of a block in the flight phase.
 BLOCK_ITEMS = 5000
-#: Small documents of one block per source that only the landing decides.
-HELD = 32
+#: Documents of one block per source that only the landing decides.
+HELD = 64
 #: Bound of the table of targets.
 MOST_SOURCES = 10_000
 
@@ -64,7 +64,7 @@ def landing(p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     left = np.flatnonzero((p > 0) & (p < 1))
     target, got = float((p[left] * size[left]).sum()), 0.0
     for i in left[np.argsort(-size[left], kind="stable")]:
-        p[i] = float(abs(got + size[i] - target) <= abs(got - target))
+        p[i] = float(got + size[i] <= target + size[left].min() / 2)
         got += size[i] * p[i]
     return p
 
@@ -111,10 +111,12 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 1
             pdf = pdf.sort_values(["tokens", "item"], ascending=[False, True], kind="stable").reset_index(drop=True)
             p, size = pdf["p"].to_numpy(float), pdf["tokens"].to_numpy(float)
             x = np.stack([size / max(size.max(), 1.0), np.ones(len(p))])
-            # the smallest of one block stay open to the end, so that the landing can even out what the large ones leave
-            fly = len(p) - (HELD if land or pdf["block"].iloc[0] == 0 else 0)
-            if fly > 0:
-                p[:fly] = flight(p[:fly], x[:, :fly], seed + len(p))
+            # documents of all sizes in one block stay open to the end, so that the landing can even out what is left
+            fly = np.ones(len(p), bool)
+            if land or pdf["block"].iloc[0] == 0:
+                fly[np.unique(np.linspace(0, len(p) - 1, HELD).astype(int))] = False
+            if fly.any():
+                p[fly] = flight(p[fly], x[:, fly], seed + len(p))
             pdf["p"] = landing(p, size, seed) if land else p
             return pdf[["item", "source", "tokens", "whole", "p"]]
 
