@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,18 +45,18 @@ def word_count(text: Column) -> Column:
 
 
 def canonical_name(text: Column) -> Column:
-    """Lower case, punctuation out, blanks collapsed and trimmed; apply nfkc() before where text is not in that form."""
+    """Lower case, punctuation out, blanks collapsed and trimmed; apply normalized() before where text is not in that form."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s_-]", ""), r"\s+", " "))
 
 
-@F.pandas_udf("string")
-def nfkc(s):  # noqa: ANN001, ANN201
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def normalized(text: Column, form: str = "NFKC") -> Column:
+    """Unicode normal form, in Arrow batches; Spark has no function for it."""
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([None if t is None else unicodedata.normalize(form, t) for t in b.to_pylist()], pa.string())
 
-@F.pandas_udf("string")
-def nfkd(s):  # noqa: ANN001, ANN201
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+    return F.arrow_udf(run, "string")(text)
 
 
 def approx_tokens(text: Column) -> Column:

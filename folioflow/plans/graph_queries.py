@@ -1,0 +1,184 @@
+"""Queries over vectors, the entity graph and event streams, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioflow.operators import dedup as X
+from folioflow.operators import graph as G
+from folioflow.operators import vectors as V
+from folioflow.plans.registry import query
+from folioflow.session import bounded_collect, table
+from folioflow.streaming import monitors as M
+
+Spark = SparkSession
+
+
+def _query_vector(s: Spark, d: str) -> list[float]:
+    e = table(s, d, "embeddings")
+    return list(bounded_collect(e.filter(F.col("vec_id") == e.agg(F.min("vec_id")).first()[0]).select("embedding"), 1, "the query vector")[0][0])
+
+
+_Q = "(SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
+_COS = "round(list_inner_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(q::DOUBLE[], q::DOUBLE[]))), 6)"
+
+
+@query("knn_topk", f"SELECT vec_id, {_COS} AS sim FROM embeddings, {_Q} ORDER BY sim DESC, vec_id LIMIT 10")
+def knn_topk(s: Spark, d: str) -> DataFrame:
+    return V.top_k(table(s, d, "embeddings"), _query_vector(s, d), 10)
+
+
+@query("knn_filtered", f"SELECT vec_id, {_COS} AS sim FROM embeddings, {_Q} WHERE label = 1 ORDER BY sim DESC, vec_id LIMIT 10")
+def knn_filtered(s: Spark, d: str) -> DataFrame:
+    return V.top_k(table(s, d, "embeddings").filter("label = 1"), _query_vector(s, d), 10)
+
+
+@query("knn_threshold", f"SELECT * FROM (SELECT vec_id, {_COS} AS sim FROM embeddings, {_Q} ORDER BY sim DESC, vec_id LIMIT 20) x WHERE sim >= 0.2")
+def knn_threshold(s: Spark, d: str) -> DataFrame:
+    return V.top_k(table(s, d, "embeddings"), _query_vector(s, d), 20).filter("sim >= 0.2")
+
+
+@query("knn_dot", f"SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], q::DOUBLE[]), 6) AS sim FROM embeddings, {_Q} ORDER BY sim DESC, vec_id LIMIT 10")
+def knn_dot(s: Spark, d: str) -> DataFrame:
+    return V.top_k(table(s, d, "embeddings"), _query_vector(s, d), 10, metric="dot")
+
+
+@query("knn_l2", f"SELECT vec_id, round(1 - list_sum(list_transform(list_zip(embedding, q), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) / 2, 6) AS sim FROM embeddings, {_Q} ORDER BY sim DESC, vec_id LIMIT 10")
+def knn_l2(s: Spark, d: str) -> DataFrame:
+    return V.top_k(table(s, d, "embeddings"), _query_vector(s, d), 10, metric="l2")
+
+
+@query("vector_norms", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def vector_norms(s: Spark, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+_NEAR = """SELECT query, neighbour, sim FROM (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) x QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbour) <= 3"""
+
+
+@query("knn_join", _NEAR)
+def knn_join(s: Spark, d: str) -> DataFrame:
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    return V.nearest(e.filter("vec_id % 100 = 0"), e, 3)
+
+
+@query("novelty_bands", f"SELECT band, count(*) AS n FROM (SELECT CASE WHEN sim < 0.65 THEN 'novel' WHEN sim > 0.85 THEN 'derivative' ELSE 'judge' END AS band FROM ({_NEAR}) y QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbour) = 1) z GROUP BY band")
+def novelty_bands(s: Spark, d: str) -> DataFrame:
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    return V.nearest(e.filter("vec_id % 100 = 0"), e, 1).select(V.novelty_band(F.col("sim")).alias("band")).groupBy("band").agg(F.count("*").alias("n"))
+
+
+@query("idea_clusters")
+def idea_clusters(s: Spark, d: str) -> DataFrame:
+    return X.idea_clusters(table(s, d, "embeddings"), 0.3, "label", "vec_id")
+
+
+# --- graph: suppliers and parts of the line items as entities, one relation per pair
+
+_EDGES = "(SELECT DISTINCT 's' || l_suppkey AS src, 'p' || (l_partkey % 50) AS dst FROM lineitem)"
+
+
+def _edges(s: Spark, d: str) -> DataFrame:
+    li = table(s, d, "lineitem")
+    return li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("dst")).distinct()
+
+
+@query("graph_adjacency", f"SELECT src, count(DISTINCT dst) AS degree FROM (SELECT src, dst FROM {_EDGES} a UNION SELECT dst, src FROM {_EDGES} b) x WHERE src <> dst GROUP BY src")
+def graph_adjacency(s: Spark, d: str) -> DataFrame:
+    return G.adjacency(_edges(s, d)).groupBy("src").agg(F.count("*").alias("degree"))
+
+
+_PPR = f"""WITH RECURSIVE adj AS MATERIALIZED (SELECT src, dst FROM {_EDGES} a UNION SELECT dst, src FROM {_EDGES} b), deg AS MATERIALIZED (SELECT src, count(*) AS k FROM adj GROUP BY src),
+r AS (SELECT 0 AS i, d.src AS node, CASE WHEN d.src = 's1' THEN 1.0::DOUBLE ELSE 0 END AS score FROM deg d
+UNION ALL SELECT * FROM (SELECT any_value(r.i) + 1, a.dst, 0.15 * CASE WHEN a.dst = 's1' THEN 1.0::DOUBLE ELSE 0 END + 0.85 * sum(r.score / g.k) FROM r JOIN adj a ON a.src = r.node JOIN deg g ON g.src = r.node WHERE r.i < 10 GROUP BY a.dst) z)
+SELECT node, round(score, 6) AS score FROM r WHERE i = 10"""
+
+
+def _ranked(s: Spark, d: str) -> DataFrame:
+    return G.personalised_pagerank(_edges(s, d), s.createDataFrame([("s1", 1.0)], "node string, weight double"), iterations=10)
+
+
+@query("graph_ppr", _PPR)
+def graph_ppr(s: Spark, d: str) -> DataFrame:
+    return _ranked(s, d).select("node", F.round("score", 6).alias("score"))
+
+
+@query("hybrid_rank", f"WITH hits AS (SELECT vec_id, {_COS} AS sim FROM embeddings, {_Q} ORDER BY sim DESC, vec_id LIMIT 100), g AS ({_PPR.replace('WITH RECURSIVE', 'WITH RECURSIVE')}), s AS (SELECT h.vec_id, h.sim, coalesce(round(g.score, 6), 0) AS graph FROM hits h LEFT JOIN g ON g.node = 'p' || (h.vec_id % 50)) SELECT vec_id, sim, graph, round(0.7 * sim + CASE WHEN max(graph) OVER () > 0 THEN 0.3 * graph / max(graph) OVER () ELSE 0 END, 6) AS final FROM s ORDER BY final DESC, vec_id LIMIT 20")
+def hybrid_rank(s: Spark, d: str) -> DataFrame:
+    hits = V.top_k(table(s, d, "embeddings"), _query_vector(s, d), 100).withColumn("node", F.concat(F.lit("p"), (F.col("vec_id") % 50).cast("string")))
+    scores = _ranked(s, d).select("node", F.round("score", 6).alias("graph"))
+    joined = hits.join(F.broadcast(hits.select("node").distinct()).join(scores, "node"), "node", "left").select("vec_id", "sim", "graph")  # at most 100 nodes
+    return V.blended(joined.select("vec_id", "sim"), joined.select("vec_id", "graph").filter("graph IS NOT NULL"), 0.7, 0.3, 20, "vec_id").select("vec_id", "sim", "graph", "final")
+
+
+@query("entity_resolution")
+def entity_resolution(s: Spark, d: str) -> DataFrame:
+    b = table(s, d, "books").select(F.explode(F.array("author", "author_en")).alias("name"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("seq")).filter("name IS NOT NULL")
+    return G.resolve_entities(b)
+
+
+@query("entity_registry", "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+def entity_registry(s: Spark, d: str) -> DataFrame:
+    rel = table(s, d, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("subject_id"), F.col("l_suppkey").alias("object_id"))
+    return G.touching(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), rel)
+
+
+@query("graph_orphan_sweep", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders UNION SELECT o_orderkey FROM orders WHERE o_orderkey <= 10)")
+def graph_orphan_sweep(s: Spark, d: str) -> DataFrame:
+    o = table(s, d, "orders")
+    rel = o.select(F.col("o_custkey").alias("subject_id"), F.when(F.col("o_orderkey") <= 10, F.col("o_orderkey")).otherwise(F.col("o_custkey")).alias("object_id"))
+    return G.orphans(table(s, d, "customer").select(F.col("c_custkey").alias("id")), rel)
+
+
+@query("chunk_graph_score", f"WITH g AS ({_PPR}) SELECT l_orderkey AS chunk, CAST(round(sum(coalesce(a.score, 0) + coalesce(b.score, 0)) * 1000000) AS BIGINT) AS micro FROM lineitem LEFT JOIN g a ON a.node = 's' || l_suppkey LEFT JOIN g b ON b.node = 'p' || (l_partkey % 50) GROUP BY 1")
+def chunk_graph_score(s: Spark, d: str) -> DataFrame:
+    rel = table(s, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.concat(F.lit("s"), "l_suppkey").alias("subject_id"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("object_id"))
+    scores = _ranked(s, d).select("node", F.round("score", 6).alias("score"))
+    return G.source_scores(rel, scores, "chunk").select("chunk", F.round(F.col("graph") * 1_000_000).cast("bigint").alias("micro"))
+
+
+@query("propositions", "SELECT concept_id, part, text FROM (SELECT c_nationkey AS concept_id, c_custkey AS part, left(c_name || ' buys in ' || c_mktsegment || '.', 400) AS text FROM customer) x WHERE length(text) >= 10 QUALIFY row_number() OVER (PARTITION BY concept_id, lower(text) ORDER BY part) = 1")
+def propositions(s: Spark, d: str) -> DataFrame:
+    rel = table(s, d, "customer").select(F.col("c_nationkey").alias("concept_id"), F.col("c_custkey").alias("part"), F.col("c_name").alias("subject"), F.lit("buys_in").alias("predicate"), F.col("c_mktsegment").alias("object"))
+    return X.propositions(rel)
+
+
+# --- events
+
+@query("tumbling_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def tumbling_counts(s: Spark, d: str) -> DataFrame:
+    return M.tumbling_counts(table(s, d, "events"))
+
+
+@query("sessions", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events) x) y GROUP BY user_id, k")
+def sessions(s: Spark, d: str) -> DataFrame:
+    return M.sessions(table(s, d, "events"))
+
+
+@query("rate_window", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS recent FROM events")
+def rate_window(s: Spark, d: str) -> DataFrame:
+    return M.rate_in_window(table(s, d, "events"), "event_type").select("event_id", "recent")
+
+
+@query("drift_monitor")
+def drift_monitor(s: Spark, d: str) -> DataFrame:
+    return M.drift(table(s, d, "events"), "event_type").select("event_id", "event_type", F.round("drop", 6).alias("drop"))
+
+
+@query("circuit_rates")
+def circuit_rates(s: Spark, d: str) -> DataFrame:
+    e = table(s, d, "events").withColumn("ok", F.col("event_type") != "error")
+    return M.success_window(e, "user_id").select("event_id", F.round("rate", 6).alias("rate"), "step")
+
+
+@query("event_props", "SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k, count(*) AS n FROM events GROUP BY 1")
+def event_props(s: Spark, d: str) -> DataFrame:
+    return table(s, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k"), F.count("*").alias("n"))
+
+
+@query("job_transitions", "SELECT event_id FROM (SELECT event_id, s, lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' ELSE 'failed' END AS s FROM events) x) y WHERE b IS NOT NULL AND b <> s AND NOT (b || '>' || s IN ('queued>running', 'queued>cancelled', 'running>done', 'running>failed', 'running>cancelled'))")
+def job_transitions(s: Spark, d: str) -> DataFrame:
+    state = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type").isin("view", "click"), "running").when(F.col("event_type") == "purchase", "done").otherwise("failed")
+    e = table(s, d, "events").select("event_id", F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), state.alias("state"))
+    return M.invalid_transitions(e).select("event_id")

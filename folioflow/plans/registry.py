@@ -23,3 +23,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return add
+
+
+from folioflow.plans import catalog_queries, graph_queries  # noqa: E402, F401  (fill the registry)
