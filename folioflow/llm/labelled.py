@@ -204,7 +204,7 @@ class Builder:
 WEIGHTS = {"prose_plain": 4, "prose_wrapped": 3, "list_marked": 3, "list_plain": 2, "list_inline": 2, "list_with_intro": 3, "prose_bare": 3, "prose_dialogue": 3, "prose_marked": 2, "list_contents": 2, "list_index": 2, "junk_symbols": 2, "junk_menu": 2, "junk_repeat": 2, "table_cells": 3}
 
 
-def build(texts: list[str], per_layout: int = 40, seed: int = 0) -> list[tuple[str, str]]:
+def build(texts: list[str], per_layout: int = 25, seed: int = 0) -> list[tuple[str, str]]:
     """(text, kind) pairs: per_layout documents of each layout, more of the common ones."""
     b = Builder(sorted(texts), seed)
     out = []
