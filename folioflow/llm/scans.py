@@ -273,33 +273,45 @@ class LineNoise:
 
 def line_noise(text: str, titles: list[str], model: ScanModel) -> tuple[list[str], LineNoise]:
     """Running lines, page-number lines and (line, next text line) of broken words."""
-    lines = text.split("\n")
-    found = LineNoise([], [], [])
-    if len(lines) < 2:
-        return lines, found
-    folded = [letters(t) for t in titles if t]
-    page = Page(lines, folded)
-    found.page_no = [i for i, n in enumerate(page.numbers) if n]
-    asked = [i for i in range(len(lines)) if not page.numbers[i] and page.may_run(i)]
-    if asked:
-        for i, p in zip(asked, model.furniture.probability(np.array([page.features(i) for i in asked], float)), strict=True):
-            if p >= 0.5:
-                found.header.append(i)
-                if _SIDE_NUMBER.search(lines[i]) and re.search(r"(?<!\d)\d{1,4}\s*$|^\s*\d{1,4}\s", lines[i]):
-                    found.page_no.append(i)
-    skip = set(found.header) | set(found.page_no)
-    for i, line in enumerate(lines):
-        t = line.rstrip()
-        if i in skip or len(t) < 2 or t[-1] not in HYPHENS or not t[-2].isalpha():
-            continue
-        j = next((k for k in range(i + 1, len(lines)) if lines[k].strip() and k not in skip), None)
-        if j is None or not lines[j].strip()[0].isalpha():
+    return line_noise_of([(text, titles)], model)[0]
+
+
+def line_noise_of(items: list[tuple[str, list[str]]], model: ScanModel) -> list[tuple[list[str], LineNoise]]:
+    """line_noise for many texts, with one call of each classifier for all of them."""
+    out = [(text.split("\n"), LineNoise([], [], [])) for text, _ in items]
+    rows, at = [], []
+    for k, ((lines, found), (_, titles)) in enumerate(zip(out, items, strict=True)):
+        if len(lines) < 2:
             continue
-        left = re.search(r"[^\s«“„(]*$", t[:-1])[0]
-        f = break_features(model.known, left, lines[j].split()[0], t[-1])
-        if model.joiner.probability(np.array([f]))[0] >= 0.5:
+        page = Page(lines, [letters(t) for t in titles if t])
+        found.page_no += [i for i, n in enumerate(page.numbers) if n]
+        for i in range(len(lines)):
+            if not page.numbers[i] and page.may_run(i):
+                rows.append(page.features(i))
+                at.append((k, i))
+    for (k, i), p in zip(at, model.furniture.probability(np.array(rows)) if rows else [], strict=True):
+        if p >= 0.5:
+            lines, found = out[k]
+            found.header.append(i)
+            if _SIDE_NUMBER.search(lines[i]) and re.search(r"(?<!\d)\d{1,4}\s*$|^\s*\d{1,4}\s", lines[i]):
+                found.page_no.append(i)
+    rows, where = [], []
+    for lines, found in out:
+        skip = set(found.header) | set(found.page_no)
+        for i, line in enumerate(lines[:-1]):
+            t = line.rstrip()
+            if i in skip or len(t) < 2 or t[-1] not in HYPHENS or not t[-2].isalpha():
+                continue
+            j = next((k for k in range(i + 1, len(lines)) if lines[k].strip() and k not in skip), None)
+            if j is None or not lines[j].strip()[0].isalpha():
+                continue
+            left = re.search(r"[^\s«“„(]*$", t[:-1])[0]
+            rows.append(break_features(model.known, left, lines[j].split()[0], t[-1]))
+            where.append((found, i, j))
+    for (found, i, j), p in zip(where, model.joiner.probability(np.array(rows)) if rows else [], strict=True):
+        if p >= 0.5:
             found.hyphens.append((i, j))
-    return lines, found
+    return out
 
 
 # --- learning from noise put into clean text
@@ -492,13 +504,11 @@ def chunk_noise(chunks: DataFrame, model: ScanModel) -> DataFrame:
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, titles in batches:
+            items = [(t or "", p or []) for t, p in zip(texts.to_pylist(), titles.to_pylist(), strict=True)]
             out = []
-            for t, p in zip(texts.to_pylist(), titles.to_pylist(), strict=True):
-                if not t:
-                    out.append({"header": 0, "page_no": 0, "hyphen": 0, "suspects": []})
-                    continue
-                lines, noise = line_noise(t, [x for x in p or [] if x], model)
-                out.append({"header": len(noise.header), "page_no": len(noise.page_no), "hyphen": len(noise.hyphens), "suspects": suspects(lines, noise, model)})
+            for at in range(0, len(items), 512):
+                for lines, noise in line_noise_of(items[at : at + 512], model):
+                    out.append({"header": len(noise.header), "page_no": len(noise.page_no), "hyphen": len(noise.hyphens), "suspects": suspects(lines, noise, model)})
             yield pa.array(out, kind)
 
     look = F.arrow_udf(run, "struct<header:int,page_no:int,hyphen:int,suspects:array<string>>")
