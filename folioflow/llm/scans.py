@@ -98,8 +98,9 @@ def pairs_of(word: str) -> list[str]:
 class Retrieval:
     """Inverted index of character pairs over the frequent words."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
+    def __init__(self, counts: dict[str, int], upper: dict[str, float] | None = None) -> None:
         self.words = sorted(counts)
+        self.upper = np.array([(upper or {}).get(w, 0.0) for w in self.words])
         self.counts = np.array([counts[w] for w in self.words], float)
         self.total = float(self.counts.sum()) or 1.0
         self.length = np.array([len(w) for w in self.words])
@@ -123,15 +124,24 @@ class Retrieval:
         return [(int(near[k]), float(score[k])) for k in order if self.words[near[k]] != word and explained(word, self.words[near[k]]) <= MOST_MISREADINGS]
 
 
-FEATURES = ("pairs", "edits", "length", "longer", "count", "digit", "bracket", "mixed", "rank", "own", "ending")
+FEATURES = ("pairs", "edits", "length", "longer", "count", "digit", "bracket", "mixed", "rank", "own", "ending", "capital", "capitals", "start", "candidate_upper", "cased_edits")
 
 
-def features(index: Retrieval, word: str, candidate: int, pairs: float, rank: int, own: int) -> list[float]:
+def cased(printed: str, read: str) -> str:
+    """A word of the index in the case of the token that it is put for."""
+    if read.isupper():
+        return printed.upper()
+    return printed[0].upper() + printed[1:] if read[0].isupper() or (read[0].isdigit() and read[1:2].isupper()) else printed
+
+
+def features(index: Retrieval, word: str, candidate: int, pairs: float, rank: int, own: int, start: bool) -> list[float]:
+    """A token against a candidate; case and place tell a name from a misread noun: the latter's printed word is often a capitalised one."""
     c = index.words[candidate]
     lower = word.lower()
     return [
         pairs, explained(lower, c), len(word), len(c) - len(word), np.log(index.counts[candidate] / index.total),
         sum(ch.isdigit() for ch in word), word.count("("), bool(_MIXED.search(word)), rank, np.log1p(own), lower[-2:] == c[-2:],
+        word[0].isupper(), word.isupper(), start, index.upper[candidate], explained(word, cased(c, word)),
     ]
 
 
@@ -162,7 +172,7 @@ class ScanModel:
 
     def __post_init__(self) -> None:
         self.known = dict(zip(self.index.words, self.index.counts, strict=True))
-        self.memo: dict[str, tuple[str, int, bool]] = {}
+        self.memo: dict[str, tuple[str, bool]] = {}
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("known", "memo")}
@@ -171,20 +181,19 @@ class ScanModel:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def corrections(self, words: list[str], own: list[int]) -> list[tuple[str, float] | None]:
-        """For every word the printed one with its probability where it is misread, else none; ranked in one go."""
+    def corrections(self, words: list[tuple[str, bool]], own: list[int]) -> list[tuple[str, float] | None]:
+        """For every word, with whether it starts a sentence, the printed one with its probability where it is misread, else none; ranked in one go."""
         rows, at = [], []
-        for i, (word, n) in enumerate(zip(words, own, strict=True)):
+        for i, ((word, start), n) in enumerate(zip(words, own, strict=True)):
             lower = word.lower()
             if lower not in self.known:
                 for k, (c, s) in enumerate(self.index.candidates(lower)):
-                    rows.append(features(self.index, lower, c, s, k, n))
+                    rows.append(features(self.index, word, c, s, k, n, start))
                     at.append((i, c))
         out: list[tuple[str, float] | None] = [None] * len(words)
         for (i, c), p in zip(at, self.ranker.probability(np.array(rows)) if rows else [], strict=True):
             if p >= 0.5 and (out[i] is None or p > out[i][1]):
-                w, word = self.index.words[c], words[i]
-                out[i] = (w[0].upper() + w[1:] if word[0].isupper() or (word[0].isdigit() and word[1:2].isupper()) else w, float(p))
+                out[i] = (cased(self.index.words[c], words[i][0]), float(p))
         return out
 
 
@@ -389,38 +398,70 @@ def _break_examples(words: list[str], known: dict[str, float], rare: list[str],
     return x, y
 
 
-def _ranker_examples(index: Retrieval, rare: list[str], r: random.Random) -> tuple[list[list[float]], list[int]]:
+def _places(sample: list[tuple[str, list[str]]], words: set[str]) -> tuple[dict[str, list[tuple[str, bool]]], float]:
+    """Spellings of the words in the sample, each with whether it starts a sentence, and the share of starts among capitalised tokens."""
+    seen: dict[str, list[tuple[str, bool]]] = defaultdict(list)
+    capital = starts = 0
+    for text, _ in sample:
+        for _, tokens in places(text.split("\n"), LineNoise([], [], [])):
+            for token, start in tokens:
+                t = core(token)
+                if t[:1].isupper():
+                    capital += 1
+                    starts += start
+                if t.lower() in words:
+                    seen[t.lower()].append((t, start))
+    return seen, starts / max(1, capital)
+
+
+def _ranker_examples(index: Retrieval, rare: list[str], sample: list[tuple[str, list[str]]], r: random.Random) -> tuple[list[list[float]], list[int]]:
     x, y = [], []
+    known = set(index.words)
     words = [w for w in index.words if len(w) >= 4 and w.isalpha()]
-    weights = [float(index.counts[index.words.index(w)]) ** 0.5 for w in words] if len(words) < 3000 else None
+    weights = [float(n) ** 0.5 for w, n in zip(index.words, index.counts, strict=True) if len(w) >= 4 and w.isalpha()] if len(words) < 3000 else None
+    seen, first = _places(sample, known)
+    upper = dict(zip(index.words, index.upper, strict=True))
+
+    def printed(w: str) -> tuple[str, bool]:
+        if seen.get(w):
+            return r.choice(seen[w])
+        return (w[0].upper() + w[1:], r.random() < first) if r.random() < upper[w] else (w, False)
+
     for w in r.choices(words, weights, k=2500) if words else []:
-        bad = _spoil(w, r)
-        if bad == w or bad in index.lists:
+        t, start = printed(w)
+        bad = _spoil(t, r)
+        if bad == t or bad.lower() in known:
             continue
-        for k, (c, s) in enumerate(index.candidates(bad)):
-            x.append(features(index, bad, c, s, k, r.choice((1, 1, 2, 4))))
+        for k, (c, s) in enumerate(index.candidates(bad.lower())):
+            x.append(features(index, bad, c, s, k, r.choice((1, 1, 2, 4)), start))
             y.append(int(index.words[c] == w))
     # words that are as printed: names, rare words, and frequent ones against their neighbours
-    for w in [*r.sample(rare, min(1500, len(rare))), *r.sample(words, min(1500, len(words)))]:
-        for k, (c, s) in enumerate(index.candidates(w)):
-            x.append(features(index, w, c, s, k, r.choice((1, 1, 2, 4))))
+    right = [(w, w[0].isupper() and r.random() < first) for w in r.sample(rare, min(1500, len(rare)))] + [printed(w) for w in r.sample(words, min(1500, len(words)))]
+    for w, start in right:
+        for k, (c, s) in enumerate(index.candidates(w.lower())):
+            x.append(features(index, w, c, s, k, r.choice((1, 1, 2, 4)), start))
             y.append(0)
     return x, y
 
 
 def word_counts(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """word and n over all texts: small letters and digits between blanks, counted per batch before the shuffle."""
+    """word, n and how often it is capitalised (upper) over all texts, in small letters, counted per batch before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c: Counter[str] = Counter()
             for t in b.column(0).to_pylist():
                 if t:
-                    c.update(re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", t.lower()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+                    c.update(re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", t))
+            n: Counter[str] = Counter()
+            upper: Counter[str] = Counter()
+            for w, k in c.items():
+                n[w.lower()] += k
+                upper[w.lower()] += k * w[0].isupper()
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([upper[w] for w in n], pa.int64())], ["word", "n", "upper"])
 
-    got = chunks.select(F.col(f"`{text}`")).mapInArrow(count, "word string, n bigint")
-    return got.groupBy("word").agg(F.sum("n").alias("n"))
+    got = chunks.select(F.col(f"`{text}`")).mapInArrow(count, "word string, n bigint, upper bigint")
+    return got.groupBy("word").agg(F.sum("n").alias("n"), F.sum("upper").alias("upper"))
 
 
 def fit(chunks: DataFrame, text: str = "text", titles: str = "path_titles") -> ScanModel:
@@ -429,19 +470,21 @@ def fit(chunks: DataFrame, text: str = "text", titles: str = "path_titles") -> S
     counts = cut(word_counts(chunks, text))
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_COUNT, FREQUENT * total)
-    frequent = {r.word: r.n for r in counts.filter(F.col("n") >= least).collect()}  # at most 1 / FREQUENT words
-    rare = [r.word for r in counts.filter((F.col("n") < least) & (F.length("word") > 4) & ~F.col("word").contains("-")).orderBy(F.xxhash64("word")).limit(3000).collect()]
+    rows = counts.filter(F.col("n") >= least).collect()  # at most 1 / FREQUENT words
+    frequent, upper = {r.word: r.n for r in rows}, {r.word: r.upper / r.n for r in rows}
+    rare = [r.word[0].upper() + r.word[1:] if 2 * r.upper >= r.n else r.word for r in counts.filter((F.col("n") < least) & (F.length("word") > 4) & ~F.col("word").contains("-")).orderBy(F.xxhash64("word")).limit(3000).collect()]
     rows = chunks.select(F.col(f"`{text}`").alias("t"), F.col(f"`{titles}`").alias("p")).filter(F.col("t").isNotNull() & ~F.col("t").rlike(r"[0-9]\s*\n|\p{Lu}{3}|[-¬­‐]\n"))
     sample = [(r.t, [x for x in r.p or [] if x]) for r in rows.orderBy(F.xxhash64("t")).limit(TRAINING_TEXTS).collect()]
-    return model_of(frequent, rare, sample)
+    return model_of(frequent, rare, sample, upper=upper)
 
 
-def model_of(frequent: dict[str, int], rare: list[str], sample: list[tuple[str, list[str]]], seed: int = 0) -> ScanModel:
+def model_of(frequent: dict[str, int], rare: list[str], sample: list[tuple[str, list[str]]], seed: int = 0, upper: dict[str, float] | None = None) -> ScanModel:
+    """rare: with a capital where mostly printed so. upper: by frequent word the share of its places with a capital."""
     r = random.Random(seed)
     frequent = frequent or {"example": 1, "examples": 1, "text": 1, "word": 1}
     # readings that are a frequent word's misreading are no frequent words themselves, however often they occur
     words = {w: n for w, n in frequent.items() if not _MIXED.search(w)}
-    index = Retrieval(words)
+    index = Retrieval(words, upper)
     known = dict(zip(index.words, index.counts, strict=True))
     sample = [s for s in sample if s[0]] or [("This is a text. It has lines.", ["Title"])]
     if not any(t for _, ts in sample for t in ts):
@@ -449,58 +492,61 @@ def model_of(frequent: dict[str, int], rare: list[str], sample: list[tuple[str,
     compounds = [w for w in words if "-" in w]
     fx, fy = _furniture_examples(sample, r)
     bx, by = _break_examples(list(words), known, rare, compounds, r)
-    rx, ry = _ranker_examples(index, rare, r)
+    rx, ry = _ranker_examples(index, rare, sample, r)
     if not rx:
         rx, ry = [[0.0] * len(FEATURES)], [0]
     return ScanModel(index, Boosted(np.array(rx), np.array(ry)), Boosted(np.array(bx), np.array(by), trees=20), Boosted(np.array(fx), np.array(fy)))
 
 
-def _suspicion(token: str, model: ScanModel) -> tuple[str, int, bool]:
-    """The core of a token; 2 where it may be misread, 1 where only at the start of a sentence (else a name), 0 where not;
-    and whether a sentence ends with it."""
+def places(lines: list[str], noise: LineNoise) -> list[tuple[int, list[tuple[str, bool]]]]:
+    """By line of text its number and tokens, each with whether it starts a sentence; a broken word is joined on the line where it begins."""
+    skip = set(noise.header) | set(noise.page_no)
+    tokens = {k: line.split() for k, line in enumerate(lines) if k not in skip}
+    for i, j in sorted(noise.hyphens, reverse=True):
+        if tokens[i] and tokens[j]:
+            tokens[i][-1] = tokens[i][-1].rstrip(HYPHENS) + tokens[j].pop(0)
+    out = []
+    start = True
+    for k, line in tokens.items():
+        start = start or not lines[k].strip()
+        got = []
+        for token in line:
+            got.append((token, start))
+            start = token[-1] in ".!?…:" or (start and not any(c.isalpha() for c in token))
+        out.append((k, got))
+    return out
+
+
+def _suspicion(token: str, model: ScanModel) -> tuple[str, bool]:
+    """The core of a token and whether it may be misread: whatever is no frequent word, of any case."""
     t = core(token)
-    ends = token[-1:] in ".!?…:"
     lower = t.lower()
     if len(t) <= 2 or len(t) > 40 or lower in model.known or t[-1] in HYPHENS or "‐" in t or not any(c.isalpha() for c in t):
-        return t, 0, ends
+        return t, False
     inner = "(" in t[1:-1] and ")" not in t and len(t) > 14  # a call, as in code
-    if inner or t.lstrip("(").lower() in model.known or all(p in model.known for p in lower.split("-")):
-        return t, 0, ends
-    return t, 2 if _ODD.search(t) or _MIXED.search(t) or t[0].islower() or t[0] == "(" else 1, ends
+    return t, not (inner or t.lstrip("(").lower() in model.known or all(p in model.known for p in lower.split("-")))
 
 
-def suspects(lines: list[str], noise: LineNoise, model: ScanModel) -> list[str]:
-    """Tokens that are not frequent words and may be misread: small or with digits, brackets or two scripts inside."""
-    skip = set(noise.header) | set(noise.page_no)
-    first = {j for _, j in noise.hyphens}
-    last = {i for i, _ in noise.hyphens}
+def suspects(lines: list[str], noise: LineNoise, model: ScanModel) -> list[tuple[str, bool]]:
+    """Tokens that are not frequent words and may be misread, broken ones joined, each with whether it starts a sentence."""
     out = []
     memo = model.memo
     if len(memo) > 300_000:
         memo.clear()
-    for k, line in enumerate(lines):
-        if k in skip:
-            continue
-        tokens = line.split()
-        if k in last and tokens:
-            tokens = tokens[:-1]
-        if k in first and tokens:
-            tokens = tokens[1:]
-        start = True
-        for token in tokens:
+    for _, tokens in places(lines, noise):
+        for token, start in tokens:
             got = memo.get(token)
             if got is None:
                 got = memo[token] = _suspicion(token, model)
-            if got[1] == 2 or (got[1] and start):
-                out.append(got[0])
-            start = got[2]
+            if got[1]:
+                out.append((got[0], start))
     return out
 
 
 def chunk_noise(chunks: DataFrame, model: ScanModel) -> DataFrame:
     """vec_rowid, header, page_no and hyphen counts, and the suspect tokens of every text; no shuffle."""
     require(chunks, "vec_rowid", "text", "path_titles")
-    kind = pa.struct([("header", pa.int32()), ("page_no", pa.int32()), ("hyphen", pa.int32()), ("suspects", pa.list_(pa.string()))])
+    kind = pa.struct([("header", pa.int32()), ("page_no", pa.int32()), ("hyphen", pa.int32()), ("suspects", pa.list_(pa.struct([("token", pa.string()), ("start", pa.bool_())])))])
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, titles in batches:
@@ -508,30 +554,30 @@ def chunk_noise(chunks: DataFrame, model: ScanModel) -> DataFrame:
             out = []
             for at in range(0, len(items), 512):
                 for lines, noise in line_noise_of(items[at : at + 512], model):
-                    out.append({"header": len(noise.header), "page_no": len(noise.page_no), "hyphen": len(noise.hyphens), "suspects": suspects(lines, noise, model)})
+                    out.append({"header": len(noise.header), "page_no": len(noise.page_no), "hyphen": len(noise.hyphens), "suspects": [{"token": t, "start": b} for t, b in suspects(lines, noise, model)]})
             yield pa.array(out, kind)
 
-    look = F.arrow_udf(run, "struct<header:int,page_no:int,hyphen:int,suspects:array<string>>")
+    look = F.arrow_udf(run, "struct<header:int,page_no:int,hyphen:int,suspects:array<struct<token:string,start:boolean>>>")
     return chunks.select("vec_rowid", look("text", "path_titles").alias("n")).select("vec_rowid", "n.*")
 
 
 def corrections(noise: DataFrame, model: ScanModel) -> DataFrame:
-    """token, printed and probability of the suspect tokens that are misread; each distinct token is ranked once."""
-    tokens = noise.select(F.explode("suspects").alias("token")).groupBy("token").agg(F.count("*").cast("int").alias("n"))
+    """token, start, printed and probability of the suspect tokens that are misread; each distinct token is ranked once for either place."""
+    tokens = noise.select(F.inline("suspects")).groupBy("token", "start").agg(F.count("*").cast("int").alias("n"))
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for t, n in batches:
-            got = model.corrections(t.to_pylist(), n.to_pylist())
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for t, start, n in batches:
+            got = model.corrections(list(zip(t.to_pylist(), start.to_pylist(), strict=True)), n.to_pylist())
             yield pa.array([{"printed": g[0], "probability": g[1]} if g else None for g in got], pa.struct([("printed", pa.string()), ("probability", pa.float64())]))
 
-    ranked = tokens.withColumn("c", F.arrow_udf(run, "struct<printed:string,probability:double>")("token", "n"))
-    return ranked.filter("c IS NOT NULL").select("token", "c.printed", "c.probability")
+    ranked = tokens.withColumn("c", F.arrow_udf(run, "struct<printed:string,probability:double>")("token", "start", "n"))
+    return ranked.filter("c IS NOT NULL").select("token", "start", "c.printed", "c.probability")
 
 
 def found(noise: DataFrame, fixed: DataFrame) -> DataFrame:
     """vec_rowid and noise, one row per chunk and kind present."""
     kinds = noise.select("vec_rowid", F.explode(F.array(*[F.when(F.col(k) > 0, F.lit(k)) for k in ("hyphen", "header", "page_no")])).alias("noise")).filter("noise IS NOT NULL")
-    misread = noise.select("vec_rowid", F.explode("suspects").alias("token")).join(fixed.select("token"), "token").select("vec_rowid", F.lit("misread").alias("noise"))
+    misread = noise.select("vec_rowid", F.inline("suspects")).join(fixed.select("token", "start"), ["token", "start"]).select("vec_rowid", F.lit("misread").alias("noise"))
     return kinds.union(misread).distinct()
 
 
@@ -543,6 +589,7 @@ def repaired_text(text: str | None, titles: list[str] | None, model: ScanModel)
     odd = sorted(set(suspects(lines, noise, model)))
     bad = {t: c[0] for t, c in zip(odd, model.corrections(odd, [1] * len(odd)), strict=True) if c}
     skip = set(noise.header) | set(noise.page_no)
+    words = dict(places(lines, noise))
     joins = {i for i, _ in noise.hyphens}
     paragraphs: list[str] = [""]
     carry = False
@@ -555,16 +602,12 @@ def repaired_text(text: str | None, titles: list[str] | None, model: ScanModel)
             if paragraphs[-1] and not carry and not (gap and not _END.search(paragraphs[-1])):
                 paragraphs.append("")
             continue
-        s = " ".join(token.replace(core(token), bad[core(token)]) if core(token) in bad else token for token in s.split())
-        if _ENTRY.match(s) and paragraphs[-1]:
-            paragraphs[-1] += "\n" + s
-        elif carry:
-            paragraphs[-1] += s
-        else:
-            paragraphs[-1] += (" " if paragraphs[-1] else "") + s
         carry = i in joins
-        if carry:
-            paragraphs[-1] = paragraphs[-1].rstrip(HYPHENS)
+        entry = _ENTRY.match(s)
+        s = " ".join(token.replace(core(token), bad[core(token), start]) if (core(token), start) in bad else token for token, start in words[i])
+        if s and paragraphs[-1]:
+            paragraphs[-1] += "\n" if entry else " "
+        paragraphs[-1] += s
     return "\n\n".join(p for p in paragraphs if p)
 
 

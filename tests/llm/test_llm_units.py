@@ -194,3 +194,13 @@ def test_scan_noise_of_a_page():
     assert scans.repaired_text(page, ["The hidden matrix"], model) == "The early protocol describes the reliable edition of the kernel and the filter of the matrix."
     assert scans.repaired_text(None, None, model) is None and scans.repaired_text("", [], model) == ""
     assert scans.page_number("- 17 -") and scans.page_number("xvii") and not scans.page_number("17 pages of text")
+
+
+def test_misread_nouns_inside_a_line():
+    text = "Das innere Ergebnis beschreibt das System. Die neutrale Temperatur misst der Apparat. Das alte Lehrbuch nennt das Modell und die Lösung. " * 3
+    words = {w: 40 for w in set(text.replace(".", "").lower().split())}
+    model = scans.model_of(words, ["Zubrun", "kastil", "Mokwark"], [(text, ["Das Modell"]) for _ in range(60)])
+    page = "Hier misst das Ergebiiis der Apparat und das Lebrbuch des Herrn Zubrun."
+    assert scans.repaired_text(page, ["Das Modell"], model) == "Hier misst das Ergebnis der Apparat und das Lehrbuch des Herrn Zubrun."
+    joined = scans.suspects(["Das misst die Tem-", "perafur der Apparat."], scans.LineNoise([], [], [(0, 1)]), model)
+    assert joined == [("Temperafur", False)] and model.corrections(joined, [1])[0][0] == "Temperatur"
