@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import dedup as X
@@ -79,9 +79,16 @@ def idea_clusters(s: Spark, d: str) -> DataFrame:
 _EDGES = "(SELECT DISTINCT 's' || l_suppkey AS src, 'p' || (l_partkey % 50) AS dst FROM lineitem)"
 
 
-def _edges(s: Spark, d: str) -> DataFrame:
-    li = table(s, d, "lineitem")
-    return li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("dst")).distinct()
+#: Queries without a suffix follow their SQL, which folds the parts into 50; those with _whole run on the graph of all suppliers and parts.
+
+
+def _part(key: str, whole: bool) -> Column:
+    return F.concat(F.lit("p"), (F.col(key) if whole else F.col(key) % 50).cast("string"))
+
+
+def _edges(s: Spark, d: str, whole: bool = False) -> DataFrame:
+    li = table(s, d, "lineitem").filter("l_suppkey IS NOT NULL AND l_partkey IS NOT NULL") if whole else table(s, d, "lineitem")
+    return li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), _part("l_partkey", whole).alias("dst")).distinct()
 
 
 @query("graph_adjacency", f"SELECT src, count(DISTINCT dst) AS degree FROM (SELECT src, dst FROM {_EDGES} a UNION SELECT dst, src FROM {_EDGES} b) x WHERE src <> dst GROUP BY src")
@@ -89,6 +96,11 @@ def graph_adjacency(s: Spark, d: str) -> DataFrame:
     return G.adjacency(_edges(s, d)).groupBy("src").agg(F.count("*").alias("degree"))
 
 
+@query("graph_adjacency_whole", "SELECT 's' || l_suppkey AS src, count(DISTINCT l_partkey) AS degree FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL GROUP BY 1 UNION ALL SELECT 'p' || l_partkey, count(DISTINCT l_suppkey) FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL GROUP BY 1")
+def graph_adjacency_whole(s: Spark, d: str) -> DataFrame:
+    return G.adjacency(_edges(s, d, True)).groupBy("src").agg(F.count("*").alias("degree"))
+
+
 _PPR = f"""WITH RECURSIVE adj AS MATERIALIZED (SELECT src, dst FROM {_EDGES} a UNION SELECT dst, src FROM {_EDGES} b), deg AS MATERIALIZED (SELECT src, count(*) AS k FROM adj GROUP BY src),
 r AS (SELECT 0 AS i, d.src AS node, CASE WHEN d.src = 's1' THEN 1.0::DOUBLE ELSE 0 END AS score FROM deg d
 UNION ALL SELECT * FROM (SELECT any_value(r.i) + 1, a.dst, 0.15 * CASE WHEN a.dst = 's1' THEN 1.0::DOUBLE ELSE 0 END + 0.85 * sum(r.score / g.k) FROM r JOIN adj a ON a.src = r.node JOIN deg g ON g.src = r.node WHERE r.i < 10 GROUP BY a.dst) z)
@@ -99,15 +111,34 @@ def _ranked(s: Spark, d: str) -> DataFrame:
     return G.personalised_pagerank(_edges(s, d), s.createDataFrame([("s1", 1.0)], "node string, weight double"), iterations=10)
 
 
+def _ranked_whole(s: Spark, d: str) -> DataFrame:
+    """Up to 25 iterations with the operator's tolerance; scores of many nodes are small, so they are rounded to 12 digits."""
+    ranked = G.personalised_pagerank(_edges(s, d, True), s.createDataFrame([("s1", 1.0)], "node string, weight double"))
+    return ranked.select("node", F.round("score", 12).alias("score"))
+
+
 @query("graph_ppr", _PPR)
 def graph_ppr(s: Spark, d: str) -> DataFrame:
     return _ranked(s, d).select("node", F.round("score", 6).alias("score"))
 
 
+@query("graph_ppr_whole")
+def graph_ppr_whole(s: Spark, d: str) -> DataFrame:
+    return _ranked_whole(s, d)
+
+
 @query("hybrid_rank", f"WITH hits AS (SELECT vec_id, {_COS} AS sim FROM embeddings, {_Q} ORDER BY sim DESC, vec_id LIMIT 100), g AS ({_PPR.replace('WITH RECURSIVE', 'WITH RECURSIVE')}), s AS (SELECT h.vec_id, h.sim, coalesce(round(g.score, 6), 0) AS graph FROM hits h LEFT JOIN g ON g.node = 'p' || (h.vec_id % 50)) SELECT vec_id, sim, graph, round(0.7 * sim + CASE WHEN max(graph) OVER () > 0 THEN 0.3 * graph / max(graph) OVER () ELSE 0 END, 6) AS final FROM s ORDER BY final DESC, vec_id LIMIT 20")
 def hybrid_rank(s: Spark, d: str) -> DataFrame:
-    hits = V.top_k(table(s, d, "embeddings"), _query_vector(s, d), 100).withColumn("node", F.concat(F.lit("p"), (F.col("vec_id") % 50).cast("string")))
-    scores = _ranked(s, d).select("node", F.round("score", 6).alias("graph"))
+    return _hybrid(s, d, _ranked(s, d).select("node", F.round("score", 6).alias("graph")), False)
+
+
+@query("hybrid_rank_whole")
+def hybrid_rank_whole(s: Spark, d: str) -> DataFrame:
+    return _hybrid(s, d, _ranked_whole(s, d).withColumnRenamed("score", "graph"), True)
+
+
+def _hybrid(s: Spark, d: str, scores: DataFrame, whole: bool) -> DataFrame:
+    hits = V.top_k(table(s, d, "embeddings"), _query_vector(s, d), 100).withColumn("node", _part("vec_id", whole))
     joined = hits.join(F.broadcast(hits.select("node").distinct()).join(scores, "node"), "node", "left").select("vec_id", "sim", "graph")  # at most 100 nodes
     return V.blended(joined.select("vec_id", "sim"), joined.select("vec_id", "graph").filter("graph IS NOT NULL"), 0.7, 0.3, 20, "vec_id").select("vec_id", "sim", "graph", "final")
 
@@ -133,9 +164,17 @@ def graph_orphan_sweep(s: Spark, d: str) -> DataFrame:
 
 @query("chunk_graph_score", f"WITH g AS ({_PPR}) SELECT l_orderkey AS chunk, CAST(round(sum(coalesce(a.score, 0) + coalesce(b.score, 0)) * 1000000) AS BIGINT) AS micro FROM lineitem LEFT JOIN g a ON a.node = 's' || l_suppkey LEFT JOIN g b ON b.node = 'p' || (l_partkey % 50) GROUP BY 1")
 def chunk_graph_score(s: Spark, d: str) -> DataFrame:
-    rel = table(s, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.concat(F.lit("s"), "l_suppkey").alias("subject_id"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("object_id"))
     scores = _ranked(s, d).select("node", F.round("score", 6).alias("score"))
-    return G.source_scores(rel, scores, "chunk").select("chunk", F.round(F.col("graph") * 1_000_000).cast("bigint").alias("micro"))
+    return G.source_scores(_chunk_relations(s, d, False), scores, "chunk").select("chunk", F.round(F.col("graph") * 1_000_000).cast("bigint").alias("micro"))
+
+
+@query("chunk_graph_score_whole")
+def chunk_graph_score_whole(s: Spark, d: str) -> DataFrame:
+    return G.source_scores(_chunk_relations(s, d, True), _ranked_whole(s, d), "chunk").select("chunk", F.round("graph", 12).alias("graph"))
+
+
+def _chunk_relations(s: Spark, d: str, whole: bool) -> DataFrame:
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.concat(F.lit("s"), "l_suppkey").alias("subject_id"), _part("l_partkey", whole).alias("object_id"))
 
 
 @query("propositions", "SELECT concept_id, part, text FROM (SELECT c_nationkey AS concept_id, c_custkey AS part, left(c_name || ' buys in ' || c_mktsegment || '.', 400) AS text FROM customer) x WHERE length(text) >= 10 QUALIFY row_number() OVER (PARTITION BY concept_id, lower(text) ORDER BY part) = 1")

@@ -160,3 +160,31 @@ def test_without_llm(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(q[0] == 'p' and q[1].isdigit() for q in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert said.stdout.split()[-1] == "False"
+
+
+def test_whole_graph_keeps_every_part(spark, tmp_path, monkeypatch):
+    from folioflow.plans import graph_queries, registry
+
+    rows = [(1, 1, 1), (1, 1, 51), (2, 2, 51), (2, 2, 101), (3, 3, 1), (3, 1, 101), (4, 3, 151)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, [1.0, 0.0]), (51, [0.9, 0.1]), (101, [0.8, 0.3]), (7, [0.0, 1.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = {}
+    for _, a, b in rows:
+        near.setdefault(f"s{a}", set()).add(f"p{b}")
+        near.setdefault(f"p{b}", set()).add(f"s{a}")
+    score = {n: float(n == "s1") for n in near}
+    for i in range(25):
+        new = {n: 0.15 * (n == "s1") + 0.85 * sum(score[m] / len(near[m]) for m in near[n]) for n in near}
+        change, score = sum(abs(new[n] - score[n]) for n in near), new
+        if i % 5 == 4 and change < 1e-6:
+            break
+    run = lambda q: registry.QUERIES[q](spark, str(tmp_path)).collect()
+    assert {r.src: r.degree for r in run("graph_adjacency_whole")} == {n: len(x) for n, x in near.items()}
+    ranked = run("graph_ppr_whole")
+    assert {r.node: r.score for r in ranked} == pytest.approx(score, abs=1e-11)
+    monkeypatch.setattr(graph_queries, "_ranked_whole", lambda *_: spark.createDataFrame(ranked))
+    chunks = {}
+    for c, a, b in rows:
+        chunks[c] = chunks.get(c, 0) + score[f"s{a}"] + score[f"p{b}"]
+    assert {r.chunk: r.graph for r in run("chunk_graph_score_whole")} == pytest.approx(chunks, abs=1e-10)
+    assert {r.vec_id: r.graph for r in run("hybrid_rank_whole")} == pytest.approx({1: score["p1"], 51: score["p51"], 101: score["p101"], 7: 0.0}, abs=1e-11)
