@@ -273,6 +273,13 @@ def levenshtein_titles(s: Spark, d: str) -> DataFrame:
     return b.select("id", F.round(T.levenshtein_ratio(F.col("title"), F.col("title_en")), 6).alias("ratio"))
 
 
+@query("levenshtein_titles_all")
+def levenshtein_titles_all(s: Spark, d: str) -> DataFrame:
+    """Titles of every script by characters; DuckDB compares bytes, so there is no SQL."""
+    b = table(s, d, "books").filter("title IS NOT NULL AND title_en IS NOT NULL")
+    return b.select("id", F.round(T.levenshtein_ratio(F.col("title"), F.col("title_en")), 6).alias("ratio"))
+
+
 @query("approx_tokens", "SELECT doc_id, CAST(ceil(a / 4.0 + c / 2.0 + k / 1.5 + (n - a - c - k) / 3.0) AS BIGINT) AS tokens FROM (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g')) AS a, length(regexp_replace(text, '[^\\x{400}-\\x{4ff}]', '', 'g')) AS c, length(regexp_replace(text, '[^\\x{3040}-\\x{30ff}\\x{4e00}-\\x{9fff}]', '', 'g')) AS k FROM documents WHERE text IS NOT NULL) x")
 def approx_tokens(s: Spark, d: str) -> DataFrame:
     return table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", T.approx_tokens(F.col("text")).alias("tokens"))
@@ -294,6 +301,13 @@ def canonical_names(s: Spark, d: str) -> DataFrame:
     return b.select("author", T.canonical_name(F.col("author")).alias("canonical"))
 
 
+@query("canonical_names_all")
+def canonical_names_all(s: Spark, d: str) -> DataFrame:
+    """Authors of every script; DuckDB's classes of letters differ from these beyond ASCII, so there is no SQL."""
+    b = table(s, d, "books").filter("author IS NOT NULL").select("author").distinct()
+    return b.select("author", T.canonical_name(F.col("author")).alias("canonical"))
+
+
 @query("heading_lines")
 def heading_lines(s: Spark, d: str) -> DataFrame:
     lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))

@@ -188,3 +188,23 @@ def test_whole_graph_keeps_every_part(spark, tmp_path, monkeypatch):
         chunks[c] = chunks.get(c, 0) + score[f"s{a}"] + score[f"p{b}"]
     assert {r.chunk: r.graph for r in run("chunk_graph_score_whole")} == pytest.approx(chunks, abs=1e-10)
     assert {r.vec_id: r.graph for r in run("hybrid_rank_whole")} == pytest.approx({1: score["p1"], 51: score["p51"], 101: score["p101"], 7: 0.0}, abs=1e-11)
+
+
+def test_titles_and_names_of_every_script(spark, tmp_path):
+    from folioflow.plans import registry
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    titles = [("1", "Теория систем", "Theory of Systems"), ("2", "Übersicht", "Ubersicht"), ("3", "Log", "Logs"), ("4", None, "x"), ("5", "Ёлка", None)]
+    names = ["Иван  Петров!", "José Ñandú", "Knuth, D. E.", None, None]
+    spark.createDataFrame([(*t, a) for t, a in zip(titles, names, strict=True)], "id string, title string, title_en string, author string").write.parquet(f"{tmp_path}/books.parquet")
+    run = lambda q: registry.QUERIES[q](spark, str(tmp_path)).collect()
+    want = {i: 1 - edits(a, b) / max(len(a), len(b)) for i, a, b in titles if a and b}
+    assert {r.id: r.ratio for r in run("levenshtein_titles_all")} == pytest.approx(want, abs=1e-6)
+    assert {r.author: r.canonical for r in run("canonical_names_all")} == {"Иван  Петров!": "иван петров", "José Ñandú": "josé ñandú", "Knuth, D. E.": "knuth d e"}
