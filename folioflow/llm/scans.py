@@ -583,11 +583,18 @@ def found(noise: DataFrame, fixed: DataFrame) -> DataFrame:
 
 def repaired_text(text: str | None, titles: list[str] | None, model: ScanModel) -> str | None:
     """Continuous paragraphs: running lines and page numbers out, broken words joined, lines joined, misread words replaced."""
-    if not text:
-        return text
-    lines, noise = line_noise(text, [x for x in titles or [] if x], model)
-    odd = sorted(set(suspects(lines, noise, model)))
+    return repaired_texts([(text, titles)], model)[0]
+
+
+def repaired_texts(items: list[tuple[str | None, list[str] | None]], model: ScanModel) -> list[str | None]:
+    """repaired_text for many texts, with one call of each classifier and each distinct token ranked once."""
+    pages = line_noise_of([(text or "", [x for x in titles or [] if x]) for text, titles in items], model)
+    odd = sorted({t for lines, noise in pages for t in suspects(lines, noise, model)})
     bad = {t: c[0] for t, c in zip(odd, model.corrections(odd, [1] * len(odd)), strict=True) if c}
+    return [_rebuilt(lines, noise, bad) if text else text for (text, _), (lines, noise) in zip(items, pages, strict=True)]
+
+
+def _rebuilt(lines: list[str], noise: LineNoise, bad: dict[tuple[str, bool], str]) -> str:
     skip = set(noise.header) | set(noise.page_no)
     words = dict(places(lines, noise))
     joins = {i for i, _ in noise.hyphens}
@@ -617,6 +624,7 @@ def repair(chunks: DataFrame, model: ScanModel) -> DataFrame:
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, titles in batches:
-            yield pa.array([repaired_text(t, p, model) for t, p in zip(texts.to_pylist(), titles.to_pylist(), strict=True)], pa.string())
+            items = list(zip(texts.to_pylist(), titles.to_pylist(), strict=True))
+            yield pa.array([t for at in range(0, len(items), 512) for t in repaired_texts(items[at : at + 512], model)], pa.string())
 
     return chunks.withColumn("text", F.arrow_udf(run, "string")("text", "path_titles"))
