@@ -303,7 +303,7 @@ def canonical_names(s: Spark, d: str) -> DataFrame:
 
 @query("canonical_names_all")
 def canonical_names_all(s: Spark, d: str) -> DataFrame:
-    """Authors of every script; DuckDB's classes of letters differ from these beyond ASCII, so there is no SQL."""
+    """Authors of every script, without SQL."""
     b = table(s, d, "books").filter("author IS NOT NULL").select("author").distinct()
     return b.select("author", T.canonical_name(F.col("author")).alias("canonical"))
 
