@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -66,6 +67,23 @@ def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list[Row]:
     return rows
 
 
+def hash_sample(df: DataFrame, column: str, n: int) -> list:
+    """At most n distinct values of a column, those with the smallest hashes; the same values give the same sample.
+
+    A bound on the hash, from the row count, thins the column before anything is sorted, and copies are folded first, so
+    what the tasks send grows neither with the rows nor with their number. Nulls are left out.
+    """
+    values = df.select(F.col(f"`{column}`").alias("v")).filter("v IS NOT NULL")
+    share = min(1.0, 4.0 * n / max(df.count(), 1))
+    kept = values.filter(F.abs(F.xxhash64("v") / 9.3e18) < share).distinct()
+    return [r.v for r in kept.orderBy(F.abs(F.xxhash64("v") / 9.3e18), "v").limit(n).collect()]
+
+
+def tasks(spark: SparkSession, least: int = 1) -> int:
+    """Partitions for shuffles in front of costly Python, which adaptive execution must not merge: pass it to repartition()."""
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def require(df: DataFrame, *columns: str) -> None:
     """Fail early, with names, when an operator's input lacks a column."""
     missing = [c for c in columns if c not in df.columns]
