@@ -1,16 +1,16 @@
 """Problem 1: records of evaluation splits that stand, the same or almost, in the training split.
 
-Evaluation records are held in full-text indexes (suffix order, Burrows-Wheeler transform and rank lists over words),
-one per shard. Training records stream through backward search, which gives for every position the match lengths and how
-often each word window stands in the shard; the rarest windows lead to candidates, whose maximal matches merge into
-spans, and an exact word alignment decides.
+Evaluation records are held in compressed full-text indexes (the Burrows-Wheeler transform of their words), built once
+a shard. Training records stream through backward search with a few of their segments as seeds: more disjoint segments
+than edits are allowed, so that every partner holds one of them unchanged. The places of the seeds give candidates, whose
+maximal matches are merged into spans and counted; a word alignment decides about what is left.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,18 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.session import cut, require
+from folioflow.session import cut, require, tasks
 
 #: One word in so many may be changed, added or dropped.
 ONE_IN = 6
-#: Words per window. Every edit breaks at most so many windows, so any MAX_EDITS * Q + 1 windows of a record hold one
-#: that every partner shares.
-Q = 3
-#: Words per shard of the evaluation index, and training rows per task and shard.
-SHARD_WORDS, BLOCK_ROWS = 200_000, 20_000
+#: Words of a seed, at least and at most; records of one word have that word.
+SEED = (2, 6)
+#: Matches of at least so many words count as matched text.
+SPAN = 3
+#: Words per shard of the evaluation index, and training records per task and shard.
+SHARD_WORDS, BLOCK_ROWS = 100_000, 20_000
+#: Counters of the sketch of evaluation windows, at most (two bytes each). It only ranks seeds: any choice finds all partners.
+MOST_COUNTERS = 1 << 24
 
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>|&[a-z]+;|&#\d+;")
 _INVISIBLE = re.compile("[­​-‏⁠﻿̀-ͯ]")
+_PLACES_AT_ONCE, _PAIRS_AT_ONCE = 2_000_000, 4_096
 
 
 def words_of(text: str | None) -> list[str]:
@@ -45,116 +49,272 @@ def most_edits(n: int) -> int:
     return n // (ONE_IN - 1)
 
 
+def window_hashes(flat: np.ndarray, sizes: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per window length: a hash for every place of the records laid end to end, and whether a window starts there.
+
+    Windows of one word count in records of one word only.
+    """
+    n = len(flat)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
+    words, out = flat.view(np.uint64), {}
+    with np.errstate(over="ignore"):
+        h = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+        for k in range(1, SEED[1] + 1):
+            h = h * np.uint64(0xD6E8FEB86659FD93) + np.concatenate([words[k - 1 :], np.zeros(min(k - 1, n), np.uint64)])
+            if k == 1 or k >= SEED[0]:
+                mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                ok = (left >= k) if k > 1 else np.repeat(sizes == 1, sizes)
+                out[k] = ((mixed ^ (mixed >> np.uint64(32))).view(np.int64), ok)
+    return out
+
+
+def choose_seeds(flat: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Record number, start, length and hash of most_edits + 1 disjoint windows of every record that are rarest together.
+
+    The sketch never counts too few, so that seeds it counts 0 times stand nowhere; they are left out.
+    """
+    hashes = window_hashes(flat, sizes)
+    mask = np.int64(len(sketch) - 1)
+    begins = np.cumsum(sizes) - sizes
+    parts: list[tuple[np.ndarray, ...]] = []
+    by_size = np.argsort(sizes, kind="stable")
+    by_size = by_size[sizes[by_size] > 0]
+    for at in range(0, len(by_size), 512):
+        rows = by_size[at : at + 512]
+        n = sizes[rows]
+        want = n // (ONE_IN - 1) + 1
+        longest, most, b = int(n.max()), int(want.max()), len(rows)
+        place = np.minimum(begins[rows][:, None] + np.arange(longest), len(flat) - 1)
+        inside = np.arange(longest) < n[:, None]
+        costs = {k: np.where(inside & ok[place], sketch[h[place] & mask].astype(np.float32), np.inf) for k, (h, ok) in hashes.items()}
+        best = np.full((longest + 1, b, most + 1), np.inf, np.float32)
+        best[:, :, 0] = 0
+        chosen = np.zeros((longest + 1, b, most + 1), np.int8)
+        for i in range(1, longest + 1):
+            best[i] = np.minimum(best[i], best[i - 1])
+            for k, c in costs.items():
+                if k <= i:
+                    new = best[i - k][:, :-1] + c[:, i - k, None]
+                    better = new < best[i][:, 1:]
+                    best[i][:, 1:][better] = new[better]
+                    chosen[i][:, 1:][better] = k
+        end, open_, who = n.copy(), want.copy(), np.arange(b)
+        while (open_ > 0).any():
+            k = np.where(open_ > 0, chosen[end, who, open_], 0)
+            take = k > 0
+            start = end - k
+            parts.append((rows[take], start[take], k[take].astype(np.int64)))
+            end = np.where(take, start, np.maximum(end - 1, 0))
+            open_ = open_ - take
+    if not parts:
+        return (np.zeros(0, np.int64),) * 4
+    row, start, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+    where = begins[row] + start
+    h = np.zeros(len(row), np.int64)
+    for length, (values, _) in hashes.items():
+        h[k == length] = values[where[k == length]]
+    met = sketch[h & mask] > 0
+    return row[met], start[met], k[met], h[met]
+
+
 class TextIndex:
-    """Full-text index of records of words; words are numbered, every record ends in a stop of its own number 0."""
-
-    def __init__(self, records: list[list[str]]) -> None:
-        vocabulary: dict[str, int] = {}
-        flat: list[int] = []
-        starts = []
-        for r in records:
-            starts.append(len(flat))
-            flat += [vocabulary.setdefault(w, len(vocabulary) + 1) for w in r]
-            flat.append(0)
-        self.vocabulary, self.starts = vocabulary, np.array(starts, np.int64)
-        s = np.array(flat, np.int64)
-        n = len(s)
-        # suffix order by doubling; a stop is followed by its position, so that no match crosses a record's end
-        rank = np.where(s == 0, np.arange(n) - n, s)
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+    """Full-text index of a shard: the transform of its words and the words' numbers; all else follows from the transform.
+
+    Words are numbered from 1, every record ends in a stop numbered 0, and stops sort by their place.
+    """
+
+    def __init__(self, transform: np.ndarray, vocabulary: np.ndarray, records: int) -> None:
+        self.vocabulary, n = vocabulary, len(transform)
+        order = np.argsort(transform, kind="stable")
+        self.n, self.keys = n, transform[order].astype(np.int64) * (n + 1) + order
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(transform, minlength=len(vocabulary) + 1))])
+        before = np.empty(n, np.int64)
+        before[order] = np.arange(n)
+        # all records are read from their stops backwards at once
+        self.record, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        rows, who, read, step = np.arange(records), np.arange(records), [], 0
+        self.record[:records] = who
+        self.sizes = np.zeros(records, np.int64)
+        while len(rows):
+            w = transform[rows]
+            rows, who, w = before[rows][w > 0], who[w > 0], w[w > 0]
+            step += 1
+            self.record[rows], back[rows] = who, step
+            self.sizes[who] = step
+            read.append((who, w))
+        self.place = self.sizes[self.record] - back
+        self.texts = np.full((records, int(self.sizes.max(initial=0))), -2, np.int32)
+        for step, (who, w) in enumerate(read, 1):
+            self.texts[who, self.sizes[who] - step] = w
+
+    @staticmethod
+    def build(records: list[np.ndarray]) -> TextIndex:
+        return TextIndex(*TextIndex.transform(records), len(records))
+
+    @staticmethod
+    def transform(records: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The transform and the sorted vocabulary of records of hashed words."""
+        sizes = np.array([len(r) for r in records], np.int64)
+        flat = np.concatenate([*records, np.zeros(0, np.int64)]).astype(np.int64)
+        vocabulary, number = np.unique(flat, return_inverse=True)
+        n = len(flat) + len(records)
+        stops = np.cumsum(sizes + 1) - 1
+        s = np.zeros(n, np.int64)
+        s[np.setdiff1d(np.arange(n), stops, assume_unique=True)] = number + 1
+        # suffix order by doubling; stops differ, so that no match crosses a record's end
+        rank = np.unique(np.where(s == 0, np.arange(n) - n, s), return_inverse=True)[1].astype(np.int64)
         k = 1
         while n and rank.max() < n - 1:
             after = np.full(n, -1, np.int64)
             after[: n - k] = rank[k:]
             rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
             k *= 2
-        self.order = np.argsort(rank).astype(np.int64)
-        self.n = n
-        before = s[self.order - 1] if n else s  # the transform
-        # rank lists: the positions of each word in the transform, as one sorted array of word * n + position
-        self.keys = np.sort(before * (n + 1) + np.arange(n))
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=len(vocabulary) + 1))])
-        self.record_of = np.repeat(np.arange(len(records)), np.diff(np.append(self.starts, n)))
+        return (s[np.argsort(rank) - 1] if n else s).astype(np.uint32), vocabulary
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of hashed words; words the shard lacks are -1."""
+        if not len(self.vocabulary):
+            return np.full(len(words), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == words, at + 1, -1)
 
     def _rank(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Occurrences of each word before each place of the transform."""
-        return np.searchsorted(self.keys, word * (self.n + 1) + at) - np.searchsorted(self.keys, word * (self.n + 1))
+        """Occurrences of each word before each row of the transform."""
+        return np.searchsorted(self.keys, word * (self.n + 1) + at) - self.first[word]
 
-    def backward(self, words: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search from every end (exclusive) at once: length of the longest match up to `most` words, and its interval."""
+    def backward(self, words: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward search for many windows of a text of numbered words at once: the row interval of each, empty where it is absent."""
         lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
-        length, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
-        for step in range(1, most + 1):
-            at = ends[live] - step
-            live, at = live[at >= 0], at[at >= 0]
-            w = words[at]
-            ok = w > 0
-            live, w = live[ok], w[ok]
-            if not len(live):
-                break
+        live = np.arange(len(ends))
+        for step in range(1, int(lengths.max(initial=0)) + 1):
+            live = live[(lengths[live] >= step) & (hi[live] > lo[live])]
+            w = words[ends[live] - step]
+            hi[live[w < 0]] = lo[live[w < 0]]
+            live, w = live[w > 0], w[w > 0]
             a = self.first[w] + self._rank(w, lo[live])
             b = self.first[w] + self._rank(w, hi[live])
-            ok = b > a
-            live = live[ok]
-            lo[live], hi[live], length[live] = a[ok], b[ok], step
-        return length, lo, hi
+            lo[live], hi[live] = a, b
+        return lo, hi
 
-    def candidates(self, record: list[str]) -> dict[int, list[tuple[int, int]]]:
-        """Records that can be within the allowed edits of this one, with merged spans of maximal matches.
+    def candidates(self, words: np.ndarray, sizes: np.ndarray, owner: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query and a record whose sizes are close and that share enough seeds at close places.
 
-        Windows of Q words are counted by backward search; of them the most_edits * Q + 1 rarest are followed to
-        their places. A record too short for that many windows is looked up by all its words.
+        words are the queries' numbered words laid end to end; owner, start and length are their seeds. Of most_edits + 1
+        seeds of a query, a partner breaks at most as many as the pair allows edits.
         """
-        n = len(record)
-        q = Q if n - Q + 1 > most_edits(n) * Q else 1
-        words = np.array([self.vocabulary.get(w, -1) for w in record], np.int64)
-        need = most_edits(n) * q + 1
-        ends = np.arange(q, n + 1)
-        length, lo, hi = self.backward(words, ends, q)
-        count = np.where(length == q, hi - lo, 0)
-        rarest = np.argsort(count, kind="stable")[:need]
-        rarest = rarest[count[rarest] > 0]
-        hits: set[int] = set()
-        for i in rarest:
-            hits.update(self.record_of[self.order[lo[i] : hi[i]]].tolist())
-        if not hits:
-            return {}
-        # the longest match that ends at each place, followed to the candidates alone
-        length, lo, hi = self.backward(words, np.arange(1, n + 1), n)
-        maximal = [i for i in range(n) if length[i] and (i == n - 1 or length[i + 1] < length[i] + 1)]
-        spans: dict[int, list[tuple[int, int]]] = {h: [] for h in hits}
-        for i in maximal:
-            if hi[i] - lo[i] <= 64 or length[i] >= Q:
-                for r in set(self.record_of[self.order[lo[i] : hi[i]]].tolist()) & hits:
-                    spans[r].append((i + 1 - int(length[i]), i + 1))
-        return {r: merged(x) for r, x in spans.items()}
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
-
-
-def edits_within(a: list[str], b: list[str], most: int) -> int | None:
-    """Word edits between two records if at most `most`, by a band around the diagonal."""
+        begins = np.cumsum(sizes) - sizes
+        lo, hi = self.backward(words, begins[owner] + start + length, length)
+        count = hi - lo
+        some = np.flatnonzero(count)
+        found: list[np.ndarray] = []
+        upto = np.cumsum(count[some])
+        for a, b in _chunks(upto, _PLACES_AT_ONCE):
+            pick = some[a:b]
+            seed = np.repeat(pick, count[pick])
+            row = np.arange(len(seed)) - np.repeat(np.cumsum(count[pick]) - count[pick], count[pick]) + lo[seed]
+            record, query = self.record[row], owner[seed]
+            allowed = np.maximum(sizes[query], self.sizes[record]) // ONE_IN
+            near = (np.abs(self.place[row] - start[seed]) <= allowed) & (np.abs(sizes[query] - self.sizes[record]) <= allowed)
+            found.append(np.unique(np.stack([query[near], record[near], seed[near]], 1), axis=0))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pairs, shared = np.unique(np.unique(np.concatenate(found), axis=0)[:, :2], axis=0, return_counts=True)
+        n = sizes[pairs[:, 0]]
+        allowed = np.maximum(n, self.sizes[pairs[:, 1]]) // ONE_IN
+        enough = shared >= n // (ONE_IN - 1) + 1 - allowed
+        return pairs[enough, 0], pairs[enough, 1]
+
+    def search(self, words: np.ndarray, sizes: np.ndarray, owner: np.ndarray, start: np.ndarray, length: np.ndarray) -> pd.DataFrame:
+        """query, record, edits and matched share of all pairs within the allowed edits."""
+        numbered = self.numbers(words).astype(np.int32)
+        query, record = self.candidates(numbered, sizes, owner, start, length)
+        begins = np.cumsum(sizes) - sizes
+        out = []
+        by_size = np.argsort(sizes[query], kind="stable")
+        for at in range(0, len(by_size), _PAIRS_AT_ONCE):
+            q, r = query[by_size[at : at + _PAIRS_AT_ONCE]], record[by_size[at : at + _PAIRS_AT_ONCE]]
+            n, m = sizes[q], self.sizes[r]
+            wide = np.arange(int(n.max()))
+            a = np.where(wide < n[:, None], numbered[np.minimum(begins[q][:, None] + wide, len(numbered) - 1)], -1)
+            b = self.texts[r][:, : int(m.max())]
+            allowed = np.maximum(n, m) // ONE_IN
+            covered, spanned = merged_matches(a, b, n, allowed)
+            keep = covered >= n - allowed
+            if keep.any():
+                edits = aligned(a[keep], b[keep], n[keep], m[keep], allowed[keep])
+                out.append(pd.DataFrame({"query": q[keep], "record": r[keep], "edits": edits, "matched": spanned[keep] / n[keep]})[edits <= allowed[keep]])
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "record": [], "edits": [], "matched": []})
+
+
+def _chunks(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes, given by their running sum, add up to about `most`."""
+    a = 0
+    while a < len(upto):
+        done = upto[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(upto, done + most, "right")))
+        yield a, b
+        a = b
+
+
+def merged_matches(a: np.ndarray, b: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a in any maximal match with b shifted by at most the allowed edits, and those in matches of SPAN words or more
+    (in texts shorter than that, in any).
+
+    Matches of all shifts are merged before they are counted. A pair within its edits has all but so many words in them.
+    """
+    wide = a.shape[1]
+    k = int(allowed.max(initial=0))
+    framed = np.full((len(b), wide + 2 * k), -3, np.int32)
+    framed[:, k : k + min(b.shape[1], wide + k)] = b[:, : wide + k]
+    some, spans = np.zeros(a.shape, bool), np.zeros(a.shape, bool)
+    for shift in range(-k, k + 1):
+        equal = (a == framed[:, k + shift : k + shift + wide]) & (a > 0) & (abs(shift) <= allowed)[:, None]
+        some |= equal
+        if wide >= SPAN:
+            run = equal[:, : wide - SPAN + 1].copy()
+            for i in range(1, SPAN):
+                run &= equal[:, i : wide - SPAN + 1 + i]
+            for i in range(SPAN):
+                spans[:, i : wide - SPAN + 1 + i] |= run
+    return some.sum(1), np.where(n < SPAN, some.sum(1), spans.sum(1))
+
+
+def aligned(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Word edits of all pairs at once, in a band around the diagonal; more than allowed where a pair leaves the band."""
+    k = int(allowed.max(initial=0))
+    shifts = np.arange(-k, k + 1, dtype=np.int32)
+    big = np.int32(1 << 20)
+    framed = np.full((len(b), a.shape[1] + 2 * k + 1), -3, np.int32)
+    framed[:, k : k + min(b.shape[1], a.shape[1] + k + 1)] = b[:, : a.shape[1] + k + 1]
+    row = np.broadcast_to(np.where(shifts >= 0, shifts, big), (len(a), 2 * k + 1)).astype(np.int32)
+    result = np.full(len(a), big, np.int32)
+    for i in range(a.shape[1] + 1):
+        if i:
+            same = a[:, i - 1, None] != framed[:, i - 1 : i + 2 * k]
+            new = row + same
+            new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+            new[:, shifts + i < 0] = big
+            if 0 <= k - i:
+                new[:, k - i] = i
+            row = np.minimum.accumulate(new - shifts, axis=1) + shifts
+        done = np.flatnonzero(n == i)
+        if len(done):
+            at = np.clip(m[done] - i + k, 0, 2 * k)
+            result[done] = np.where(np.abs(m[done] - i) <= k, row[done, at], big)
+    return result
+
+
+def edits_within(a: list, b: list, most: int) -> int | None:
+    """Word edits between two records if at most `most`."""
     if abs(len(a) - len(b)) > most:
         return None
-    big = most + 1
-    row = {j: j for j in range(min(len(b), most) + 1)}
+    row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        new = {}
-        for j in range(max(0, i - most), min(len(b), i + most) + 1):
-            new[j] = i if j == 0 else min(row.get(j, big) + 1, new.get(j - 1, big) + 1, row.get(j - 1, big) + (x != b[j - 1]))
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
-        if min(row.values()) > most:
-            return None
-    d = row.get(len(b), big)
-    return d if d <= most else None
+    return row[-1] if row[-1] <= most else None
 
 
 def representatives(lines: DataFrame) -> DataFrame:
@@ -174,56 +334,115 @@ def representatives(lines: DataFrame) -> DataFrame:
     return folded.withColumn("key", F.xxhash64("folded"))
 
 
-def _windows(q: int) -> str:
-    """SQL for the hashed windows of q words of a record, each once."""
-    parts = ", ".join(f"words[i + {k}]" for k in range(q))
-    return f"CASE WHEN size(words) < {q} THEN cast(array() AS array<bigint>) ELSE array_distinct(transform(sequence(0, size(words) - {q}), i -> xxhash64({q}, {parts}))) END"
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False), sizes
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+
+
+def _windows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Hashes of all windows that can be seeds, per record."""
+    for lists in batches:
+        flat, sizes = _flat(lists)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        got = [(owner[ok], h[ok]) for h, ok in window_hashes(flat, sizes).values()]
+        who, h = (np.concatenate(x) for x in zip(*got, strict=True))
+        by = np.argsort(who, kind="stable")
+        yield _lists(h[by], np.bincount(who, minlength=len(sizes)))
+
+
+def _sketch(windows: DataFrame, counters: int) -> np.ndarray:
+    """Counts of window hashes in so many counters (a power of two); other windows may add to a count, none is lost."""
+    slice_ = 1 << 16
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(slice_, np.uint16)
+        out[rows["at"].to_numpy() % slice_] = np.minimum(rows["n"].to_numpy(), 65_535)
+        return pd.DataFrame({"slice": [int(rows["at"].iloc[0]) // slice_], "counts": [out.tobytes()]})
+
+    counted = windows.select(F.col("h").bitwiseAND(F.lit(counters - 1)).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    packed = counted.groupBy((F.col("at") / slice_).cast("int").alias("slice")).applyInPandas(pack, "slice int, counts binary")
+    sketch = np.zeros(counters, np.uint16)
+    for r in packed.collect():  # at most MOST_COUNTERS / 65,536 rows
+        sketch[r["slice"] * slice_ : (r["slice"] + 1) * slice_] = np.frombuffer(r["counts"], np.uint16)[: counters - r["slice"] * slice_]
+    return sketch
+
+
+_SEEDED = "key bigint, words array<bigint>, starts array<int>, lengths array<int>, hashes array<bigint>"
+_INDEX = "shard int, records int, transform binary, vocabulary binary, keys binary"
 
 
 def overlaps(lines: DataFrame, left: str = "train") -> DataFrame:
     """Pairs of a text of the split `left` and a text of another split that are equal but for one word in ONE_IN.
 
-    Columns: left_key and right_key (keys of equal texts; members are in representatives()), edits, and the matched
-    share of the left text's words. Equal texts are one text each, so groups of copies of any size cost one row.
-    A training text only visits the shards that hold enough of its word windows to have a partner at all (an
-    edit breaks at most Q of them), and shards visited by many are worked on in blocks. Texts without words have no partner.
+    Columns: left_key and right_key (keys of equal texts; members are in representatives()), edits, and matched, the share
+    of the left text's words in merged matches of SPAN words or more. Equal texts are one text each, so groups of copies of
+    any size cost one row. A training text visits only the shards that hold one of its seeds, which are chosen as the
+    rarest by a sketch of bounded size, so that common phrases neither route nor make candidates where a text has anything
+    rarer; shards visited by many are worked on in blocks, each with the index built before. Texts without words and
+    lines without a split have no partner. Words are compared by 64-bit hashes.
     """
     reps = lines if "folded" in lines.columns else representatives(lines)
-    texts = reps.filter("folded <> ''").groupBy("key", (F.col("split") == left).alias("is_left")).agg(F.min("folded").alias("folded"))
-    texts = cut(texts.withColumn("words", F.split("folded", " ")).drop("folded"))
+    spark = reps.sparkSession
+    texts = reps.filter("folded <> '' AND split IS NOT NULL").groupBy("key", (F.col("split") == left).alias("is_left")).agg(F.min("folded").alias("folded"))
+    texts = cut(texts.select("key", "is_left", F.transform(F.split("folded", " "), lambda w: F.xxhash64(w)).alias("words")))
     right = texts.filter("NOT is_left").drop("is_left")
     size = right.agg(F.sum(F.size("words"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_WORDS))
     right = right.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
-    where = right.select("shard", F.explode(F.expr(f"concat({_windows(Q)}, {_windows(1)})")).alias("w")).distinct()
-    edits = F.expr(f"int(size(words) / {ONE_IN - 1})")
-    long = F.size("words") - Q + 1 > edits * Q
-    mine = texts.filter("is_left").drop("is_left")
-    asked = mine.select("key", F.when(long, F.expr(_windows(Q))).otherwise(F.expr(_windows(1))).alias("ws"), (edits * F.when(long, Q).otherwise(1)).alias("lost"))
-    asked = asked.select("key", F.greatest(F.lit(1), F.size("ws") - F.col("lost")).alias("need"), F.explode("ws").alias("w"))
-    held = asked.join(where, "w").groupBy("key", "shard").agg(F.count("*").alias("held"), F.first("need").alias("need"))
-    visits = mine.join(held.filter("held >= need").select("key", "shard"), "key")
-    blocks = visits.groupBy("shard").agg(F.count("*").alias("rows")).select("shard", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
-    right = right.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "key", "words")
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of their own for the cogroup
-    visits = visits.join(blocks, "shard").select("shard", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "words")
+
+    def build(held: pd.DataFrame) -> pd.DataFrame:
+        transform, vocabulary = TextIndex.transform([np.asarray(w) for w in held["words"]])
+        pack = lambda x: zlib.compress(x.tobytes(), 6)
+        return pd.DataFrame({"shard": [held["shard"].iloc[0]], "records": [len(held)], "transform": [pack(transform)], "vocabulary": [pack(vocabulary)], "keys": [held["key"].to_numpy().tobytes()]})
+
+    index = cut(right.repartition(tasks(spark, min(shards, 1000)), "shard").groupBy("shard").applyInPandas(build, _INDEX))
+    windows = right.select("shard", F.explode(F.arrow_udf(_windows, "array<bigint>")("words")).alias("h"))
+    counters = min(MOST_COUNTERS, 1 << max(16, int(size * (SEED[1] - SEED[0] + 1)).bit_length()))
+    sketch = spark.sparkContext.broadcast(_sketch(windows, counters))
+
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, sizes = _flat(b.column("words"))
+            row, start, length, h = choose_seeds(flat, sizes, sketch.value)
+            by = np.argsort(row, kind="stable")
+            n = np.bincount(row, minlength=len(sizes))
+            cols = [b.column("key"), b.column("words"), _lists(start[by].astype(np.int32), n), _lists(length[by].astype(np.int32), n), _lists(h[by], n)]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "words", "starts", "lengths", "hashes"]).filter(pa.array(n > 0))
+
+    mine = cut(texts.filter("is_left").drop("is_left").mapInArrow(seed, _SEEDED))
+    asked = mine.select("key", F.explode("hashes").alias("h"))
+    routes = asked.join(windows.distinct(), "h").select("key", "shard").distinct()
+    routes = cut(routes)
+    blocks = routes.groupBy("shard").agg(F.count("*").alias("rows")).select("shard", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
+    visits = routes.join(mine.drop("hashes"), "key").join(blocks, "shard")
+    visits = visits.select("shard", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "words", "starts", "lengths")
+    held = index.join(blocks, "shard").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).drop("blocks")
+    held = held.select(*[F.col(c).alias(c) for c in held.columns])  # columns of their own for the cogroup
 
     def search(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        records = [list(w) for w in held["words"]]
-        keys = held["key"].to_numpy()
-        index = TextIndex(records)
-        out = defaultdict(list)
-        for key, words in zip(queries["key"], queries["words"], strict=True):
-            words = list(words)
-            for r, spans in index.candidates(words).items():
-                most = max(len(words), len(records[r])) // ONE_IN
-                d = edits_within(words, records[r], most)
-                if d is not None:
-                    for name, v in (("left_key", key), ("right_key", keys[r]), ("edits", d), ("matched", sum(e - s for s, e in spans) / len(words))):
-                        out[name].append(v)
-        return pd.DataFrame(out or {c: [] for c in ("left_key", "right_key", "edits", "matched")})
-
-    grouped = visits.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
+        none = pd.DataFrame({c: [] for c in ("left_key", "right_key", "edits", "matched")})
+        if not len(queries) or not len(held):
+            return none
+        h = held.iloc[0]
+        unpack = lambda x, kind: np.frombuffer(zlib.decompress(x), kind)
+        index = TextIndex(unpack(h["transform"], np.uint32), unpack(h["vocabulary"], np.int64), int(h["records"]))
+        sizes = queries["words"].map(len).to_numpy()
+        n = queries["starts"].map(len).to_numpy()
+        join = lambda c: np.concatenate(list(queries[c])).astype(np.int64)
+        got = index.search(join("words"), sizes, np.repeat(np.arange(len(n)), n), join("starts"), join("lengths"))
+        if not len(got):
+            return none
+        keys = np.frombuffer(h["keys"], np.int64)
+        return pd.DataFrame({"left_key": queries["key"].to_numpy()[got["query"].astype(int)], "right_key": keys[got["record"].astype(int)], "edits": got["edits"], "matched": got["matched"]})
+
+    n = tasks(spark)
+    grouped = visits.repartition(n, "shard", "block").groupBy("shard", "block").cogroup(held.repartition(n, "shard", "block").groupBy("shard", "block"))
     return grouped.applyInPandas(search, "left_key bigint, right_key bigint, edits int, matched double")
 
 
@@ -238,7 +457,7 @@ def pairs(lines: DataFrame, left: str = "train") -> DataFrame:
 
 
 def report(lines: DataFrame, left: str = "train") -> DataFrame:
-    """Per split and source: lines, lines with a partner in `left`, and those with an equal one."""
+    """Per split and source: lines, lines with a partner in `left`, those with an equal one, and the mean matched share of partners."""
     reps = cut(representatives(lines))
     found = overlaps(reps, left).groupBy(F.col("right_key").alias("key")).agg(F.min("edits").alias("edits"), F.max("matched").alias("matched"))
     rows = reps.filter(F.col("split") != left).join(found, "key", "left")
@@ -246,4 +465,5 @@ def report(lines: DataFrame, left: str = "train") -> DataFrame:
         F.count("*").alias("lines"),
         F.count("edits").alias("overlapping"),
         F.count_if(F.col("edits") == 0).alias("equal"),
+        F.avg("matched").alias("mean_matched"),
     )

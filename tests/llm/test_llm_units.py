@@ -204,3 +204,29 @@ def test_misread_nouns_inside_a_line():
     assert scans.repaired_text(page, ["Das Modell"], model) == "Hier misst das Ergebnis der Apparat und das Lehrbuch des Herrn Zubrun."
     joined = scans.suspects(["Das misst die Tem-", "perafur der Apparat."], scans.LineNoise([], [], [(0, 1)]), model)
     assert joined == [("Temperafur", False)] and model.corrections(joined, [1])[0][0] == "Temperatur"
+
+
+def test_text_index_finds_what_brute_force_finds():
+    r = random.Random(3)
+    base = [[r.randrange(60) for _ in range(r.randint(1, 45))] for _ in range(25)]
+
+    def variant(words):
+        w = list(words)
+        for _ in range(r.randint(0, 1 + len(w) // 6)):
+            i = r.randrange(len(w) + 1)
+            w[i : i + r.randint(0, 1)] = [r.randrange(60) for _ in range(r.randint(0, 1))]
+        return w or [1]
+
+    held = [list(x) for x in sorted({tuple(variant(r.choice(base))) for _ in range(150)})]
+    asked = [list(x) for x in sorted({tuple(variant(r.choice(base))) for _ in range(150)})]
+    index = overlap.TextIndex.build([np.array(x, np.int64) for x in held])
+    assert [index.texts[i][: index.sizes[i]].tolist() for i in range(len(held))] == [(index.numbers(np.array(x)) if x else np.array([])).tolist() for x in held]
+    flat, sizes = np.array([w for x in asked for w in x], np.int64), np.array([len(x) for x in asked])
+    sketch = np.zeros(1 << 12, np.uint16)
+    heldflat, heldsizes = np.array([w for x in held for w in x], np.int64), np.array([len(x) for x in held])
+    for h, ok in overlap.window_hashes(heldflat, heldsizes).values():
+        np.add.at(sketch, h[ok] & (len(sketch) - 1), 1)
+    row, start, length, _ = overlap.choose_seeds(flat, sizes, sketch)
+    got = index.search(flat, sizes, row, start, length)
+    want = {(i, j): d for i, a in enumerate(asked) for j, b in enumerate(held) if (d := overlap.edits_within(a, b, max(len(a), len(b)) // 6)) is not None}
+    assert {(int(q), int(k)): int(e) for q, k, e in zip(got["query"], got["record"], got["edits"], strict=True)} == want
