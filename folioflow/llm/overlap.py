@@ -345,32 +345,30 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
 
-def _windows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Hashes of all windows that can be seeds, per record."""
-    for lists in batches:
-        flat, sizes = _flat(lists)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        got = [(owner[ok], h[ok]) for h, ok in window_hashes(flat, sizes).values()]
-        who, h = (np.concatenate(x) for x in zip(*got, strict=True))
-        by = np.argsort(who, kind="stable")
-        yield _lists(h[by], np.bincount(who, minlength=len(sizes)))
-
-
-def _sketch(windows: DataFrame, counters: int) -> np.ndarray:
-    """Counts of window hashes in so many counters (a power of two); other windows may add to a count, none is lost."""
+def _record_windows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Record number and hash of all windows that can be seeds."""
+    flat, sizes = _flat(lists)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    got = [(owner[ok], h[ok]) for h, ok in window_hashes(flat, sizes).values()]
+    who, h = (np.concatenate(x) for x in zip(*got, strict=True))
+    return who, h
+
+
+def _counters(places: DataFrame, counters: int) -> np.ndarray:
+    """Sums of n by place, for places below `counters` (a power of two, MOST_COUNTERS at most), each at most 65,535."""
     slice_ = 1 << 16
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(slice_, np.uint16)
         out[rows["at"].to_numpy() % slice_] = np.minimum(rows["n"].to_numpy(), 65_535)
-        return pd.DataFrame({"slice": [int(rows["at"].iloc[0]) // slice_], "counts": [out.tobytes()]})
+        return pd.DataFrame({"slice": [int(rows["at"].iloc[0]) // slice_], "counts": [zlib.compress(out.tobytes(), 1)]})
 
-    counted = windows.select(F.col("h").bitwiseAND(F.lit(counters - 1)).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    counted = places.groupBy("at").agg(F.sum("n").alias("n"))
     packed = counted.groupBy((F.col("at") / slice_).cast("int").alias("slice")).applyInPandas(pack, "slice int, counts binary")
-    sketch = np.zeros(counters, np.uint16)
+    sums = np.zeros(counters, np.uint16)
     for r in packed.collect():  # at most MOST_COUNTERS / 65,536 rows
-        sketch[r["slice"] * slice_ : (r["slice"] + 1) * slice_] = np.frombuffer(r["counts"], np.uint16)[: counters - r["slice"] * slice_]
-    return sketch
+        sums[r["slice"] * slice_ : (r["slice"] + 1) * slice_] = np.frombuffer(zlib.decompress(r["counts"]), np.uint16)[: counters - r["slice"] * slice_]
+    return sums
 
 
 _SEEDED = "key bigint, words array<bigint>, starts array<int>, lengths array<int>, hashes array<bigint>"
@@ -402,9 +400,14 @@ def overlaps(lines: DataFrame, left: str = "train") -> DataFrame:
         return pd.DataFrame({"shard": [held["shard"].iloc[0]], "records": [len(held)], "transform": [pack(transform)], "vocabulary": [pack(vocabulary)], "keys": [held["key"].to_numpy().tobytes()]})
 
     index = cut(right.repartition(tasks(spark, min(shards, 1000)), "shard").groupBy("shard").applyInPandas(build, _INDEX))
-    windows = right.select("shard", F.explode(F.arrow_udf(_windows, "array<bigint>")("words")).alias("h"))
     counters = min(MOST_COUNTERS, 1 << max(16, int(size * (SEED[1] - SEED[0] + 1)).bit_length()))
-    sketch = spark.sparkContext.broadcast(_sketch(windows, counters))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, n = np.unique(_record_windows(b.column("words"))[1] & np.int64(counters - 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["at", "n"])
+
+    sketch = spark.sparkContext.broadcast(_counters(right.select("words").mapInArrow(count, "at bigint, n bigint"), counters))
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -417,7 +420,19 @@ def overlaps(lines: DataFrame, left: str = "train") -> DataFrame:
 
     mine = cut(texts.filter("is_left").drop("is_left").mapInArrow(seed, _SEEDED))
     asked = mine.select("key", F.explode("hashes").alias("h"))
-    routes = asked.join(windows.distinct(), "h").select("key", "shard").distinct()
+    places = asked.select(F.col("h").bitwiseAND(F.lit(counters - 1)).alias("at"), F.lit(1).alias("n"))
+    wanted = spark.sparkContext.broadcast(np.packbits(_counters(places, counters) > 0))
+
+    def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # windows that no seed asks for are left out before they are shuffled
+        for b in batches:
+            who, h = _record_windows(b.column("words"))
+            at = h & np.int64(counters - 1)
+            met = (wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([b.column("shard").take(pa.array(who[met])), pa.array(h[met])], ["shard", "h"])
+
+    windows = right.select("shard", "words").mapInArrow(stand, "shard int, h bigint").distinct()
+    routes = asked.join(windows, "h").select("key", "shard").distinct()
     routes = cut(routes)
     blocks = routes.groupBy("shard").agg(F.count("*").alias("rows")).select("shard", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
     visits = routes.join(mine.drop("hashes"), "key").join(blocks, "shard")
