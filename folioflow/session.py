@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
@@ -67,16 +67,18 @@ def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list[Row]:
     return rows
 
 
-def hash_sample(df: DataFrame, column: str, n: int) -> list:
-    """At most n distinct values of a column, those with the smallest hashes; the same values give the same sample.
+def hash_sample(df: DataFrame, column: str, n: int, keep: Column | None = None, spare: int = 20) -> list:
+    """At most n distinct values of a column that meet `keep`, those with the smallest hashes.
 
-    A bound on the hash, from the row count, thins the column before anything is sorted, and copies are folded first, so
-    what the tasks send grows neither with the rows nor with their number. Nulls are left out.
+    The same values give the same sample. A bound on the hash, from the row count, thins the column to about spare * n rows
+    before `keep` is tested and anything is sorted, and copies are folded first, so what the tasks send grows neither with
+    the rows nor with their number; where `keep` is met more seldom than that, the sample is smaller. Nulls are left out.
     """
-    values = df.select(F.col(f"`{column}`").alias("v")).filter("v IS NOT NULL")
-    share = min(1.0, 4.0 * n / max(df.count(), 1))
-    kept = values.filter(F.abs(F.xxhash64("v") / 9.3e18) < share).distinct()
-    return [r.v for r in kept.orderBy(F.abs(F.xxhash64("v") / 9.3e18), "v").limit(n).collect()]
+    at = F.abs(F.xxhash64("v") / 9.3e18)
+    share = min(1.0, float(spare * n) / max(df.count(), 1))
+    kept = df.select(F.col(f"`{column}`").alias("v")).filter(F.col("v").isNotNull() & (at < share))
+    kept = kept.distinct() if keep is None else kept.filter(keep).distinct()
+    return [r.v for r in kept.orderBy(at, "v").limit(n).collect()]
 
 
 def tasks(spark: SparkSession, least: int = 1) -> int:
