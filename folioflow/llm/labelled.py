@@ -14,17 +14,26 @@ class Builder:
     """Builds documents from texts of running prose; the same texts and seed give the same documents."""
 
     def __init__(self, texts: list[str], seed: int = 0) -> None:
-        self.r = random.Random(seed)
+        self.r, self.texts = random.Random(seed), texts
         self.by_text = [[s.strip() for s in _END.split(t.replace("\n", " ")) if len(_LETTERS.findall(s)) >= 4] for t in texts]
         self.by_text = [s for s in self.by_text if len(s) >= 3]
+        self.words = [{w.lower() for x in s for w in _LETTERS.findall(x)} for s in self.by_text]
         if not self.by_text:
             raise ValueError("no prose to build labelled documents from")
 
     def start(self) -> None:
-        self.sentences = self.r.choice(self.by_text)
+        """Begin a document: its sentences come from one text, then from the most similar others, each once before any comes again."""
+        first = self.words[self.r.randrange(len(self.words))]
+        near = [(len(first & w) / (1 + len(first | w)) + self.r.random() / 50, i) for i, w in enumerate(self.words)]
+        self.order = [i for _, i in sorted(near, reverse=True)]
+        self.at, self.left = 0, []
 
     def sentence(self) -> str:
-        return self.r.choice(self.sentences)
+        if not self.left:
+            self.left = list(self.by_text[self.order[self.at % len(self.order)]])
+            self.r.shuffle(self.left)
+            self.at += 1
+        return self.left.pop()
 
     def phrase(self) -> str:
         w = _LETTERS.findall(self.sentence())
@@ -93,6 +102,12 @@ class Builder:
         part = r.choice((self.list_marked, self.table_cells))().split("\n")[: r.randint(2, 5)]
         return "\n\n".join([self.prose(), "\n".join(part), self.prose(), self.prose()])
 
+    def prose_long(self) -> str:
+        return "\n\n".join(" ".join(self.sentence() for _ in range(self.r.randint(2, 7))) for _ in range(self.r.randint(10, 50)))
+
+    def prose_as_it_is(self) -> str:
+        return self.r.choice(self.texts)
+
     # lists
     def list_marked(self) -> str:
         r = self.r
@@ -129,8 +144,10 @@ class Builder:
     # tables
     def rows(self) -> list[list[str]]:
         r = self.r
-        k = r.randint(3, 7)
-        body = [[self.number() if r.random() < 0.7 else self.phrase().split()[0] for _ in range(k)] for _ in range(r.randint(8, 50))]
+        k = r.randint(3, 10)
+        numbers, decimals = r.choice((0.4, 0.7, 0.95)), r.choice((0.0, 0.3, 0.6))
+        one = lambda: f"{r.uniform(1, 999):.{r.choice((1, 2, 3))}f}" if r.random() < decimals else self.number()
+        body = [[one() if r.random() < numbers else self.phrase().split()[0] for _ in range(k)] for _ in range(r.randint(6, 50))]
         return [[self.phrase().split()[0].capitalize() for _ in range(k)], *body]
 
     def table_cells(self) -> str:
@@ -195,16 +212,16 @@ class Builder:
     def junk_letters(self) -> str:
         r = self.r
         alphabet = r.choice(("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщыьэюя"))
-        out = []
-        for _ in range(r.randint(30, 200)):
-            out.append("".join(r.choice(alphabet) for _ in range(r.choice((1, 1, 2, 2, 3, 5, 7)))) + r.choice(("", "", "", ".", ",", ";", "~")))
+        out, sizes = [], r.choice(((1, 1, 2, 2, 3, 5, 7), (1, 2, 3, 4, 6, 9), (1, 1, 2)))
+        for _ in range(r.randint(30, 400)):
+            out.append("".join(r.choice(alphabet) for _ in range(r.choice(sizes))) + r.choice(("", "", "", ".", ",", ";", "~")))
         return " ".join(out)
 
 
-WEIGHTS = {"prose_plain": 4, "prose_wrapped": 3, "list_marked": 3, "list_plain": 2, "list_inline": 2, "list_with_intro": 3, "prose_bare": 3, "prose_dialogue": 3, "prose_marked": 2, "list_contents": 2, "list_index": 2, "junk_symbols": 2, "junk_menu": 2, "junk_repeat": 2, "table_cells": 3}
+WEIGHTS = {"prose_plain": 4, "prose_wrapped": 3, "list_marked": 3, "list_plain": 2, "list_inline": 2, "list_with_intro": 3, "prose_bare": 3, "prose_dialogue": 5, "prose_marked": 5, "prose_long": 3, "prose_lines": 2, "prose_as_it_is": 2, "prose_verse": 2, "list_contents": 2, "list_index": 2, "junk_symbols": 2, "junk_menu": 2, "junk_repeat": 2, "table_cells": 3, "junk_letters": 3, "table_columns": 2}
 
 
-def build(texts: list[str], per_layout: int = 25, seed: int = 0) -> list[tuple[str, str]]:
+def build(texts: list[str], per_layout: int = 60, seed: int = 0) -> list[tuple[str, str]]:
     """(text, kind) pairs: per_layout documents of each layout, more of the common ones."""
     b = Builder(sorted(texts), seed)
     out = []
