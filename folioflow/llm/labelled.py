@@ -105,6 +105,9 @@ class Builder:
     def prose_long(self) -> str:
         return "\n\n".join(" ".join(self.sentence() for _ in range(self.r.randint(2, 7))) for _ in range(self.r.randint(10, 50)))
 
+    def prose_one_line(self) -> str:
+        return " ".join(self.sentence() for _ in range(self.r.randint(8, 150)))
+
     def prose_as_it_is(self) -> str:
         return self.r.choice(self.texts)
 

@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from folioflow.session import bounded_collect, hash_sample, require
 
 KINDS = ("table", "junk", "list", "prose")
-#: Tests of a rule, at most.
-MOST_TESTS = 6
+#: Tests of a rule, at most; what a rule must reach on rows it was not grown on, and failures after which a kind ends.
+MOST_TESTS, LEAST_PRECISION, MOST_FAILURES = 6, 0.9, 5
 #: Bound of the common-word table, which becomes one pattern.
 MOST_COMMON_WORDS = 20_000
 
 _BETWEEN_WORDS = r"[^\p{L}\p{N}'’]+"
-# A line of cells holds two separators (bars, tabs, semicolons, commas without a blank, wide gaps) or is a rule.
-_CELLS = r"(?:[|\t;]|,(?! )|\S {2,}(?=\S))[^|\t;,]*?(?:[|\t;]|,(?! )|\S {2,}(?=\S)|,)|^[-+=|: ]{5,}$"
+# A line of cells holds two separators (bars, tabs, semicolons or commas without a blank, wide gaps) or is a rule.
+_CELLS = r"(?:[|\t]|[;,](?=\S)|\S {2,}(?=\S)).*?(?:[|\t]|[;,](?=\S)|\S {2,}(?=\S)|[;,]$)|^[-+=|: ]{5,}$"
 # Digits and letters in one word, as dumps have.
 _MIXED = r"\p{L}\p{N}|\p{N}\p{L}"
 # Marks that open an entry of a list, and what closes an entry of an index or contents.
@@ -91,7 +91,7 @@ def statistics(documents: DataFrame, common: list[str], text: str = "text") -> D
             "__short": F.size(F.filter("__words", lambda x: F.length(x) <= 2)),
             "__distinct": F.size(F.array_distinct("__words")),
             "__cell_lines": share(lambda x: x.rlike(_CELLS)),
-            "__distinct_pairs": F.size(F.array_distinct(F.transform("__words", lambda x, i: F.struct(x, F.get("__words", i + 1))))),
+            "__distinct_pairs": F.size(F.array_distinct(F.transform("__words", lambda x, i: F.xxhash64(x, F.get("__words", i + 1))))),
             "__mixed": F.size(F.filter("__words", lambda x: x.rlike(_MIXED))),
             "__distinct_lines": F.size(F.array_distinct("__lines")),
         }
@@ -182,11 +182,11 @@ def _prune(rule: Rule, x: np.ndarray, y: np.ndarray) -> Rule:
     return best
 
 
-def induce(x: np.ndarray, y: np.ndarray, most_rules: int = 12, seed: int = 0) -> list[Rule]:
+def induce(x: np.ndarray, y: np.ndarray, most_rules: int = 16, seed: int = 0) -> list[Rule]:
     """Ordered rule list by incremental reduced-error pruning; kinds in the order of KINDS, prose as the default.
 
     Thresholds lie halfway between neighbouring values, 48 quantiles per statistic and 48 evenly among its values. Two thirds of what is not yet covered
-    grow a rule, one third prunes it; a kind ends when a rule errs on half of what it covers there.
+    grow a rule, one third prunes it; a rule must be right on LEAST_PRECISION of what it covers there.
     """
     rng, rules, left = np.random.default_rng(seed), [], np.ones(len(x), bool)
     thresholds = []
@@ -198,18 +198,20 @@ def induce(x: np.ndarray, y: np.ndarray, most_rules: int = 12, seed: int = 0) ->
         near = mid[np.minimum(np.searchsorted(mid, extra), len(mid) - 1)] if len(mid) else mid
         thresholds.append(np.unique(np.round(np.concatenate([q, near]), 4)))
     for kind in KINDS[:-1]:
+        failures = 0
         for _ in range(most_rules):
             rows = np.flatnonzero(left)
             positive = y[rows] == kind
-            if positive.sum() < 3:
-                break
             take = rng.random(len(rows)) < 2 / 3
-            if not (positive & take).any() or not (positive & ~take).any():
+            if positive.sum() < 3 or not (positive & take).any() or not (positive & ~take).any():
                 break
             rule = _prune(_grow(kind, x[rows[take]], positive[take], thresholds), x[rows[~take]], positive[~take])
             held = rule.mask(x[rows[~take]])
-            if not held.any() or (held & positive[~take]).sum() <= (held & ~positive[~take]).sum():
-                break
+            if (held & positive[~take]).sum() < LEAST_PRECISION * max(held.sum(), 1):
+                failures += 1
+                if failures == MOST_FAILURES:
+                    break
+                continue
             rules.append(rule)
             left &= ~rule.mask(x)
     return rules
@@ -253,7 +255,7 @@ def classify(stats: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def _plain(t: Column) -> Column:
     """Whether a text holds plain sentences alone."""
-    return t.rlike(r"^\p{Lu}") & t.rlike(r"\.\s*$") & ~t.rlike(r"[|\t;{}<>\[\]=]|\n[^\n]|\d{4}") & F.char_length(t).between(200, 4000)
+    return t.rlike(r"^\p{Lu}") & t.rlike(r"\.\s*$") & ~t.rlike(r"[|\t;{}<>\[\]=]|\n[^\n]|\d{4}") & F.char_length(t).between(200, 100_000)
 
 
 #: Documents of which labelled ones are built, at most; those with the smallest hashes are taken.
