@@ -14,11 +14,13 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.session import require
+from folioflow.session import bounded_collect, require
 
 # Charsets as which text was read by mistake, and charsets in which it was written.
 READ_AS = ("cp1252", "latin-1", "cp1251", "koi8-r", "koi8-u", "cp866", "mac_roman", "cp437", "cp850", "utf-16-le")
@@ -27,25 +29,25 @@ WRITTEN_IN = ("utf-8", "cp1251", "koi8-u", "koi8-r", "cp866", "cp1252", "mac_rom
 _CLEAN = (
     r"\x00-\x7Fа-яА-ЯёЁіїєґІЇЄҐéèêëàâçîïôûùüöäßñáíóúœÉÈÊÀÂÇÎÔÛÜÖÄÑÁÍÓÚŒ¿¡«»„“”’‘–—…°±µμ§·•‐‑¬­\xa0×№²³→≤≥"
 )
-#: A text without any of these holds no garbling: unexpected characters, two scripts in a word, capitals
-#: behind small letters, or three accented letters in a row.
+#: A text without any of these holds no garbling: unexpected characters, two scripts in a word, capitals behind small letters,
+#: three accented letters in a row, quotes and dashes of one code page read as letters of another.
 SUSPECT = (
-    rf"[^{_CLEAN}]|[a-z][а-яёА-ЯЁіїєґ]|[а-яёіїєґ][a-zA-Z]|[а-яёіїєґ][А-ЯЁІЇЄҐ]|[a-zà-ÿ][À-Þ]|[À-ÿ]{{3}}|[‘’“”„«»°±µ§·][A-Za-z]?[‘“„»°±µ§]"
+    rf"[^{_CLEAN}]|[a-z][а-яёА-ЯЁіїєґ]|[а-яёіїєґ][a-zA-Z]|[A-Z][а-яё]|[А-ЯЁ][a-zA-Z]|[а-яёіїєґ][А-ЯЁІЇЄҐ]|[a-zà-ÿ][À-Þ]|[À-ÿ]{{3}}|[‘’“”„«»°±µ§·][A-Za-z]?[‘“„»°±µ§]"
+    r"|(?<!\w)ô(?=[a-zA-Z]{2})(?!t[eé])|[a-zA-Z.,!?]ö(?!\w)|(?<!\w)[ùû](?!\w)|(?<=[a-z,;] )[ЧЦ](?= [a-zA-Z])"
 )
 _SUSPECT = re.compile(SUSPECT)
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 #: Bits that a step must save at least, and bits per changed character.
 LEAST_BITS, LEAST_BITS_PER_CHAR = 8.0, 1.0
-#: Texts of which the cost model is fitted at most; any larger sample gives the same costs for all practical purposes.
-MODEL_TEXTS = 3000
-LAYERS = 4
-
+#: Characters of texts that are looked at in one go.
+_AT_ONCE = 1 << 21
 
 class GarblingCost:
     """Bits a text costs under character bigrams of clean text; unseen characters and pairs cost most."""
 
-    def __init__(self, texts: Iterable[str]) -> None:
-        pairs: Counter[str] = Counter()
+    def __init__(self, texts: Iterable[str] = (), pairs: dict[str, int] | None = None) -> None:
+        """Of texts, or of the counts of their character pairs."""
+        pairs = Counter(pairs or {})
         for t in texts:
             if t and not _SUSPECT.search(t):
                 t = _fold(t)
@@ -192,20 +194,14 @@ _SENTENCES = re.compile(r"\S(?:.*?)(?:[.!?…](?=\s)|$)", re.S)
 
 def _repair(text: str, cost: GarblingCost, declared: str | None, steps: list[str], parts: tuple) -> str:
     """Layers of round trips over the whole text, then the same over its smaller parts that are still suspect."""
-    for _ in range(LAYERS):
-        got = _round_trip(text, cost, declared) if _SUSPECT.search(text) else None
-        if not got:
-            break
+    while _SUSPECT.search(text) and (got := _round_trip(text, cost, declared)):  # every step lowers the cost
         text, step = got
         steps.append(step)
     if not _SUSPECT.search(text):
         return text
     if parts:
         return parts[0].sub(lambda m: _repair(m[0], cost, declared, steps, parts[1:]) if _SUSPECT.search(m[0]) else m[0], text)
-    for _ in range(LAYERS):
-        got = _in_parts(text, cost) if _SUSPECT.search(text) else None
-        if not got:
-            break
+    while _SUSPECT.search(text) and (got := _in_parts(text, cost)):
         text, step = got
         steps.append(step)
     return text
@@ -228,15 +224,102 @@ def _declared(name: str | None) -> str | None:
     return {"windows-1252": "cp1252", "latin1": "latin-1", "iso-8859-1": "latin-1", "windows-1251": "cp1251", "utf-16le": "utf-16-le"}.get(n, n or None)
 
 
+class _Characters:
+    """Classes of characters for a quick look at whole batches, and numbers of the clean ones, of which there are few."""
+
+    def __init__(self) -> None:
+        chars = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+        held = lambda c: {x for x in chars if re.match(f"[{c}]", x)}
+        clean = held(_CLEAN)
+        self.clean = sorted(clean)
+        # the sets that the pattern names; characters alike in all of them are one class
+        names = ["a-z", "A-Z", "а-яёіїєґ", "А-ЯЁІЇЄҐ", "а-яёА-ЯЁіїєґ", "à-ÿ", "À-Þ", "‘’“”„«»°±µ§·", "‘“„»°±µ§", "ô", "ö", "ùû", "ЧЦ", r"\w"]
+        sets = [held(n) for n in names]
+        of = {x: tuple(x in s for s in sets) if x in clean else None for x in clean}
+        kinds = sorted(set(of.values()))
+        number = {k: i + 1 for i, k in enumerate(kinds)}
+        self.kind = np.zeros(0x10000, np.uint8)  # 0: not clean
+        self.number = np.full(0x10000, -1, np.int32)
+        for i, x in enumerate(self.clean):
+            self.kind[ord(x)] = number[of[x]]
+            folded = " " if x.isspace() else "0" if x.isdigit() else x
+            self.number[ord(x)] = self.clean.index(folded)
+        n = len(kinds) + 1
+        flag = np.zeros((len(sets), n), bool)
+        for k, i in number.items():
+            flag[:, i] = k
+        low, cap, cyr_low, cyr_cap, cyr, ext, ext_cap, mark_a, mark_b, o1, o2, alone, dash, word = flag
+        both = lambda a, b: np.logical_and.outer(a, b)
+        self.pair = both(low, cyr) | both(cyr_low, low | cap) | both(cap, cyr) | both(cyr_cap, low | cap) | both(cyr_low, cyr_cap) | both(low | ext, ext_cap) | both(mark_a, mark_b) | both(~word, o1) | both(o2, ~word)
+        self.first_alone, self.then = both(~word, alone | dash), both(alone | dash, ~word)
+        self.accented, self.mark_a, self.mark_b, self.latin = ext | ext_cap, mark_a, mark_b, low | cap
+
+    def suspects(self, codes: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+        """Whether each text may match SUSPECT; text holds the number of the text of every character, by which they are sorted."""
+        k = np.where(codes < 0x10000, self.kind[np.minimum(codes, 0xFFFF)], 0)
+        bad = k == 0
+        if len(k) > 1:
+            same = text[1:] == text[:-1]
+            bad[1:] |= self.pair[k[:-1], k[1:]] & same
+            starts, ends = np.ones(len(k), bool), np.ones(len(k), bool)
+            starts[1:] = ~same | self.first_alone[k[:-1], k[1:]]
+            ends[:-1] = ~same | self.then[k[:-1], k[1:]]
+            odd = np.isin(codes, [ord(c) for c in "ùûЧЦôö"])
+            bad |= odd & starts & ends
+            bad |= odd & np.where(codes == ord("ô"), np.append(True, ~same), (codes == ord("ö")) & np.append(~same, True))
+        if len(k) > 2:
+            same = text[2:] == text[:-2]
+            a, m, z = k[:-2], k[1:-1], k[2:]
+            bad[2:] |= same & ((self.accented[a] & self.accented[m] & self.accented[z]) | (self.mark_a[a] & self.latin[m] & self.mark_b[z]))
+        return np.bincount(text[bad], minlength=texts) > 0
+
+
+@cache
+def _characters() -> _Characters:
+    return _Characters()
+
+
+def _looked_at(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of texts: first and last row, code points, the row of each, and the rows that may hold garbling."""
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + _AT_ONCE, "right")) - 1)
+        codes = np.frombuffer("".join(t for t in texts.slice(a, b - a).to_pylist() if t).encode("utf-32-le"), np.uint32)
+        row = np.repeat(np.arange(b - a), sizes[a:b])
+        yield a, b, codes, row, _characters().suspects(codes, row, b - a)
+        a = b
+
+
 def fit_cost(texts: DataFrame, column: str = "text") -> GarblingCost:
-    """A cost model of at most MODEL_TEXTS texts, those with the smallest hashes."""
-    sample = texts.filter(F.col(column).isNotNull()).select(F.col(f"`{column}`").alias("t"))
-    return GarblingCost(r.t for r in sample.orderBy(F.xxhash64("t")).limit(MODEL_TEXTS).collect())
+    """A cost model of the character pairs of all texts that hold nothing suspect.
 
+    Pairs are counted per task before the shuffle; clean texts hold a few hundred characters, so their pairs are bounded.
+    """
 
-def suspect(text: Column) -> Column:
-    """JVM-side test whether a text can hold garbling at all."""
-    return text.rlike(SUSPECT)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chars = _characters()
+        n = len(chars.clean)
+        blank = chars.clean.index(" ")
+        total = np.zeros(n * n, np.int64)
+        for batch in batches:
+            for _, _, codes, row, bad in _looked_at(batch.column(0)):
+                keep = ~bad[row]
+                c, r = chars.number[codes[keep]], row[keep]
+                if not len(c):
+                    continue
+                first, last = np.append(True, r[1:] != r[:-1]), np.append(r[1:] != r[:-1], True)
+                inside = ~last[:-1]
+                total += np.bincount((c[:-1] * n + c[1:])[inside], minlength=n * n)
+                total += np.bincount(blank * n + c[first], minlength=n * n) + np.bincount(c[last] * n + blank, minlength=n * n)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
+
+    counted = texts.select(F.col(f"`{column}`").cast("string").alias("t")).mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    clean = _characters().clean
+    rows = bounded_collect(counted, len(clean) ** 2, "the table of character pairs")
+    return GarblingCost(pairs={clean[r.pair // len(clean)] + clean[r.pair % len(clean)]: r.n for r in rows})
 
 
 def repair(df: DataFrame, cost: GarblingCost, text: str, encoding: str | None = None) -> DataFrame:
@@ -244,8 +327,8 @@ def repair(df: DataFrame, cost: GarblingCost, text: str, encoding: str | None =
 
     restored is the text as it reads after repair (the text itself where nothing was done), steps names the
     round trips taken, lost tells that garbling is left which can't be restored. Columns of these names are
-    replaced. Null and empty texts, and texts without anything suspect, pass with no steps and lost false and
-    never leave the JVM. Repeated rows stay repeated. No shuffle.
+    replaced. Null and empty texts, and texts without anything suspect, pass with no steps and lost false; plain ASCII
+    never leaves the JVM. Repeated rows stay repeated. One pass, no shuffle.
     """
     require(df, text, *([encoding] if encoding else []))
     hint = F.col(f"`{encoding}`").cast("string") if encoding else F.lit(None).cast("string")
@@ -253,18 +336,25 @@ def repair(df: DataFrame, cost: GarblingCost, text: str, encoding: str | None =
     def fix(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         kind = pa.struct([("restored", pa.string()), ("steps", pa.list_(pa.string())), ("lost", pa.bool_())])
         for texts, hints in batches:
-            got = [repair_text(t, cost, _declared(h)) for t, h in zip(texts.to_pylist(), hints.to_pylist(), strict=True)]
-            yield pa.array([{"restored": a, "steps": b, "lost": c} for a, b, c in got], kind)
+            out: list[dict | None] = [None] * len(texts)
+            for a, _, _, _, bad in _looked_at(texts):
+                for i in np.flatnonzero(bad) + a:
+                    restored, steps, lost = repair_text(texts[i].as_py(), cost, _declared(hints[i].as_py()))
+                    if steps or lost:
+                        out[i] = {"restored": restored, "steps": steps, "lost": lost}
+            yield pa.array(out, kind)
 
     fixed = F.arrow_udf(fix, "struct<restored:string,steps:array<string>,lost:boolean>")
     kept = [c for c in df.columns if c not in ("restored", "steps", "lost")]
-    col = F.col(f"`{text}`")
-    odd = df.filter(suspect(col)).select(*[F.col(f"`{c}`") for c in kept], fixed(col, hint).alias("__r"))
-    odd = odd.select(*[F.col(f"`{c}`") for c in kept], "__r.restored", "__r.steps", "__r.lost")
-    plain = df.filter(~F.coalesce(suspect(col), F.lit(False))).select(
-        *[F.col(f"`{c}`") for c in kept], col.alias("restored"), F.array().cast("array<string>").alias("steps"), F.lit(False).alias("lost")
+    col = F.col(f"`{text}`").cast("string")
+    other = F.when(F.octet_length(col) != F.char_length(col), col)
+    looked = df.select(*[F.col(f"`{c}`") for c in kept], fixed(other, hint).alias("__r"))
+    return looked.select(
+        *[F.col(f"`{c}`") for c in kept],
+        F.coalesce("__r.restored", col).alias("restored"),
+        F.coalesce("__r.steps", F.array().cast("array<string>")).alias("steps"),
+        F.coalesce("__r.lost", F.lit(False)).alias("lost"),
     )
-    return odd.unionByName(plain)
 
 
 def garbled(repaired: DataFrame) -> DataFrame:

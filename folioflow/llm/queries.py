@@ -43,8 +43,8 @@ def _p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select(F.lit("chunk").alias("record_kind"), F.col("vec_rowid").cast("string").alias("record_id"), "text", F.lit(None).cast("string").alias("encoding"))
     books = table(spark, d, "books").select(F.lit("book"), "id", "title", F.lit(None).cast("string"))
     mobi = table(spark, d, "mobi_metadata").select(F.lit("mobi"), "book_id", "title", "encoding")
-    cost = encoding.fit_cost(chunks)
-    return encoding.repair(chunks.union(books).union(mobi), cost, "text", "encoding")
+    records = chunks.union(books).union(mobi)
+    return encoding.repair(records, encoding.fit_cost(records), "text", "encoding")
 
 
 @query("p4_repaired")

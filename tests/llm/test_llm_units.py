@@ -230,3 +230,23 @@ def test_text_index_finds_what_brute_force_finds():
     got = index.search(flat, sizes, row, start, length)
     want = {(i, j): d for i, a in enumerate(asked) for j, b in enumerate(held) if (d := overlap.edits_within(a, b, max(len(a), len(b)) // 6)) is not None}
     assert {(int(q), int(k)): int(e) for q, k, e in zip(got["query"], got["record"], got["edits"], strict=True)} == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_quick_look_misses_nothing_the_pattern_finds(seed):
+    r = random.Random(seed)
+    alphabet = "abzAZ яжЯЖёЁіїҐ éàÀÞÿôöùûЧЦ ‘’“”„«»°±§· .,!?\n\t09_-�×\x85𝒳漢"
+    texts = [None, "", *("".join(r.choice(alphabet) if r.random() < 0.3 else r.choice("abc зик  .") for _ in range(r.randint(1, 14))) for _ in range(3000))]
+    texts += ["two ôreadingsö support", "sensor Ч the ritual", "a ù b", "ôter", "Ьbersicht", "plain Text, schön"]
+    array = encoding.pa.array(texts)
+    bad = [bool(x) for _, _, _, _, slice_ in encoding._looked_at(array) for x in slice_]
+    assert len(bad) == len(texts)
+    missed = [t for t, b in zip(texts, bad, strict=True) if t and encoding._SUSPECT.search(t) and not b]
+    assert not missed
+    assert not any(bad[i] for i, t in enumerate(texts) if t in ("plain Text, schön", "", None))
+
+
+def test_counted_pairs_give_the_same_costs(spark):
+    texts = [RU, EN, DE, UK, "sch�ma", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert encoding.fit_cost(df).bits == pytest.approx(encoding.GarblingCost([t for t in texts if t]).bits)
