@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.boosting import Boosted
-from folioflow.session import cut, require
+from folioflow.session import cut, hash_sample, require
 
 #: A word is frequent from this share of all words on, so there are at most 1 / FREQUENT frequent words at any size.
 FREQUENT = 5e-6
 LEAST_COUNT = 4
 #: Texts whose clean parts the classifiers learn from, at most; those with the smallest hashes.
 TRAINING_TEXTS = 1500
+#: Words that are not frequent from which the ranker learns, at most.
+RARE_WORDS = 3000
 #: A word with more misreadings than this is beyond repair.
 MOST_MISREADINGS = 3
 HYPHENS = "-\xad‐‑¬"
@@ -66,6 +68,8 @@ _READ = confusions()
 def explained(read: str, printed: str, most: int = 3) -> int:
     """Misreadings that turn one word into the other, or most + 1 where listed ones do not suffice."""
     best = most + 1
+    if abs(len(read) - len(printed)) > most:
+        return best
     stack = [(0, 0, 0)]
     seen = set()
     while stack:
@@ -110,18 +114,20 @@ class Retrieval:
                 lists[g].append(i)
         self.lists = {g: np.array(v, np.int32) for g, v in lists.items()}
 
-    def candidates(self, word: str, most: int = 8) -> list[tuple[int, float]]:
-        """The words with the most shared pairs for their lengths, ties by count, that misreadings can lead to."""
-        hits = [self.lists[g] for g in set(pairs_of(word)) if g in self.lists]
+    def candidates(self, word: str) -> list[tuple[int, float]]:
+        """All words that misreadings lead to, those with the most shared pairs for their lengths first, ties by count.
+
+        A misreading breaks three pairs at most, so every word within two misreadings is found, whatever its rank.
+        """
+        mine = set(pairs_of(word))
+        hits = [self.lists[g] for g in mine if g in self.lists]
         if not hits:
             return []
         shared = np.bincount(np.concatenate(hits), minlength=len(self.words))
-        near = np.flatnonzero((np.abs(self.length - len(word)) <= 2) & (shared >= max(2, len(word) - 4)))
-        if not len(near):
-            return []
-        score = 2 * shared[near] / (self.length[near] + 1 + len(word) + 1)
-        order = np.lexsort((-self.counts[near], -score))[:most]
-        return [(int(near[k]), float(score[k])) for k in order if self.words[near[k]] != word and explained(word, self.words[near[k]]) <= MOST_MISREADINGS]
+        near = np.flatnonzero((np.abs(self.length - len(word)) <= MOST_MISREADINGS) & (shared >= max(1, len(mine) - 6)))
+        near = [i for i in near.tolist() if self.words[i] != word and explained(word, self.words[i]) <= MOST_MISREADINGS]
+        score = {i: 2 * float(shared[i]) / (self.length[i] + 1 + len(word) + 1) for i in near}
+        return [(i, float(score[i])) for i in sorted(near, key=lambda i: (-score[i], -self.counts[i], i))]
 
 
 FEATURES = ("pairs", "edits", "length", "longer", "count", "digit", "bracket", "mixed", "rank", "own", "ending", "capital", "capitals", "start", "candidate_upper", "cased_edits")
@@ -472,9 +478,12 @@ def fit(chunks: DataFrame, text: str = "text", titles: str = "path_titles") -> S
     least = max(LEAST_COUNT, FREQUENT * total)
     rows = counts.filter(F.col("n") >= least).collect()  # at most 1 / FREQUENT words
     frequent, upper = {r.word: r.n for r in rows}, {r.word: r.upper / r.n for r in rows}
-    rare = [r.word[0].upper() + r.word[1:] if 2 * r.upper >= r.n else r.word for r in counts.filter((F.col("n") < least) & (F.length("word") > 4) & ~F.col("word").contains("-")).orderBy(F.xxhash64("word")).limit(3000).collect()]
-    rows = chunks.select(F.col(f"`{text}`").alias("t"), F.col(f"`{titles}`").alias("p")).filter(F.col("t").isNotNull() & ~F.col("t").rlike(r"[0-9]\s*\n|\p{Lu}{3}|[-¬­‐]\n"))
-    sample = [(r.t, [x for x in r.p or [] if x]) for r in rows.orderBy(F.xxhash64("t")).limit(TRAINING_TEXTS).collect()]
+    seldom = counts.filter((F.col("n") < least) & (F.length("word") > 4) & ~F.col("word").contains("-"))
+    spelt = F.when(2 * F.col("upper") >= F.col("n"), F.initcap("word")).otherwise(F.col("word"))
+    rare = hash_sample(seldom.select(spelt.alias("word")), "word", RARE_WORDS, spare=2)
+    plain = ~F.col("v.t").rlike(r"[0-9]\s*\n|\p{Lu}{3}|[-¬­‐]\n")
+    texts = chunks.filter(F.col(f"`{text}`").isNotNull()).select(F.struct(F.col(f"`{text}`").alias("t"), F.col(f"`{titles}`").alias("p")).alias("v"))
+    sample = [(v.t, [x for x in v.p or [] if x]) for v in hash_sample(texts, "v", TRAINING_TEXTS, plain, spare=8)]
     return model_of(frequent, rare, sample, upper=upper)
 
 
