@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII word boundary, as in engines whose \b knows only [A-Za-z0-9_].
@@ -59,76 +59,118 @@ def normalized(text: Column, form: str = "NFKC") -> Column:
     return F.arrow_udf(run, "string")(text)
 
 
+def _without(text: Column, pattern: str) -> Column:
+    """Characters of a text that match a one-character pattern, counted by what is left without them."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
+
+
 def approx_tokens(text: Column) -> Column:
     """Estimated model tokens by script: ASCII / 4 + Cyrillic / 2 + CJK / 1.5 + rest / 3, rounded up."""
     n = F.char_length(text)
-    ascii_, cyr = F.regexp_count(text, F.lit(r"[\x00-\x7f]")), F.regexp_count(text, F.lit(r"[Ѐ-ӿ]"))
-    cjk = F.regexp_count(text, F.lit(r"[぀-ヿ一-鿿]"))
+    ascii_, cyr, cjk = _without(text, r"[\x00-\x7f]+"), _without(text, "[Ѐ-ӿ]+"), _without(text, "[぀-ヿ一-鿿]+")
     return F.ceil(ascii_ / 4 + cyr / 2 + cjk / 1.5 + (n - ascii_ - cyr - cjk) / 3).cast("bigint")
 
 
+def token_budget(text: Column, most: int) -> Column:
+    """struct<text, tokens, trimmed>: a text over `most` estimated tokens cut in proportion less five hundredths.
+
+    The cut falls behind the last end of a sentence where that lies in the last three tenths, else an ellipsis follows.
+    """
+    n = approx_tokens(text)
+    room = F.floor(F.char_length(text) * (F.lit(most) / n) * 0.95).cast("int")
+    head = F.substring(text, F.lit(1), room)
+    last = lambda mark: F.when(F.locate(mark[::-1], F.reverse(head)) > 0, F.char_length(head) - F.locate(mark[::-1], F.reverse(head)) - len(mark) + 1).otherwise(-1)
+    end = F.greatest(*[last(m) for m in (". ", "! ", "? ", "…", ".\n", "?\n", "!\n")])
+    cut = F.when(end > room * 0.7, F.substring(head, F.lit(1), end + 1)).otherwise(F.concat(F.rtrim(head), F.lit(" …")))
+    return F.when(n <= most, F.struct(text.alias("text"), n.alias("tokens"), F.lit(False).alias("trimmed"))).otherwise(F.struct(cut.alias("text"), n.alias("tokens"), F.lit(True).alias("trimmed")))
+
+
 def text_quality(text: Column) -> Column:
-    """0 below 200 characters, 50 words, half letters or outside 2..15 letters a word; else 0.5 to 1 by letter share."""
-    n, letters = F.char_length(text), F.regexp_count(text, F.lit(r"[\p{L}]"))
-    words = word_count(text)
-    share, mean = letters / n, letters / words
-    score = 0.5 + (share - 0.5) + F.when(words >= 100, 0.1).otherwise(0.0) + F.when(mean.between(3, 10), 0.1).otherwise(0.0)
-    good = (n >= 200) & (share >= 0.5) & (words >= 50) & mean.between(2, 15)
+    """0 below 200 characters, half letters, 50 words of 2 to 30 characters, or a mean outside 2..15; else 0.5 to 1.
+
+    The score is the share of letters, with a tenth more from 1,000 characters and from 200 words on.
+    """
+    n = F.char_length(text)
+    share = _without(text, r"\p{L}+") / n
+    words = F.filter(F.split(text, r"\s+"), lambda w: F.char_length(w).between(2, 30))
+    count = F.size(words)
+    mean = F.char_length(F.array_join(words, "")) / count
+    score = share + F.when(n >= 1000, 0.1).otherwise(0.0) + F.when(count >= 200, 0.1).otherwise(0.0)
+    good = (n >= 200) & (share >= 0.5) & (count >= 50) & mean.between(2, 15)
     return F.when(good, F.least(F.greatest(score, F.lit(0.5)), F.lit(1.0))).otherwise(0.0)
 
 
 def script_language(text: Column) -> Column:
-    """Language by characters of the first 2,048: uk, ru, ja, zh, ko, ar, he, de, fr, es, else en; null without letters."""
+    """Language by marks of the first 2,048 characters (a fixed window of this detector): uk, ru, de, fr, es, en or unknown."""
     head = F.substring(text, 1, 2048)
-    n = lambda p: F.regexp_count(head, F.lit(p))
-    cyr, lat = n(r"[Ѐ-ӿ]"), n(r"[A-Za-z]")
+    low = F.lower(head)
+    n = lambda p: _without(low, p)
+    uk, ru, cyr, lat = n("[іїєґ]+"), n("[ёыъэ]+"), n("[Ѐ-ӿ]+"), n("[a-z]+")
     rules = [
-        (n(r"[぀-ヿ]") > 5, "ja"),
-        (n(r"[一-鿿]") > 10, "zh"),
-        (n(r"[가-힯]") > 5, "ko"),
-        (n(r"[؀-ۿ]") > 10, "ar"),
-        (n(r"[֐-׿]") > 10, "he"),
-        ((cyr > lat) & (n("[іїєґІЇЄҐ]") * 50 > cyr), "uk"),
-        (cyr > lat, "ru"),
-        (n("[äöüßÄÖÜ]") * 100 > lat, "de"),
-        (n("[ñ¿¡Ñ]") * 400 > lat, "es"),
-        (n("[èêàçùûœ]") * 150 > lat, "fr"),
-        (lat > 0, "en"),
+        (F.char_length(F.trim(head)) < 4, "unknown"),
+        ((uk >= 2) & (cyr > 20), "uk"),
+        ((ru >= 2) & (cyr > 20) & (uk == 0), "ru"),
+        ((cyr > 50) & (uk == 0), "ru"),
+        ((n("[äöüß]+") >= 3) & (lat > 20), "de"),
+        ((n("[àâçéèêëîïôûùüÿœæ]+") >= 3) & (lat > 20), "fr"),
+        ((n("[áéíóúñ¿¡]+") >= 2) & (lat > 20), "es"),
+        ((lat > 50) & (lat / F.greatest(F.lit(1), lat + cyr) >= 0.8), "en"),
     ]
-    return reduce(lambda out, r: F.when(r[0], F.lit(r[1])).otherwise(out), reversed(rules), F.lit(None).cast("string"))
-
+    return reduce(lambda out, r: F.when(r[0], F.lit(r[1])).otherwise(out), reversed(rules), F.lit("unknown"))
 
-def heading(line: Column) -> Column:
-    """Whether a line looks like a heading: short, no closing punctuation, and numbered, capitalised or a chapter word."""
-    s = F.trim(line)
-    short = F.length(s).between(3, 80) & ~s.rlike(r"[.,;:!?]$")
-    chapter = s.rlike(r"^(?i)(?:chapter|part|section|глава|часть|раздел|kapitel|chapitre)\s")
-    numbered = s.rlike(r"^[0-9]+(\.[0-9]+)*\.?\s+\S")
-    capitals = s.rlike(r"^[A-ZА-ЯЁ0-9][A-ZА-ЯЁ0-9 «»\"'-]+$")
-    words = F.filter(F.split(s, r"\s+"), lambda x: F.length(x) > 3)
-    titled = (F.size(words) > 0) & (F.size(F.filter(words, lambda x: x.rlike("^[A-ZА-ЯЁ]"))) * 10 >= F.size(words) * 6)
-    return F.coalesce(short & (chapter | numbered | capitals | titled), F.lit(False))
 
+# Words that open a heading.
+HEADING_WORDS = r"(?iu)^(?:глава|раздел|часть|введение|заключение|приложение|предисловие|послесловие|содержание|оглавление|chapter|section|part|introduction|conclusion|appendix|preface|foreword|bibliography|references|teil|chapitre|annexe)" + ASCII_BOUNDARY
 
-def clean_paragraph(text: Column) -> Column:
-    """Soft hyphens out, words joined that a hyphen broke at a line's end, line ends and runs of blanks to one blank."""
-    t = F.regexp_replace(text, "­", "")
-    t = F.regexp_replace(t, r"(\p{L})-\n(\p{Ll})", "$1$2")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
 
+def heading(line: Column) -> Column:
+    """Whether a line of at most 120 characters looks like a heading.
 
-#: Lines of books that are no content: page marks, legal notes, ornaments, ends of chapters.
-PAGE_MARK = r"^\s*(?:[-—–\[(]*\s*[0-9]{1,4}\s*[-—–\])]*|(?i:page|стр\.?|p\.)\s*[0-9]{1,4})\s*$"
-BOILERPLATE = r"(?iu)^\s*(?:©|copyright\b|all rights reserved|printed in\b|isbn\b|все права защищены|отпечатано)"
-ORNAMENT = r"(?iu)^\s*(?:[*—–_=~·•\s-]{3,}|end of chapter.*|конец главы.*)\s*$"
+    It opens with a chapter word, or is numbered, in capitals, or has two to ten words of which six tenths start with a capital.
+    """
+    s = F.trim(line)
+    n = F.char_length(s)
+    numbered = s.rlike(r"^(?:§\s*)?[0-9]+(?:\.[0-9]+)*\.?\s+\S") & (n < 100) & ~F.substring(s, 21, 120).rlike(r"[.!?]\s+\S")
+    capitals = s.rlike(r"^[А-ЯЁA-Z0-9\s.,:;«»\-—()]+\z") & (n < 80)
+    words = F.split(s, r"\s+")
+    large = F.size(F.filter(words, lambda x: x.rlike('^[\\p{Lu}0-9«"(]')))
+    titled = (n < 100) & ~s.rlike(r"[.!?]\s*\z") & F.size(words).between(2, 10) & (large >= F.size(words) * 0.6)
+    return F.coalesce((n > 0) & (n <= 120) & (s.rlike(HEADING_WORDS) | numbered | capitals | titled), F.lit(False))
 
 
-def clean_lines(lines: Column) -> Column:
-    """Lines without page marks, boilerplate, ornaments, and short lines that stand three times or more."""
-    trimmed = F.transform(lines, lambda x: F.trim(x))
-    keep = lambda x: ~(x.rlike(PAGE_MARK) | x.rlike(BOILERPLATE) | x.rlike(ORNAMENT))
-    often = lambda x: (F.length(x).between(1, 39)) & (F.size(F.filter(trimmed, lambda y: y == x)) >= 3)
-    return F.filter(trimmed, lambda x: (F.length(x) > 0) & keep(x) & ~often(x))
+def clean_paragraph(text: Column) -> Column:
+    """Soft hyphens and control characters out, line ends unified, runs of blanks and blank lines shortened; null stays null."""
+    steps = (("­", ""), (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), (r"\r\n?", "\n"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " "))
+    return F.regexp_replace(reduce(lambda t, s: F.regexp_replace(t, *s), steps, text), r"^\s+|\s+\z", "")
+
+
+# Paragraphs of books that are no content (page marks, legal notes, ornaments), and marks of footnotes at an end.
+PAGE_MARKS = r"(?iu)^(?:[-—–]\s*[0-9]{1,4}\s*[-—–]|\[\s*[0-9]{1,4}\s*\]|(?:page|p\.|стр\.?|страница)\s*[0-9]{1,4}|[0-9]{1,4}|—{2,}\s*[0-9]+\s*—{2,})\s*\z"
+BOILERPLATE = r"(?iu)^(?:isbn[\s\-:]?\s*[0-9]|©\s*[0-9]{4}|copyright\s*©?\s*[0-9]{4}|all\s+rights\s+reserved|все\s+права\s+защищены|printed\s+in\s+|напечатано\s+в\s+|library\s+of\s+congress)"
+ORNAMENTS = r"(?iu)^(?:\s*[*•·⋅★☆◆◇■□▪▫◦‣⁃]\s*[*•·⋅★☆◆◇■□▪▫◦‣⁃]\s*[*•·⋅★☆◆◇■□▪▫◦‣⁃]\s*|[-—–_=]{3,}\s*|(?:end of chapter|конец главы|конец|the end|fin)\s*\.?\s*)\z"
+FOOTNOTE = r"(?:^|\s)(?:\[[0-9]+\]|†+|‡+|\^?[0-9]+)\s*\z"
+
+
+def clean_paragraphs(df: DataFrame, key: str, paragraphs: Column, *, pages: bool = True, boilerplate: bool = True, ornaments: bool = True, running: bool = True, footnotes: bool = True, repeats: int = 3) -> DataFrame:
+    """key, position and paragraph of what is content: page marks, legal notes, ornaments and running lines are left out, marks of
+    footnotes at the end are cut, and what holds no letter is dropped.
+
+    A running line has fewer than 40 characters and stands `repeats` times or more under one key; lines are counted by an
+    aggregation over (key, line), never within one row. Null arrays and null paragraphs give nothing.
+    """
+    rows = df.select(F.col(f"`{key}`"), F.posexplode(paragraphs).alias("position", "paragraph")).withColumn("paragraph", F.trim("paragraph")).filter(F.char_length("paragraph") > 0)
+    p = F.col("paragraph")
+    keep = F.lit(True)
+    for wanted, pattern in ((pages, PAGE_MARKS), (boilerplate, BOILERPLATE), (ornaments, ORNAMENTS)):
+        keep = keep & ~p.rlike(pattern) if wanted else keep
+    out = rows
+    if running:
+        often = rows.filter(F.char_length("paragraph") < 40).groupBy(F.col(f"`{key}`").alias("__k"), p.alias("__p")).agg(F.count("*").alias("n")).filter(F.col("n") >= repeats)
+        out = rows.join(often, rows[key].eqNullSafe(often["__k"]) & (rows["paragraph"] == often["__p"]), "left_anti")
+    out = out.filter(keep)
+    if footnotes:
+        out = out.withColumn("paragraph", F.rtrim(F.regexp_replace("paragraph", FOOTNOTE, "")))
+    return out.filter(F.col("paragraph").rlike(r"\p{L}"))
 
 
 def compressed_chapter(text: Column, head: int = 6000, tail: int = 2000) -> Column:
@@ -141,6 +183,14 @@ def first_useful(*candidates: Column) -> Column:
     return F.coalesce(*[ok(c) for c in candidates])
 
 
+def plain_isbn13(text: Column) -> Column:
+    """An ISBN field as 13 digits: blanks and hyphens out, ISBN-10 converted, check digits as they are; null where it is neither."""
+    d = F.regexp_replace(text, r"[-\s]", "")
+    body = F.concat(F.lit("978"), F.substring(d, 1, 9))
+    total = reduce(lambda s, i: s + F.substring(body, i, 1).cast("int") * (1 if i % 2 else 3), range(1, 13), F.lit(0))
+    return F.when(d.rlike(r"^97[89]") & (F.length(d) == 13), d).when(d.rlike(r"^[0-9]{9}[0-9Xx]\z"), F.concat(body, ((10 - total % 10) % 10).cast("string")))
+
+
 def isbn13(text: Column) -> Column:
     """The first valid ISBN in a text as 13 digits: ISBN-13 as it is, ISBN-10 converted; null where none is valid."""
     found = F.regexp_extract_all(text, F.lit(r"((?:97[89][- ]?)?[0-9](?:[- ]?[0-9]){8}[- ]?[0-9Xx])"), 1)

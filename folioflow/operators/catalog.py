@@ -61,9 +61,19 @@ def by_ids(df: DataFrame, ids: list, key: str = "id") -> DataFrame:
     return df.join(wanted, key)
 
 
+def label_of(label: Column, unknown: str) -> Column:
+    """A label without blanks around it; blank and null ones are `unknown`."""
+    return F.coalesce(blank_to_null(label), F.lit(unknown))
+
+
 def group_by_label(books: DataFrame, label: Column, unknown: str) -> DataFrame:
-    """label, books and the sorted ids; blank labels count as `unknown`."""
-    return books.groupBy(F.coalesce(blank_to_null(label), F.lit(unknown)).alias("label")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+    """label, the number of books and the smallest id. A label may hold any share of all books, so the ids are rows of members()."""
+    return books.groupBy(label_of(label, unknown).alias("label")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+def members(books: DataFrame, label: Column, unknown: str) -> DataFrame:
+    """label and id, one row per book: the lists behind group_by_label, without collecting any."""
+    return books.select(label_of(label, unknown).alias("label"), "id")
 
 
 def localized(books: DataFrame, field: str, first: str = "ru") -> Column:
@@ -78,9 +88,13 @@ def group_by_tag(books: DataFrame, per_book_once: bool = True) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the one with the greatest order; the choice is an aggregation, so hot keys combine before the shuffle."""
+    """One row per key, the one with the greatest order; the choice is an aggregation, so hot keys combine before the shuffle.
+
+    A row without an order counts before all that have one; of rows alike in order any one is kept.
+    """
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+    place = F.struct(F.col(order).isNotNull(), F.col(order))
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), place).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -57,24 +57,69 @@ def units(sections_: DataFrame, key: str) -> DataFrame:
     return sections_.withColumn("unit", F.sum((F.col("level") <= 2).cast("int")).over(w))
 
 
+# Lines that open a block (headings of fewer than 15 words), and lines that only part blocks.
+BLOCK_HEADING = re.compile(r"(?:#{1,4}\s|глава\s|раздел\s|часть\s|chapter\s|section\s|part\s)", re.I)
+BLOCK_RULE = re.compile(r"(?:\*{3,}|_{3,}|-{3,}|={3,})")
+
+
+def heading_blocks(paragraphs: list[str]) -> list[list[str]]:
+    """Paragraphs in blocks: a heading opens one and stays its first paragraph, rules and blank paragraphs part them and are dropped."""
+    blocks: list[list[str]] = [[]]
+    for p in (x.strip() for x in paragraphs):
+        opens = bool(BLOCK_HEADING.match(p)) and len(p.split()) < 15
+        parts = not p or bool(BLOCK_RULE.fullmatch(p))
+        if (opens or parts) and blocks[-1]:
+            blocks.append([])
+        if not parts:
+            blocks[-1].append(p)
+    return [b for b in blocks if b]
+
+
+def _filled(paragraphs: list[str], target: int) -> list[list[str]]:
+    """A block in pieces of whole paragraphs that hold no more than target words, where a paragraph does not alone."""
+    out: list[list[str]] = []
+    room = 0
+    for p in paragraphs:
+        n = len(p.split())
+        if not out or n > room:
+            out.append([])
+            room = target
+        out[-1].append(p)
+        room -= n
+    return out
+
+
 def pack_paragraphs(paragraphs: list[str] | None, target: int = 1000, most: int = 1500, least: int = 300, overlap: int = 1) -> list[str]:
-    """Chunks of whole paragraphs: one where the section has at most `most` words; else filled up to target, a chunk under
-    `least` words joins the one before it, and each chunk repeats the last `overlap` paragraphs of the one before."""
+    """Chunks of whole paragraphs: one where the section has at most `most` words.
+
+    Else blocks (heading_blocks) are put together up to `most` and closed from `target` on, a block over `most` is
+    filled up to target by itself, every chunk under `least` words joins the one before it, and each chunk repeats the last `overlap`
+    paragraphs of the one before. Null and empty sections give no chunk.
+    """
     ps = [p for p in paragraphs or [] if p.strip()]
-    n = [len(p.split()) for p in ps]
-    if sum(n) <= most:
+    size = lambda group: sum(len(p.split()) for p in group)
+    if size(ps) <= most:
         return ["\n\n".join(ps)] if ps else []
-    packs: list[list[str]] = [[]]
-    size = 0
-    for p, k in zip(ps, n, strict=True):
-        if packs[-1] and size + k > (target if size >= target else most):
-            packs.append([])
-            size = 0
-        packs[-1].append(p)
-        size += k
-    if len(packs) > 1 and sum(len(p.split()) for p in packs[-1]) < least:
-        packs[-2:] = [packs[-2] + packs[-1]]
-    return ["\n\n".join((packs[i - 1][-overlap:] if i and overlap else []) + pack) for i, pack in enumerate(packs)]
+    packs: list[list[str]] = []
+    open_ = False  # whether the last pack takes more blocks
+    for block in heading_blocks(ps):
+        if size(block) > most:
+            packs += _filled(block, target)
+            open_ = False
+            continue
+        if open_ and size(packs[-1]) + size(block) <= most:
+            packs[-1] = packs[-1] + block
+        else:
+            packs.append(block)
+        open_ = size(packs[-1]) < target
+    merged: list[list[str]] = []
+    for pack in packs:
+        if merged and size(pack) < least:
+            merged[-1] = merged[-1] + pack
+        else:
+            merged.append(pack)
+    before = [[], *merged[:-1]]
+    return ["\n\n".join((b[-overlap:] if overlap else []) + m) for b, m in zip(before, merged, strict=True)]
 
 
 def section_chunks(sections_: DataFrame, key: str, **sizes: int) -> DataFrame:

@@ -126,13 +126,6 @@ def books_with_tags(s: Spark, d: str) -> DataFrame:
     return _books(s, d).select("id", F.array_join(F.array_sort(tags), ",").alias("tags"))
 
 
-@query("sha_duplicates", "SELECT id, sha256 FROM books WHERE sha256 IN (SELECT sha256 FROM books GROUP BY user_id, sha256 HAVING count(*) > 1)")
-def sha_duplicates(s: Spark, d: str) -> DataFrame:
-    b = table(s, d, "books")
-    twice = b.groupBy("user_id", "sha256").agg(F.count("*").alias("n")).filter("n > 1").select("sha256").distinct()
-    return b.join(twice, "sha256", "left_semi").select("id", "sha256")
-
-
 @query("catalog_upsert", f"SELECT id, status FROM {_BOOKS} b WHERE year < 1990 OR year IS NULL UNION ALL SELECT id, 'reset' FROM {_BOOKS} b WHERE year >= 1990")
 def catalog_upsert(s: Spark, d: str) -> DataFrame:
     b = _books(s, d).select("id", "status", "year")
@@ -154,48 +147,6 @@ def exact_hash_dedup(s: Spark, d: str) -> DataFrame:
     return X.exact_groups(table(s, d, "documents"), "doc_id", "text")
 
 
-_PRIO = "CASE lower(original_format) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.FORMAT_PRIORITY.items()) + " ELSE 0 END"
-
-
-@query("format_priority_pick", f"SELECT id, original_format FROM {_BOOKS} b WHERE title IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY {_PRIO} DESC, id) = 1")
-def format_priority_pick(s: Spark, d: str) -> DataFrame:
-    b = _books(s, d).filter("title IS NOT NULL").withColumn("k", F.lower("title"))
-    return C.row_number_pick(b, ["k"], [F.desc(X.format_priority(F.col("original_format"))), F.asc("id")]).select("id", "original_format")
-
-
-@query("near_dup_key", f"SELECT k AS key, count(*) AS n, min(id) AS first FROM (SELECT id, regexp_replace(lower(title), '[^a-z0-9а-яё]', '', 'g') AS t, regexp_replace(lower(coalesce(author, '')), '[^a-z0-9а-яё]', '', 'g') AS a, t || '|' || a || '|' || coalesce(chapter_count, 0) AS k FROM {_BOOKS} b WHERE title IS NOT NULL) x WHERE length(t) >= 4 GROUP BY k")
-def near_dup_key(s: Spark, d: str) -> DataFrame:
-    k = X.near_key(F.col("title"), F.col("author"), F.col("chapter_count"))
-    return _books(s, d).select("id", k.alias("key")).filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-
-
-@query("work_key_groups")
-def work_key_groups(s: Spark, d: str) -> DataFrame:
-    k = X.work_key(F.col("title"), F.col("author"))
-    return _books(s, d).select("id", "year", k.alias("work")).filter("work IS NOT NULL").groupBy("work").agg(F.count("*").alias("editions"), F.max_by("id", F.struct(F.coalesce("year", F.lit(0)), "id")).alias("recommended")).filter("editions > 1")
-
-
-@query("fuzzy_pairs")
-def fuzzy_pairs(s: Spark, d: str) -> DataFrame:
-    return X.fuzzy_pairs(_books(s, d))
-
-
-@query("isbn_duplicates")
-def isbn_duplicates(s: Spark, d: str) -> DataFrame:
-    return _books(s, d).select("id", T.isbn13(F.col("isbn")).alias("isbn13")).filter("isbn13 IS NOT NULL").groupBy("isbn13").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-
-
-@query("revision_pick", f"SELECT title, id, year FROM {_BOOKS} b WHERE title IS NOT NULL AND year IS NOT NULL QUALIFY row_number() OVER (PARTITION BY title ORDER BY year DESC, id) = 1")
-def revision_pick(s: Spark, d: str) -> DataFrame:
-    b = _books(s, d).filter("title IS NOT NULL AND year IS NOT NULL")
-    return C.row_number_pick(b, ["title"], [F.desc("year"), F.asc("id")]).select("title", "id", "year")
-
-
-@query("scan_report", f"SELECT count(*) AS files, count(DISTINCT sha256) AS unique_files, count(DISTINCT lower(title)) AS titles, 200 * count(*) AS estimate_ms FROM {_BOOKS} b")
-def scan_report(s: Spark, d: str) -> DataFrame:
-    return _books(s, d).agg(F.count("*").alias("files"), F.countDistinct("sha256").alias("unique_files"), F.countDistinct(F.lower("title")).alias("titles"), (200 * F.count("*")).alias("estimate_ms"))
-
-
 # --- chunk tree
 
 _SEC = "PARTITION BY book_id, level, section_order"

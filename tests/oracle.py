@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import math
 import os
+import re
 import sys
 from collections import Counter
 
@@ -51,7 +52,7 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     d = sys.argv[1]
     con, qs, sql = connect(d), e.queries(), e.oracle_sql()
-    for name in sys.argv[2:] or [q for q in qs if not q.startswith("p")]:
+    for name in sys.argv[2:] or [q for q in qs if not re.match(r"p\d+_", q)]:
         t = time.time()
         try:
             df = qs[name](spark, d)
