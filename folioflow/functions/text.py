@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: ASCII word boundary, as in engines whose \b knows only [A-Za-z0-9_].
 ASCII_BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
+#: What stands around lines and is no part of them.
+BLANKS = " \t\r\n\f\v\u00a0\ufeff"
+
 
 def tokens(text: Column, least: int = 2, most: int = 64) -> Column:
     """Lower-case runs of letters and digits of the given lengths; null text gives null."""
@@ -91,13 +94,13 @@ def text_quality(text: Column) -> Column:
     The score is the share of letters, with a tenth more from 1,000 characters and from 200 words on.
     """
     n = F.char_length(text)
-    share = _without(text, r"\p{L}+") / n
+    share = F.try_divide(_without(text, r"\p{L}+"), n)
     words = F.filter(F.split(text, r"\s+"), lambda w: F.char_length(w).between(2, 30))
     count = F.size(words)
-    mean = F.char_length(F.array_join(words, "")) / count
+    mean = F.try_divide(F.char_length(F.array_join(words, "")), count)
     score = share + F.when(n >= 1000, 0.1).otherwise(0.0) + F.when(count >= 200, 0.1).otherwise(0.0)
     good = (n >= 200) & (share >= 0.5) & (count >= 50) & mean.between(2, 15)
-    return F.when(good, F.least(F.greatest(score, F.lit(0.5)), F.lit(1.0))).otherwise(0.0)
+    return F.when(F.coalesce(good, F.lit(False)), F.least(F.greatest(score, F.lit(0.5)), F.lit(1.0))).otherwise(0.0)
 
 
 def script_language(text: Column) -> Column:
@@ -128,7 +131,7 @@ def heading(line: Column) -> Column:
 
     It opens with a chapter word, or is numbered, in capitals, or has two to ten words of which six tenths start with a capital.
     """
-    s = F.trim(line)
+    s = F.btrim(line, F.lit(BLANKS))
     n = F.char_length(s)
     numbered = s.rlike(r"^(?:§\s*)?[0-9]+(?:\.[0-9]+)*\.?\s+\S") & (n < 100) & ~F.substring(s, 21, 120).rlike(r"[.!?]\s+\S")
     capitals = s.rlike(r"^[А-ЯЁA-Z0-9\s.,:;«»\-—()]+\z") & (n < 80)
@@ -158,7 +161,7 @@ def clean_paragraphs(df: DataFrame, key: str, paragraphs: Column, *, pages: bool
     A running line has fewer than 40 characters and stands `repeats` times or more under one key; lines are counted by an
     aggregation over (key, line), never within one row. Null arrays and null paragraphs give nothing.
     """
-    rows = df.select(F.col(f"`{key}`"), F.posexplode(paragraphs).alias("position", "paragraph")).withColumn("paragraph", F.trim("paragraph")).filter(F.char_length("paragraph") > 0)
+    rows = df.select(F.col(f"`{key}`"), F.posexplode(paragraphs).alias("position", "paragraph")).withColumn("paragraph", F.btrim("paragraph", F.lit(BLANKS))).filter(F.char_length("paragraph") > 0)
     p = F.col("paragraph")
     keep = F.lit(True)
     for wanted, pattern in ((pages, PAGE_MARKS), (boilerplate, BOILERPLATE), (ornaments, ORNAMENTS)):

@@ -25,15 +25,13 @@ ORDERS = {
 }
 
 
-def query_catalog(books: DataFrame, *, user: str | None = None, title: str | None = None, least_quality: float | None = None, most_quality: float | None = None, hide_fiction: bool = False, statuses: list[str] | None = None, domain: str | None = None, order: str = "default", limit: int | None = None, offset: int = 0, most: int = 500) -> DataFrame:  # noqa: E501
-    """One page of the catalogue. hide_fiction keeps rows whose flag is null; ties end with the id."""
-    require(books, "id", "title")
+def matching(books: DataFrame, *, user: str | None = None, title: str | None = None, least_quality: float | None = None, most_quality: float | None = None, hide_fiction: bool = False, statuses: list[str] | None = None, domain: str | None = None) -> DataFrame:  # noqa: E501
+    """The rows a catalogue query asks for. hide_fiction keeps rows whose flag is null; all words of title must stand in it."""
     cond = F.lit(True)
     if user is not None:
         cond &= F.col("user_id") == user
-    if title:
-        for word in title.lower().split():
-            cond &= F.lower("title").contains(word)
+    for word in (title or "").lower().split():
+        cond &= F.lower("title").contains(word)
     if least_quality is not None:
         cond &= F.col("quality_score") >= least_quality
     if most_quality is not None:
@@ -46,9 +44,28 @@ def query_catalog(books: DataFrame, *, user: str | None = None, title: str | Non
         cond &= F.col("status").isin(*statuses)
     if domain is not None:
         cond &= F.col("domain") == domain
+    return books.filter(cond)
+
+
+def query_catalog(books: DataFrame, *, order: str = "default", limit: int | None = None, offset: int = 0, most: int = 500, **wanted) -> DataFrame:  # noqa: ANN003
+    """One page of matching(); ties end with the id, the limit is 100 where none is given and held to 1..most."""
+    require(books, "id", "title")
     spec = ORDERS[order]
     keys = [f(c) for f, c in zip(spec[::2], spec[1::2], strict=True)]
-    return books.filter(cond).orderBy(*keys, "id").offset(max(0, offset)).limit(clamp(limit, 100, 1, most))
+    return matching(books, **wanted).orderBy(*keys, "id").offset(max(0, offset)).limit(clamp(limit, 100, 1, most))
+
+
+def _begins(words: Column, start: str) -> Column:
+    return F.exists(words, lambda x: x.startswith(start))
+
+
+def full_text(books: DataFrame, fields: list[str], asked: str) -> DataFrame:
+    """Rows whose fields together hold all asked words; a word that ends in * stands for every word it begins."""
+    words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", *fields)), r"[^\p{L}\p{N}]+"))
+    cond = F.lit(True)
+    for w in asked.lower().split():
+        cond &= _begins(words, w[:-1]) if w.endswith("*") else F.array_contains(words, w)
+    return books.filter(cond)
 
 
 def keyset_page(books: DataFrame, statuses: list[str], after: str, limit: int) -> DataFrame:
@@ -81,10 +98,15 @@ def localized(books: DataFrame, field: str, first: str = "ru") -> Column:
     return F.coalesce(*[blank_to_null(F.col(c)) for c in (f"{field}_{first}", f"{field}_{other}", field)])
 
 
+def tag_members(books: DataFrame) -> DataFrame:
+    """tag and id, each once; blank tags are left out."""
+    return books.select(F.explode(F.array_distinct(F.transform("tags", lambda x: F.trim(x)))).alias("tag"), "id").filter(F.length("tag") > 0)
+
+
 def group_by_tag(books: DataFrame, per_book_once: bool = True) -> DataFrame:
-    tags = F.transform("tags", lambda x: F.trim(x))
-    tags = F.array_distinct(tags) if per_book_once else tags
-    return books.select("id", F.explode(tags).alias("tag")).filter(F.length("tag") > 0).groupBy("tag").agg(F.count("*").alias("n"))
+    """tag and n; a tag twice in one book counts once, or twice where per_book_once is false."""
+    rows = tag_members(books) if per_book_once else books.select(F.explode(F.transform("tags", lambda x: F.trim(x))).alias("tag")).filter(F.length("tag") > 0)
+    return rows.groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -167,6 +167,18 @@ def sibling_links(chunks: DataFrame) -> DataFrame:
     return chunks.select("vec_rowid", F.lag("vec_rowid").over(w).alias("prev_rowid"), F.lead("vec_rowid").over(w).alias("next_rowid"))
 
 
+def nodal_chapters(words: DataFrame) -> DataFrame:
+    """The longest chapters of every book but its first and last: a quarter of all, three to five; books of two or fewer have none.
+
+    words: book_id, section_order, words; of equal lengths the earlier chapter.
+    """
+    w = Window.partitionBy("book_id")
+    k = words.withColumns({"k": F.count("*").over(w), "a": F.min("section_order").over(w), "z": F.max("section_order").over(w)})
+    inner = k.filter((F.col("k") > 2) & (F.col("section_order") != F.col("a")) & (F.col("section_order") != F.col("z")))
+    place = F.row_number().over(w.orderBy(F.desc("words"), "section_order"))
+    return inner.withColumn("r", place).filter(F.col("r") <= F.least(F.lit(5), F.greatest(F.lit(3), F.floor(F.col("k") / 4)))).select("book_id", "section_order", "words")
+
+
 def part_numbers(chunks: DataFrame) -> DataFrame:
     w = Window.partitionBy("book_id", "level", "section_order")
     return chunks.select("vec_rowid", F.row_number().over(w.orderBy("part_n", "vec_rowid")).alias("n"), F.count("*").over(w).alias("of"))

@@ -53,35 +53,66 @@ def blended(hits: DataFrame, graph: DataFrame, alpha: float, beta: float, limit:
     return j.withColumn("final", F.round(score, 6)).orderBy(F.desc("final"), F.asc(key)).limit(limit)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int = 1, *, key: str = "vec_id", vector: str = "embedding", block: int = 512) -> DataFrame:
-    """query, neighbour and sim of the k nearest other rows of base for every query row, exactly.
+#: Bytes of query vectors that are broadcast at a time.
+QUERY_BYTES = 32 << 20
 
-    Queries go in blocks of matrices; every partition of base meets every block once as one matrix product and sends on its k best
-    per query, so what is shuffled is queries x partitions x k, never all pairs.
+
+def nearest(queries: DataFrame, base: DataFrame, k: int = 1, *, key: str = "vec_id", vector: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """query, neighbour and sim of the k nearest other rows of base for every query row, exactly; ties by neighbour.
+
+    Queries are taken in rounds of at most query_bytes, each broadcast as one matrix; a round reads base once, as matrix
+    products batch by batch, and a partition sends on its k best per query, so what is shuffled is queries x partitions x k.
     """
-    packed = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).withColumn("b", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-queries.count() // block)))))
-    blocks = packed.groupBy("b").agg(F.collect_list(F.struct("q", "v")).alias("qs"))
     kind = dict(base.dtypes)[key]
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qs, part in pdf.groupby(pdf["b"].to_numpy()):
-                rows = part["qs"].iloc[0]
-                q = np.array([r["v"] for r in rows], float)
-                m = np.array(part["v"].tolist(), float)
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-                sim = q @ m.T
-                ids, names = part["n"].to_numpy(), np.array([r["q"] for r in rows])
-                sim[names[:, None] == ids[None, :]] = -np.inf
-                take = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                out = [(names[i], ids[j], sim[i, j]) for i in range(len(names)) for j in take[i] if np.isfinite(sim[i, j])]
-                yield pd.DataFrame(out, columns=["query", "neighbour", "sim"])
-
-    pairs = base.select(F.col(key).alias("n"), F.col(vector).alias("v")).crossJoin(blocks)
-    part = pairs.mapInPandas(best, f"query {kind}, neighbour {kind}, sim double").withColumn("sim", F.round("sim", 6))
-    ranked = part.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("s"), "neighbour"))), 1, k).alias("best"))
-    return ranked.select("query", F.explode("best").alias("x")).select("query", "x.neighbour", (-F.col("x.s")).alias("sim"))
+    asked = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+    size = asked.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0] * 8
+    rounds = max(1, -(-size // max(1, query_bytes)))
+    spark = base.sparkSession
+    schema = f"query {kind}, neighbour {kind}, sim double"
+    part = None
+    for r in range(rounds):
+        rows = asked.filter(F.pmod(F.xxhash64("q"), F.lit(rounds)) == r).collect()  # about query_bytes
+        if not rows:
+            continue
+        m = np.array([x["v"] for x in rows], float)
+        held = spark.sparkContext.broadcast((np.array([x["q"] for x in rows]), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)))
+
+        def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            names, q = held.value
+            top = np.full((len(q), 0), -np.inf)
+            ids = None
+            for pdf in batches:
+                pdf = pdf[pdf["v"].notna()]
+                if not len(pdf):
+                    continue
+                b = np.array(pdf["v"].tolist(), float)
+                sim = np.round(q @ (b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)).T, 6)
+                n = pdf["n"].to_numpy()
+                sim[names[:, None] == n[None, :]] = -np.inf
+                all_ids = np.broadcast_to(n, sim.shape) if ids is None else np.concatenate([ids, np.broadcast_to(n, sim.shape)], 1)
+                top = np.concatenate([top, sim], 1)
+                order = np.lexsort((all_ids, -top), axis=1)[:, :k]
+                top, ids = np.take_along_axis(top, order, 1), np.take_along_axis(all_ids, order, 1)
+            if ids is not None:
+                row, col = np.nonzero(np.isfinite(top))
+                yield pd.DataFrame({"query": names[row], "neighbour": ids[row, col], "sim": top[row, col]})
+
+        got = base.select(F.col(key).alias("n"), F.col(vector).alias("v")).mapInPandas(best, schema)
+        part = got if part is None else part.union(got)
+    if part is None:
+        return spark.createDataFrame([], schema)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "neighbour"))  # k rows a partition
+    return part.withColumn("__n", place).filter(F.col("__n") <= k).drop("__n")
+
+
+def with_metadata(hits: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Hits in their order with the columns of their rows; hits without a row are dropped. Hits are few and broadcast."""
+    return rows.join(F.broadcast(hits), key).orderBy(F.desc("sim"), F.asc(key))
+
+
+def overfetch(limit: int) -> int:
+    """Hits that are fetched before a re-rank to `limit`: five times as many, at most 100, never fewer than asked for."""
+    return min(100, max(5 * limit, limit))
 
 
 def novelty_band(sim: Column, low: float = 0.65, high: float = 0.85) -> Column:

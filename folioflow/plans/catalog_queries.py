@@ -44,6 +44,26 @@ def catalog_title_search(s: Spark, d: str) -> DataFrame:
     return _books(s, d).filter(F.lower("title").contains("system")).select("id", "title")
 
 
+_TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
+
+
+@query("full_text_search", f"SELECT id, title FROM (SELECT id, title, {_TOKENS.format("concat_ws(' ', title, title_en, author, author_en)")} AS w FROM {_BOOKS} b) x WHERE list_contains(w, 'the') AND len(list_filter(w, lambda y: starts_with(y, 'sch'))) > 0")
+def full_text_search(s: Spark, d: str) -> DataFrame:
+    return C.full_text(_books(s, d), ["title", "title_en", "author", "author_en"], "the sch*").select("id", "title")
+
+
+@query("catalog_query_wide", f"SELECT id, evaluated_at FROM {_BOOKS} b WHERE is_fiction_or_water IS NULL OR NOT is_fiction_or_water ORDER BY coalesce(evaluated_at, TIMESTAMP '1970-01-01') DESC, id LIMIT 20000")
+def catalog_query_wide(s: Spark, d: str) -> DataFrame:
+    return C.query_catalog(_books(s, d), hide_fiction=True, order="evaluated", limit=999_999, most=20_000).select("id", "evaluated_at")
+
+
+@query("catalog_page_total", f"SELECT count(*) AS total, least(count(*), 500) AS shown FROM {_BOOKS} b WHERE domain = 'data' AND quality_score BETWEEN 10 AND 90")
+def catalog_page_total(s: Spark, d: str) -> DataFrame:
+    found = {"domain": "data", "least_quality": 10, "most_quality": 90}
+    page = C.query_catalog(_books(s, d), limit=10_000, **found)
+    return C.matching(_books(s, d), **found).agg(F.count("*").alias("total")).crossJoin(page.agg(F.count("*").alias("shown")))
+
+
 @query("catalog_keyset_page", f"SELECT id, status FROM {_BOOKS} b WHERE status IN ('failed', 'imported') AND id > '4' ORDER BY id LIMIT 40")
 def catalog_keyset_page(s: Spark, d: str) -> DataFrame:
     return C.keyset_page(_books(s, d), ["failed", "imported"], "4", 40).select("id", "status")
@@ -66,7 +86,7 @@ def batch_gate(s: Spark, d: str) -> DataFrame:
     return C.gate(_books(s, d), ids.union(s.createDataFrame([("none",)], "id string")), 5)
 
 
-_LABEL = "coalesce(nullif(trim({c}), ''), '{u}') AS label, count(*) AS n, array_to_string(list(id ORDER BY id), ',') AS ids"
+_LABEL = "coalesce(nullif(trim({c}), ''), '{u}') AS label, count(*) AS n, min(id) AS first_id"
 
 
 @query("by_domain", f"SELECT {_LABEL.format(c='domain', u='unclassified')} FROM {_BOOKS} b GROUP BY 1")
@@ -80,6 +100,32 @@ def by_author_locale(s: Spark, d: str) -> DataFrame:
     return C.group_by_label(b, C.localized(b, "author"), "Unknown Author")
 
 
+@query("by_source_archive", f"SELECT coalesce(nullif(trim(source_archive), ''), 'unsorted') AS label, count(*) AS n, min(id) AS first_id FROM {_BOOKS} b GROUP BY 1")
+def by_source_archive(s: Spark, d: str) -> DataFrame:
+    return C.group_by_label(_books(s, d), F.col("source_archive"), "unsorted")
+
+
+@query("domain_members", f"SELECT coalesce(nullif(trim(domain), ''), 'unclassified') AS label, id FROM {_BOOKS} b")
+def domain_members(s: Spark, d: str) -> DataFrame:
+    return C.members(_books(s, d), F.col("domain"), "unclassified")
+
+
+@query("author_members_en", f"SELECT coalesce(nullif(trim(author_en), ''), nullif(trim(author_ru), ''), nullif(trim(author), ''), 'Unknown Author') AS label, id FROM {_BOOKS} b")
+def author_members_en(s: Spark, d: str) -> DataFrame:
+    b = _books(s, d)
+    return C.members(b, C.localized(b, "author", "en"), "Unknown Author")
+
+
+@query("tag_members", f"SELECT DISTINCT trim(t) AS tag, id FROM {_BOOKS} b, unnest(tags) u(t) WHERE trim(t) <> ''")
+def tag_members(s: Spark, d: str) -> DataFrame:
+    return C.tag_members(_books(s, d))
+
+
+@query("top_domains", f"SELECT domain, count(*) AS n FROM {_BOOKS} b WHERE domain IS NOT NULL GROUP BY 1 ORDER BY n DESC, domain LIMIT 10")
+def top_domains(s: Spark, d: str) -> DataFrame:
+    return _books(s, d).filter("domain IS NOT NULL").groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(10)
+
+
 @query("by_year_unknown_last", f"SELECT coalesce(CAST(year AS VARCHAR), 'Unknown Year') AS label, count(*) AS n, CAST(row_number() OVER (ORDER BY year DESC NULLS LAST) AS INTEGER) AS place FROM {_BOOKS} b GROUP BY year")
 def by_year_unknown_last(s: Spark, d: str) -> DataFrame:
     years = _books(s, d).groupBy("year").agg(F.count("*").alias("n"))
@@ -122,8 +168,10 @@ def outcome_counts(s: Spark, d: str) -> DataFrame:
 
 @query("books_with_tags", f"SELECT b.id, coalesce(array_to_string(list_sort(list(DISTINCT trim(t)) FILTER (trim(t) <> '')), ','), '') AS tags FROM {_BOOKS} b LEFT JOIN unnest(b.tags) u(t) ON true GROUP BY b.id")
 def books_with_tags(s: Spark, d: str) -> DataFrame:
-    tags = F.filter(F.array_distinct(F.transform(F.coalesce("tags", F.array()), lambda x: F.trim(x))), lambda x: F.length(x) > 0)
-    return _books(s, d).select("id", F.array_join(F.array_sort(tags), ",").alias("tags"))
+    """Books joined with the table of their tags; a book without tags keeps an empty list."""
+    b = _books(s, d)
+    tags = C.tag_members(b).groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("tag")), ",").alias("tags"))
+    return b.select("id").join(tags, "id", "left").select("id", F.coalesce("tags", F.lit("")).alias("tags"))
 
 
 @query("catalog_upsert", f"SELECT id, status FROM {_BOOKS} b WHERE year < 1990 OR year IS NULL UNION ALL SELECT id, 'reset' FROM {_BOOKS} b WHERE year >= 1990")
@@ -174,18 +222,16 @@ def chunk_counts(s: Spark, d: str) -> DataFrame:
     return table(s, d, "chunks").groupBy("book_id", "level").agg(F.count("*").alias("n"), F.sum(F.char_length("text").cast("bigint")).alias("chars"))
 
 
-@query("nodal_chapters", "SELECT book_id, section_order, words FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY words DESC, section_order) AS r, count(*) OVER (PARTITION BY book_id) AS k FROM (SELECT book_id, section_order, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> ''))) AS words FROM chunks WHERE level = 1 GROUP BY ALL) x) y WHERE r <= greatest(3, least(5, k // 4))".replace("x -> x <> ''", "lambda x: x <> ''"))
+@query("nodal_chapters", "WITH w AS (SELECT book_id, section_order, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS words FROM chunks WHERE level = 1 GROUP BY ALL), k AS (SELECT *, count(*) OVER (PARTITION BY book_id) AS n, min(section_order) OVER (PARTITION BY book_id) AS a, max(section_order) OVER (PARTITION BY book_id) AS z FROM w) SELECT book_id, section_order, words FROM k WHERE n > 2 AND section_order <> a AND section_order <> z QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY words DESC, section_order) <= CASE WHEN n // 4 > 5 THEN 5 WHEN n // 4 < 3 THEN 3 ELSE n // 4 END")
 def nodal_chapters(s: Spark, d: str) -> DataFrame:
     per = table(s, d, "chunks").filter("level = 1").groupBy("book_id", "section_order").agg(F.sum(T.word_count(F.col("text")).cast("bigint")).alias("words"))
-    w = Window.partitionBy("book_id")
-    r = per.withColumns({"r": F.row_number().over(w.orderBy(F.desc("words"), "section_order")), "k": F.count("*").over(w)})
-    return r.filter(F.col("r") <= F.greatest(F.lit(3), F.least(F.lit(5), F.floor(F.col("k") / 4)))).select("book_id", "section_order", "words")
+    return K.nodal_chapters(per)
 
 
-@query("ledger", "SELECT vec_rowid, coalesce(array_to_string(list(left(text, 40)) OVER (PARTITION BY book_id ORDER BY section_order, vec_rowid ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '|'), '') AS earlier FROM chunks WHERE level = 2 AND text IS NOT NULL")
+@query("ledger", "SELECT vec_rowid, coalesce(array_to_string(list(left(text, 80)) OVER (PARTITION BY book_id ORDER BY section_order, vec_rowid ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '|'), '') AS earlier FROM chunks WHERE level = 2 AND text IS NOT NULL")
 def ledger(s: Spark, d: str) -> DataFrame:
     w = Window.partitionBy("book_id").orderBy("section_order", "vec_rowid").rowsBetween(-5, -1)
-    return table(s, d, "chunks").filter("level = 2 AND text IS NOT NULL").select("vec_rowid", F.array_join(F.collect_list(F.substring("text", 1, 40)).over(w), "|").alias("earlier"))
+    return table(s, d, "chunks").filter("level = 2 AND text IS NOT NULL").select("vec_rowid", F.array_join(F.collect_list(F.substring("text", 1, 80)).over(w), "|").alias("earlier"))
 
 
 @query("markdown_sections")
@@ -236,12 +282,12 @@ def approx_tokens(s: Spark, d: str) -> DataFrame:
     return table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", T.approx_tokens(F.col("text")).alias("tokens"))
 
 
-@query("text_quality")
+@query("text_quality", "SELECT doc_id, round(CASE WHEN n < 200 OR letters / n < 0.5 OR len(w) < 50 OR NOT (list_sum(list_transform(w, lambda x: length(x))) / len(w) BETWEEN 2 AND 15) THEN 0 ELSE least(1, greatest(0.5, letters / n + CASE WHEN n >= 1000 THEN 0.1 ELSE 0 END + CASE WHEN len(w) >= 200 THEN 0.1 ELSE 0 END)) END, 6)::DOUBLE AS quality FROM (SELECT doc_id, length(t) AS n, length(regexp_replace(t, '\\P{L}+', '', 'g')) AS letters, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: length(x) BETWEEN 2 AND 30) AS w FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) a) b")
 def text_quality(s: Spark, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.round(T.text_quality(F.coalesce("text", F.lit(""))), 6).alias("quality"))
 
 
-@query("script_language")
+@query("script_language", "WITH h AS (SELECT doc_id, left(text, 2048) AS head, lower(left(text, 2048)) AS t FROM documents), c AS (SELECT doc_id, head, " + ", ".join(f"length(t) - length(regexp_replace(t, '[{p}]', '', 'g')) AS {n}" for n, p in (("uk", "іїєґ"), ("ru", "ёыъэ"), ("cyr", "\\x{400}-\\x{4ff}"), ("lat", "a-z"), ("de", "äöüß"), ("fr", "àâçéèêëîïôûùüÿœæ"), ("es", "áéíóúñ¿¡"))) + " FROM h) SELECT doc_id, CASE WHEN length(trim(head)) < 4 THEN 'unknown' WHEN cyr > 20 AND uk >= 2 THEN 'uk' WHEN uk = 0 AND ((cyr > 20 AND ru >= 2) OR cyr > 50) THEN 'ru' WHEN lat > 20 AND de >= 3 THEN 'de' WHEN lat > 20 AND fr >= 3 THEN 'fr' WHEN lat > 20 AND es >= 2 THEN 'es' WHEN lat > 50 AND lat >= 0.8 * (lat + cyr) THEN 'en' ELSE 'unknown' END AS language FROM c")
 def script_language(s: Spark, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", T.script_language(F.col("text")).alias("language"))
 
@@ -259,16 +305,19 @@ def canonical_names_all(s: Spark, d: str) -> DataFrame:
     return b.select("author", T.canonical_name(F.col("author")).alias("canonical"))
 
 
-@query("heading_lines")
+_TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279))"
+_WORDS = "глава|раздел|часть|введение|заключение|приложение|предисловие|послесловие|содержание|оглавление|chapter|section|part|introduction|conclusion|appendix|preface|foreword|bibliography|references|teil|chapitre|annexe"
+
+
+@query("heading_lines", f"SELECT doc_id, line, t FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL) a, LATERAL (SELECT {_TRIM.format('t')} AS x) b WHERE x <> '' AND length(x) <= 120 AND (regexp_matches(x, '(?i)^({_WORDS})\\b') OR (length(x) < 100 AND regexp_matches(x, '^(?:§\\s*)?\\d+(?:\\.\\d+)*\\.?\\s+\\S') AND NOT regexp_matches(substr(x, 21), '[.!?]\\s+\\S')) OR (length(x) < 80 AND regexp_full_match(x, '[А-ЯЁA-Z0-9\\s.,:;«»\\-—()]+')) OR (length(x) < 100 AND NOT regexp_matches(x, '[.!?]\\s*$') AND len(regexp_split_to_array(x, '\\s+')) BETWEEN 2 AND 10 AND len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: regexp_matches(w, '^[\\p{{Lu}}0-9«\"(]'))) >= 0.6 * len(regexp_split_to_array(x, '\\s+'))))")
 def heading_lines(s: Spark, d: str) -> DataFrame:
     lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     return lines.filter(T.heading(F.col("t"))).select("doc_id", "line", "t")
 
 
-@query("clean_paragraphs")
+@query("clean_paragraphs", f"WITH p AS (SELECT vec_rowid, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position, {_TRIM.format('unnest(string_split(text, chr(10)))')} AS x FROM chunks WHERE level = 1 AND text IS NOT NULL), k AS (SELECT *, count(*) OVER (PARTITION BY vec_rowid, x) AS n FROM p WHERE x <> '') SELECT vec_rowid, position, rtrim(regexp_replace(x, '(?:^|\\s)(\\[\\d+\\]|†+|‡+|\\^?\\d+)\\s*$', '')) AS paragraph FROM k WHERE NOT (length(x) < 40 AND n >= 3) AND NOT regexp_matches(x, '(?i)^([-—–]\\s*\\d{{1,4}}\\s*[-—–]|\\[\\s*\\d{{1,4}}\\s*\\]|(page|p\\.|стр\\.?|страница)\\s*\\d{{1,4}}|\\d{{1,4}}|—{{2,}}\\s*\\d+\\s*—{{2,}})\\s*$') AND NOT regexp_matches(x, '(?i)^(isbn[\\s\\-:]?\\s*\\d|©\\s*\\d{{4}}|copyright\\s*©?\\s*\\d{{4}}|all\\s+rights\\s+reserved|все\\s+права\\s+защищены|printed\\s+in\\s+|напечатано\\s+в\\s+|library\\s+of\\s+congress)') AND NOT regexp_matches(x, '(?i)^(\\s*[*•·⋅★☆◆◇■□▪▫◦‣⁃]\\s*[*•·⋅★☆◆◇■□▪▫◦‣⁃]\\s*[*•·⋅★☆◆◇■□▪▫◦‣⁃]\\s*|[-—–_=]{{3,}}\\s*|(end of chapter|конец главы|конец|the end|fin)\\s*\\.?\\s*)$') AND regexp_matches(regexp_replace(x, '(?:^|\\s)(\\[\\d+\\]|†+|‡+|\\^?\\d+)\\s*$', ''), '\\p{{L}}')")
 def clean_paragraphs(s: Spark, d: str) -> DataFrame:
-    lines = T.clean_lines(F.split("text", "\n"))
-    return table(s, d, "chunks").filter("level = 1").select("vec_rowid", F.size(lines).alias("lines"), F.md5(F.array_join(lines, "\n")).alias("hash"))
+    return T.clean_paragraphs(table(s, d, "chunks").filter("level = 1"), "vec_rowid", F.split("text", "\n"))
 
 
 @query("compressed_chapters", "SELECT doc_id, CASE WHEN length(text) <= 8000 THEN text ELSE left(text, 6000) || chr(10) || '…' || chr(10) || right(text, 2000) END AS text FROM documents WHERE text IS NOT NULL")
@@ -304,9 +353,20 @@ def line_meta(s: Spark, d: str) -> DataFrame:
     return table(s, d, "chatml_lines").select("line_id", F.get_json_object("meta", "$.conceptId").alias("concept_id"), F.get_json_object("meta", "$.tier").alias("tier"))
 
 
-@query("split_assign", "SELECT line_id, CASE WHEN CAST('0x' || left(sha256('42#' || line_id), 8) AS BIGINT) % 1000000 < 900000 THEN 'train' ELSE 'val' END AS split FROM chatml_lines")
+@query("hash_split", "SELECT line_id, CASE WHEN CAST('0x' || left(sha256('42#' || line_id), 8) AS BIGINT) % 1000000 < 900000 THEN 'train' ELSE 'val' END AS split FROM chatml_lines")
+def hash_split(s: Spark, d: str) -> DataFrame:
+    return table(s, d, "chatml_lines").select("line_id", E.hash_split(F.col("line_id"), 42, 0.9).alias("split"))
+
+
+_M = "4294967296::HUGEINT"
+_XMUR = f"list_reduce(list_prepend((xor(1779033703, length(k)))::HUGEINT, list_transform(string_split(k, ''), lambda ch: ord(ch)::HUGEINT)), lambda h, c: ((((xor(h, c) * 3432918353) % {_M}) * 8192) % {_M}) + (((xor(h, c) * 3432918353) % {_M}) // 524288))"
+_STEP = f"((xor(h, h // {{}}) * {{}}) % {_M})"
+
+
+@query("split_assign", f"SELECT id, i, CASE WHEN xor(h, h // 65536)::DOUBLE / 4294967296 < 0.9 THEN 'train' ELSE 'val' END AS split FROM (SELECT id, i, {_STEP.format(8192, 3266489909)} AS h FROM (SELECT id, i, {_STEP.format(65536, 2246822507)} AS h FROM (SELECT id, i, {_XMUR} AS h FROM (SELECT concept_id AS id, i, '42|' || concept_id || '|' || i AS k FROM synth_raw_samples, range(3) r(i) WHERE concept_id IS NOT NULL) a) b) c) e")
 def split_assign(s: Spark, d: str) -> DataFrame:
-    return table(s, d, "chatml_lines").select("line_id", E.split_bucket(F.col("line_id"), 42, 0.9).alias("split"))
+    rows = table(s, d, "synth_raw_samples").filter("concept_id IS NOT NULL").select(F.col("concept_id").alias("id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)).cast("array<bigint>")).alias("i"))
+    return rows.select("id", "i", E.split_bucket(F.col("id"), F.col("i"), 42, 0.9).alias("split"))
 
 
 @query("tier_turns", "SELECT source, tier, count(*) AS lines, sum(len(messages)) AS turns FROM split_lines GROUP BY ALL")
@@ -321,10 +381,51 @@ def greedy_tier_dedup(s: Spark, d: str) -> DataFrame:
     return X.greedy_tiers(lines).select("line_id")
 
 
-@query("atom_validation")
+_ATOM = "(SELECT vec_rowid, CASE WHEN len(path_titles) > 1 THEN 'science' END AS domain, array_to_string(path_titles, ' > ') AS context, text AS essence, path_titles[-1] AS cipher, right(text, 900) AS proof, CASE WHEN section_order = 1 THEN 'causality' ELSE 'revision' END AS flag, path_titles AS tags, path_titles[1] AS subject, replace(lower(left(text, 6)), ' ', '_') AS predicate FROM chunks WHERE level = 2)"
+
+
+@query("atom_validation", f"SELECT vec_rowid, concat_ws(',', CASE WHEN coalesce(length(domain), 0) NOT BETWEEN 2 AND 60 THEN 'domain' END, CASE WHEN coalesce(length(context), 0) NOT BETWEEN 10 AND 300 THEN 'chapter_context' END, CASE WHEN coalesce(length(essence), 0) NOT BETWEEN 30 AND 800 THEN 'essence' END, CASE WHEN coalesce(length(cipher), 0) NOT BETWEEN 5 AND 500 THEN 'cipher' END, CASE WHEN coalesce(length(proof), 0) NOT BETWEEN 10 AND 800 THEN 'proof' END, CASE WHEN flag = 'causality' THEN 'flags' END, CASE WHEN coalesce(len(tags), 0) NOT BETWEEN 1 AND 10 OR len(list_filter(tags, lambda t: length(t) > 40 OR t = '')) > 0 THEN 'tags' END, CASE WHEN coalesce(length(subject), 0) NOT BETWEEN 2 AND 120 OR coalesce(length(predicate), 0) NOT BETWEEN 3 AND 60 OR coalesce(length(cipher), 0) NOT BETWEEN 2 AND 120 THEN 'relations' END, CASE WHEN regexp_full_match(trim(predicate), '(?i)(is|was|are|were|has|have|had|be|been|will|would|do|does|did)(_(a|an|the))?') THEN 'predicate' END) AS issues FROM {_ATOM} a")
 def atom_validation(s: Spark, d: str) -> DataFrame:
+    """Atoms made of chapter summaries: the breadcrumb gives the context, tags and one relation, whose predicate is how the text begins."""
+    c = table(s, d, "chunks").filter("level = 2")
+    path = F.col("path_titles")
+    relation = F.array(F.struct(F.get(path, F.lit(0)).alias("subject"), F.replace(F.lower(F.substring("text", 1, 6)), F.lit(" "), F.lit("_")).alias("predicate"), F.element_at(path, -1).alias("object")))
+    flags = F.array(F.lit("causality"), F.when(F.col("section_order") == 1, "causality").otherwise("revision"))
+    atom = F.struct(F.when(F.size(path) > 1, "science").alias("domain"), F.array_join(path, " > ").alias("chapter_context"), F.col("text").alias("essence"), F.element_at(path, -1).alias("cipher"), F.right("text", F.lit(900)).alias("proof"), F.lit(None).cast("string").alias("applicability"), flags.alias("flags"), path.alias("tags"), relation.alias("relations"))
+    return c.select("vec_rowid", F.array_join(E.atom_issues(atom), ",").alias("issues"))
+
+
+@query("evaluation_validation", f"SELECT id, concat_ws(',', CASE WHEN coalesce(title_ru, '') = '' THEN 'title_ru' END, CASE WHEN coalesce(author_ru, '') = '' THEN 'author_ru' END, CASE WHEN coalesce(title_en, '') = '' THEN 'title_en' END, CASE WHEN coalesce(author_en, '') = '' THEN 'author_en' END, CASE WHEN coalesce(domain, '') = '' THEN 'domain' END, CASE WHEN year NOT BETWEEN 1400 AND 2100 THEN 'year' END, CASE WHEN coalesce(len(tags), 0) NOT BETWEEN 8 AND 12 THEN 'tags' END, CASE WHEN is_fiction_or_water IS NULL THEN 'is_fiction_or_water' END, CASE WHEN coalesce(conceptual_density, -1) NOT BETWEEN 0 AND 100 THEN 'conceptual_density' END, CASE WHEN coalesce(originality, -1) NOT BETWEEN 0 AND 100 THEN 'originality' END, CASE WHEN coalesce(quality_score, -1) NOT BETWEEN 0 AND 100 THEN 'quality_score' END) AS issues FROM {_BOOKS} b")
+def evaluation_validation(s: Spark, d: str) -> DataFrame:
     b = _books(s, d)
-    return b.select("id", F.array_join(E.atom_issues(F.col("title"), F.col("title_en"), F.col("tags"), F.col("tags")), ",").alias("issues"))
+    return b.select("id", F.array_join(E.evaluation_issues(b), ",").alias("issues"))
+
+
+@query("section_filter", "SELECT vec_rowid, title, no_content FROM (SELECT vec_rowid, title, coalesce(regexp_full_match(n, '(?i)(contents|table\\s+of\\s+contents|toc|index|foreword|preface|bibliography|references|copyright|credits|содержание|оглавление|указатель|предисловие|литература|библиография|благодарности)') OR (length(n) < 80 AND regexp_matches(n, '(?i)^(contents|table\\s+of\\s+contents|содержание|оглавление)\\b')), false) AS no_content FROM (SELECT vec_rowid, title, trim(regexp_replace(regexp_replace(title, '[#*_`~]', ' ', 'g'), '\\s+', ' ', 'g')) AS n FROM (SELECT vec_rowid, CASE WHEN part_of > 2 THEN '**Contents** ' || path_titles[1] ELSE path_titles[-1] END AS title FROM chunks WHERE level = 1) a) b) c WHERE no_content OR title IS NOT NULL")
+def section_filter(s: Spark, d: str) -> DataFrame:
+    """Titles of sections; those of many parts stand for contents lists that were taken for a title."""
+    path = F.col("path_titles")
+    title = F.when(F.col("part_of") > 2, F.concat(F.lit("**Contents** "), F.get(path, F.lit(0)))).otherwise(F.element_at(path, -1))
+    t = table(s, d, "chunks").filter("level = 1").select("vec_rowid", title.alias("title"))
+    return t.withColumn("no_content", E.no_content(F.col("title"))).filter("no_content OR title IS NOT NULL")
+
+
+@query("domain_filter", f"SELECT id, domain FROM {_BOOKS} b WHERE domain IN ('ui', 'web', 'mobile', 'ux', 'perf', 'arch', 'copy', 'seo', 'research', 'data', 'security', 'devops', 'ai', 'business', 'science', 'psychology', 'philosophy', 'engineering', 'medicine', 'economics', 'other')")
+def domain_filter(s: Spark, d: str) -> DataFrame:
+    return _books(s, d).filter(F.col("domain").isin(*E.DOMAINS)).select("id", "domain")
+
+
+@query("meta_noise", f"SELECT id FROM {_BOOKS} b WHERE regexp_matches(lower(concat_ws(' ', domain, title, title_en, publisher, array_to_string(tags, ' '), last_error)), '\\b(table of contents|bibliographic|book endorsement|endorsements|marketing material|promotional|publisher blurb|credits|copyright|about the author|about the reviewer|structural metadata|оглавление|содержание|краткое содержание|библиограф|рекламн|аннотац|об авторах|об авторе)\\b') OR title_en IS NULL")
+def meta_noise(s: Spark, d: str) -> DataFrame:
+    """Books whose fields speak of the book as such, beside those without an English title."""
+    fields = [F.col(c) for c in ("domain", "title", "title_en", "publisher")] + [F.array_join("tags", " "), F.col("last_error")]
+    return _books(s, d).filter(E.about_the_book(*fields) | F.col("title_en").isNull()).select("id")
+
+
+@query("template_dialogues", f"SELECT b.id AS concept_id, q.depth, 'Ты эксперт в области: ' || coalesce(domain, '') || '. Отвечай по существу, без украшений.' AS system, q.question, trim(concat_ws(chr(10) || chr(10), nullif(title, ''), CASE WHEN q.depth > 1 THEN coalesce('Обоснование: ' || nullif(title_ru, ''), 'Формула: ' || nullif(title_en, '')) END, CASE WHEN q.depth > 2 THEN 'Применение: ' || nullif(publisher, '') END)) AS answer FROM {_BOOKS} b, (VALUES (1, 'Сформулируй ключевой принцип одним-двумя предложениями.'), (2, 'В чём суть? Дай конкретно, без воды.'), (3, 'Объясни главную идею профессионалу в этой области.'), (4, 'Назови основной принцип и кратко его обоснуй.'), (5, 'Дай рабочую формулировку, которую можно применять.')) q(depth, question) WHERE trim(concat_ws('', title, CASE WHEN q.depth > 1 THEN concat_ws('', title_ru, title_en) END, CASE WHEN q.depth > 2 THEN publisher END)) <> ''")
+def template_dialogues(s: Spark, d: str) -> DataFrame:
+    c = _books(s, d).select("id", "domain", F.col("title").alias("essence"), F.col("title_ru").alias("proof"), F.col("title_en").alias("cipher"), F.col("publisher").alias("applicability"))
+    return E.template_dialogues(c, 5)
 
 
 @query("book_markdown")

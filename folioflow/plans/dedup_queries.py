@@ -108,13 +108,33 @@ def isbn_duplicates(s: Spark, d: str) -> DataFrame:
     return X.isbn_decisions(table(s, d, "books"))
 
 
-_ONE = f"(SELECT * FROM {_BOOKS} b QUALIFY row_number() OVER (PARTITION BY sha256 ORDER BY {_PRIO} DESC, id) = 1)"
-_GROUPED = f"(SELECT o.id, w.work, {_PRIO} + CASE WHEN coalesce(year, 0) <> 0 THEN (year - 1900) * 0.01 ELSE 0 END AS score, count(*) OVER (PARTITION BY w.work) AS n FROM {_ONE} o JOIN {_work('coalesce(title, chr(32))', 'coalesce(author, chr(32))')} w ON w.id = o.id WHERE w.work IS NOT NULL)"
+# parts as files: name and brand as title and author, sizes as years and formats, so that works have several editions
+_PARTS = "(SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, md5(p_name || p_brand || p_size) AS sha256, p_name || ' handbook' AS title, p_brand AS author, CASE WHEN p_size > 5 THEN 1950 + p_size END AS year, ['epub', 'pdf', 'djvu', 'txt'][p_size % 4 + 1] AS original_format, NULL::VARCHAR AS isbn FROM part)"
 
 
-@query("edition_groups", f"SELECT id, work, round(score, 2)::DOUBLE AS score, first_value(id) OVER (PARTITION BY work ORDER BY score DESC, id) AS recommended FROM {_GROUPED} g WHERE n > 1")
+def _parts(s: Spark, d: str) -> DataFrame:
+    p = table(s, d, "part")
+    fmt = F.element_at(F.array(*[F.lit(x) for x in ("epub", "pdf", "djvu", "txt")]), (F.col("p_size") % 4 + 1).cast("int"))
+    year = F.when(F.col("p_size") > 5, F.col("p_size") + 1950)
+    sha = F.md5(F.concat("p_name", "p_brand", F.col("p_size").cast("string")))
+    return p.select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), sha.alias("sha256"), F.concat("p_name", F.lit(" handbook")).alias("title"), F.col("p_brand").alias("author"), year.alias("year"), fmt.alias("original_format"), F.lit(None).cast("string").alias("isbn"))
+
+
+def _one(source: str) -> str:
+    return f"(SELECT * FROM {source} b QUALIFY row_number() OVER (PARTITION BY sha256 ORDER BY {_PRIO} DESC, id) = 1)"
+
+
+def _work_of(source: str) -> str:
+    return f"(SELECT id, CASE WHEN length(t) < 4 THEN NULL WHEN length(a) >= 2 THEN t || '|' || a WHEN length(t) >= 10 THEN t || '|' END AS work FROM (SELECT id, {_plain(_stripped("coalesce(title, '')"))} AS t, {_plain("coalesce(author, '')")} AS a FROM {source} b) k)"
+
+
+def _grouped(source: str) -> str:
+    return f"(SELECT o.id, w.work, {_PRIO} + CASE WHEN coalesce(year, 0) <> 0 THEN (year - 1900) * 0.01 ELSE 0 END AS score, count(*) OVER (PARTITION BY w.work) AS n FROM {_one(source)} o JOIN {_work_of(source)} w ON w.id = o.id WHERE w.work IS NOT NULL)"
+
+
+@query("edition_groups", f"SELECT id, work, round(score, 2)::DOUBLE AS score, first_value(id) OVER (PARTITION BY work ORDER BY score DESC, id) AS recommended FROM {_grouped(_PARTS)} g WHERE n > 1")
 def edition_groups(s: Spark, d: str) -> DataFrame:
-    return X.edition_groups(_books(s, d))
+    return X.edition_groups(_parts(s, d))
 
 
 _ARTICLES = r"(?i)\b(the|a|an|и|в|на|по|для|из|от)\b"
@@ -137,11 +157,14 @@ SELECT * FROM (SELECT x.id AS id_a, y.id AS id_b, round(0.5 * {edit_ratio('x.t',
 FROM r x JOIN r y ON left(x.t, 6) = left(y.t, 6) AND x.surname = y.surname AND x.id < y.id) z WHERE score >= {threshold}"""
 
 
-@query("fuzzy_pairs", _fuzzy_sql("(SELECT CAST(vec_rowid AS VARCHAR) AS id, path_titles[1] AS title, book_id AS author, part_of AS year, NULL::VARCHAR AS isbn FROM chunks WHERE level = 2)", 0.7))
+_NAMES = "(SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, 'The ' || p_name || CASE WHEN p_size > 25 THEN ' 2nd edition' ELSE '' END AS title, p_brand AS author, CAST(1990 + p_size // 10 AS INT) AS year, NULL::VARCHAR AS isbn FROM part)"
+
+
+@query("fuzzy_pairs", _fuzzy_sql(_NAMES, 0.7))
 def fuzzy_pairs(s: Spark, d: str) -> DataFrame:
-    """Chapter summaries as works: the book's id stands for the author, so that titles of one book meet."""
-    rows = table(s, d, "chunks").filter("level = 2")
-    rows = rows.select(F.col("vec_rowid").cast("string").alias("id"), F.get("path_titles", F.lit(0)).alias("title"), F.col("book_id").alias("author"), F.col("part_of").alias("year"), F.lit(None).cast("string").alias("isbn"))
+    """Names of parts as titles, brands as authors; parts alike in all that is compared are one representative."""
+    title = F.concat(F.lit("The "), F.col("p_name"), F.when(F.col("p_size") > 25, " 2nd edition").otherwise(""))
+    rows = table(s, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), title.alias("title"), F.col("p_brand").alias("author"), (1990 + F.floor(F.col("p_size") / 10)).cast("int").alias("year"), F.lit(None).cast("string").alias("isbn"))
     return X.fuzzy_pairs(rows)
 
 
@@ -150,7 +173,18 @@ def fuzzy_book_pairs(s: Spark, d: str) -> DataFrame:
     return X.fuzzy_pairs(_books(s, d), 0.5)
 
 
-@query("scan_report", f"WITH f AS ({_fuzzy_sql(f'(SELECT o.* FROM {_ONE} o ANTI JOIN (SELECT id FROM {_GROUPED} g WHERE n > 1) e ON e.id = o.id)', 0.85)}), g AS (SELECT work, count(*) AS n FROM {_GROUPED} q WHERE n > 1 GROUP BY work) SELECT t.files, t.files - t.shas AS exact_duplicates, coalesce((SELECT sum(n - 1) FROM g), 0)::BIGINT AS format_duplicates, (SELECT count(*) FROM g) AS groups, (SELECT count(*) FROM f) AS fuzzy, greatest(0, t.shas - coalesce((SELECT sum(n - 1) FROM g), 0) - (SELECT count(*) FROM f))::BIGINT AS unique_books, t.files * 200 AS estimate_ms FROM (SELECT count(*) AS files, (SELECT count(*) FROM {_ONE} o) AS shas FROM {_BOOKS} b) t")
+def _report_sql(source: str) -> str:
+    groups = f"(SELECT work, count(*) AS n FROM {_grouped(source)} q WHERE n > 1 GROUP BY work)"
+    fuzzy = _fuzzy_sql(f"(SELECT o.* FROM {_one(source)} o ANTI JOIN (SELECT id FROM {_grouped(source)} g WHERE n > 1) e ON e.id = o.id)", 0.85)
+    return f"WITH f AS ({fuzzy}), g AS {groups} SELECT t.files, t.files - t.shas AS exact_duplicates, coalesce((SELECT sum(n - 1) FROM g), 0)::BIGINT AS format_duplicates, (SELECT count(*) FROM g) AS groups, (SELECT count(*) FROM f) AS fuzzy, greatest(0, t.shas - coalesce((SELECT sum(n - 1) FROM g), 0) - (SELECT count(*) FROM f))::BIGINT AS unique_books, t.files * 200 AS estimate_ms FROM (SELECT count(*) AS files, (SELECT count(*) FROM {_one(source)} o) AS shas FROM {source} b) t"
+
+
+@query("scan_report_parts", _report_sql(_PARTS))
+def scan_report_parts(s: Spark, d: str) -> DataFrame:
+    return X.scan_report(_parts(s, d))
+
+
+@query("scan_report", _report_sql(_BOOKS))
 def scan_report(s: Spark, d: str) -> DataFrame:
     return X.scan_report(_books(s, d))
 

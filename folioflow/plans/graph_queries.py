@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import dedup as X
 from folioflow.operators import graph as G
 from folioflow.operators import vectors as V
 from folioflow.plans.registry import query
-from folioflow.session import bounded_collect, table
+from folioflow.session import bounded_collect, cut, table
 from folioflow.streaming import monitors as M
 
 Spark = SparkSession
@@ -74,107 +74,112 @@ def idea_clusters(s: Spark, d: str) -> DataFrame:
     return X.idea_clusters(table(s, d, "embeddings"), 0.3, "label", "vec_id")
 
 
-# --- graph: suppliers and parts of the line items as entities, one relation per pair
+# --- graph: suppliers and parts of the line items as entities, one relation per line, the order as its source
 
-_EDGES = "(SELECT DISTINCT 's' || l_suppkey AS src, 'p' || (l_partkey % 50) AS dst FROM lineitem)"
+_TRIPLES = "(SELECT s_name AS subject, p_name || ' ' || p_brand AS object, l_orderkey AS source FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey)"
+_CANON = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\s_-]', '', 'g'), '\\s+', ' ', 'g'))"
+_REL = f"(SELECT {_CANON.format('subject')} AS s, {_CANON.format('object')} AS o, source FROM {_TRIPLES} t)"
+_SEEK = "red widget Supplier#000000007"
 
 
-#: Queries without a suffix follow their SQL, which folds the parts into 50; those with _whole run on the graph of all suppliers and parts.
+def _triples(s: Spark, d: str) -> DataFrame:
+    """Names are joined to the line items from two small tables; the line's number gives the order of mention."""
+    li = table(s, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
+    sup = table(s, d, "supplier").select("s_suppkey", F.col("s_name").alias("subject"))
+    part = table(s, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("object"))
+    j = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return j.select("subject", F.lit("supplies").alias("predicate"), "object", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("l_orderkey").alias("source"))
 
 
-def _part(key: str, whole: bool) -> Column:
-    return F.concat(F.lit("p"), (F.col(key) if whole else F.col(key) % 50).cast("string"))
+def _graph(s: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations, written once: several steps of a search read them."""
+    ents, rels = G.ingest_relations(_triples(s, d))
+    return cut(ents), cut(rels)
 
 
-def _edges(s: Spark, d: str, whole: bool = False) -> DataFrame:
-    li = table(s, d, "lineitem").filter("l_suppkey IS NOT NULL AND l_partkey IS NOT NULL") if whole else table(s, d, "lineitem")
-    return li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), _part("l_partkey", whole).alias("dst")).distinct()
+@query("relation_ingest", f"SELECT (SELECT count(*) FROM (SELECT s FROM {_REL} a UNION SELECT o FROM {_REL} b) u) AS entities, (SELECT count(*) FROM {_REL} c) AS relations")
+def relation_ingest(s: Spark, d: str) -> DataFrame:
+    ents, rels = G.ingest_relations(_triples(s, d))
+    return ents.agg(F.count("*").alias("entities")).crossJoin(rels.agg(F.count("*").alias("relations")))  # one row each
 
 
-@query("graph_adjacency", f"SELECT src, count(DISTINCT dst) AS degree FROM (SELECT src, dst FROM {_EDGES} a UNION SELECT dst, src FROM {_EDGES} b) x WHERE src <> dst GROUP BY src")
+@query("graph_adjacency", f"SELECT node, count(DISTINCT other) AS degree FROM (SELECT s AS node, o AS other FROM {_REL} a UNION SELECT o, s FROM {_REL} b) x WHERE node <> other GROUP BY node")
 def graph_adjacency(s: Spark, d: str) -> DataFrame:
-    return G.adjacency(_edges(s, d)).groupBy("src").agg(F.count("*").alias("degree"))
+    ents, rels = _graph(s, d)
+    degree = G.adjacency(rels.select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"))).groupBy("src").agg(F.count("*").alias("degree"))
+    return degree.join(ents.select(F.col("id").alias("src"), F.col("canonical").alias("node")), "src").select("node", "degree")
 
 
-@query("graph_adjacency_whole", "SELECT 's' || l_suppkey AS src, count(DISTINCT l_partkey) AS degree FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL GROUP BY 1 UNION ALL SELECT 'p' || l_partkey, count(DISTINCT l_suppkey) FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL GROUP BY 1")
-def graph_adjacency_whole(s: Spark, d: str) -> DataFrame:
-    return G.adjacency(_edges(s, d, True)).groupBy("src").agg(F.count("*").alias("degree"))
+_NAMES = f"(SELECT DISTINCT unnest([s, o]) AS node FROM {_REL} r)"
+_SEEDS = f"(SELECT node FROM {_NAMES} n WHERE contains(node, 'red') OR contains(node, 'widget') OR contains(node, 'supplier000000007') OR contains(node, 'red widget supplier000000007'))"
 
 
-_PPR = f"""WITH RECURSIVE adj AS MATERIALIZED (SELECT src, dst FROM {_EDGES} a UNION SELECT dst, src FROM {_EDGES} b), deg AS MATERIALIZED (SELECT src, count(*) AS k FROM adj GROUP BY src),
-r AS (SELECT 0 AS i, d.src AS node, CASE WHEN d.src = 's1' THEN 1.0::DOUBLE ELSE 0 END AS score FROM deg d
-UNION ALL SELECT * FROM (SELECT any_value(r.i) + 1, a.dst, 0.15 * CASE WHEN a.dst = 's1' THEN 1.0::DOUBLE ELSE 0 END + 0.85 * sum(r.score / g.k) FROM r JOIN adj a ON a.src = r.node JOIN deg g ON g.src = r.node WHERE r.i < 10 GROUP BY a.dst) z)
-SELECT node, round(score, 6) AS score FROM r WHERE i = 10"""
+@query("graph_seeds", f"SELECT node FROM {_SEEDS} q")
+def graph_seeds(s: Spark, d: str) -> DataFrame:
+    """All names that hold a word of the query; the look-up's cut at 20 a word is lifted, as ids follow no order of names."""
+    ents, _ = _graph(s, d)
+    return G.seeds(ents, _SEEK, 1 << 30).join(ents, F.col("node") == F.col("id")).select(F.col("canonical").alias("node"))
 
 
-def _ranked(s: Spark, d: str) -> DataFrame:
-    return G.personalised_pagerank(_edges(s, d), s.createDataFrame([("s1", 1.0)], "node string, weight double"), iterations=10)
+_PPR = f"""WITH RECURSIVE rel AS MATERIALIZED (SELECT DISTINCT s, o FROM {_REL} a), adj AS MATERIALIZED (SELECT s AS src, o AS dst FROM rel UNION SELECT o, s FROM rel), deg AS MATERIALIZED (SELECT src, count(*) AS k FROM adj GROUP BY src), seed AS MATERIALIZED (SELECT node, 1.0::DOUBLE / count(*) OVER () AS t FROM {_SEEDS} q), start AS MATERIALIZED (SELECT d.src AS node, k, coalesce(t, 0) AS t FROM deg d LEFT JOIN seed ON seed.node = d.src),
+r AS (SELECT 0 AS i, node, t AS score FROM start
+UNION ALL SELECT * FROM (SELECT any_value(r.i) + 1, a.dst, 0.15 * any_value(z.t) + 0.85 * sum(r.score / g.k) FROM r JOIN adj a ON a.src = r.node JOIN start g ON g.node = r.node JOIN start z ON z.node = a.dst WHERE r.i < 25 GROUP BY a.dst) z)
+SELECT node, round(score, 10) AS score FROM r WHERE i = 25"""
 
 
-def _ranked_whole(s: Spark, d: str) -> DataFrame:
-    """Up to 25 iterations with the operator's tolerance; scores of many nodes are small, so they are rounded to 12 digits."""
-    ranked = G.personalised_pagerank(_edges(s, d, True), s.createDataFrame([("s1", 1.0)], "node string, weight double"))
-    return ranked.select("node", F.round("score", 12).alias("score"))
+def _ranked(ents: DataFrame, rels: DataFrame) -> DataFrame:
+    edges = rels.select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"))
+    return G.personalised_pagerank(edges, G.seeds(ents, _SEEK, 1 << 30))
 
 
 @query("graph_ppr", _PPR)
 def graph_ppr(s: Spark, d: str) -> DataFrame:
-    return _ranked(s, d).select("node", F.round("score", 6).alias("score"))
+    ents, rels = _graph(s, d)
+    return _ranked(ents, rels).join(ents.select(F.col("id").alias("node"), "canonical"), "node").select(F.col("canonical").alias("node"), F.round("score", 10).alias("score"))
 
 
-@query("graph_ppr_whole")
-def graph_ppr_whole(s: Spark, d: str) -> DataFrame:
-    return _ranked_whole(s, d)
+@query("chunk_graph_score", f"WITH g AS ({_PPR}) SELECT source AS chunk, round(sum(coalesce(a.score, 0) + coalesce(b.score, 0)), 10) AS graph FROM {_REL} r LEFT JOIN g a ON a.node = r.s LEFT JOIN g b ON b.node = r.o GROUP BY 1")
+def chunk_graph_score(s: Spark, d: str) -> DataFrame:
+    ents, rels = _graph(s, d)
+    scores = _ranked(ents, rels).withColumn("score", F.round("score", 10))
+    return G.source_scores(rels, scores, "source").select(F.col("source").alias("chunk"), F.round("graph", 10).alias("graph"))
 
 
-@query("hybrid_rank", f"WITH hits AS (SELECT vec_id, {_COS} AS sim FROM embeddings, {_Q} ORDER BY sim DESC, vec_id LIMIT 100), g AS ({_PPR.replace('WITH RECURSIVE', 'WITH RECURSIVE')}), s AS (SELECT h.vec_id, h.sim, coalesce(round(g.score, 6), 0) AS graph FROM hits h LEFT JOIN g ON g.node = 'p' || (h.vec_id % 50)) SELECT vec_id, sim, graph, round(0.7 * sim + CASE WHEN max(graph) OVER () > 0 THEN 0.3 * graph / max(graph) OVER () ELSE 0 END, 6) AS final FROM s ORDER BY final DESC, vec_id LIMIT 20")
+@query("hybrid_rank", f"WITH g AS ({_PPR}), hits AS (SELECT vec_id, {_COS} AS sim FROM embeddings, {_Q} ORDER BY sim DESC, vec_id LIMIT 100), c AS (SELECT source, round(sum(coalesce(a.score, 0) + coalesce(b.score, 0)), 10) AS graph FROM {_REL} r JOIN hits ON vec_id = source LEFT JOIN g a ON a.node = r.s LEFT JOIN g b ON b.node = r.o GROUP BY 1), h AS (SELECT vec_id, sim, o_orderstatus AS status, coalesce(graph, 0) AS graph FROM hits JOIN orders ON o_orderkey = vec_id LEFT JOIN c ON c.source = vec_id) SELECT vec_id, status, sim, graph, round(0.7 * sim + CASE WHEN max(graph) OVER () > 0 THEN 0.3 * graph / max(graph) OVER () ELSE 0 END, 6) AS final FROM h ORDER BY final DESC, vec_id LIMIT 20")
 def hybrid_rank(s: Spark, d: str) -> DataFrame:
-    return _hybrid(s, d, _ranked(s, d).select("node", F.round("score", 6).alias("graph")), False)
-
-
-@query("hybrid_rank_whole")
-def hybrid_rank_whole(s: Spark, d: str) -> DataFrame:
-    return _hybrid(s, d, _ranked_whole(s, d).withColumnRenamed("score", "graph"), True)
-
-
-def _hybrid(s: Spark, d: str, scores: DataFrame, whole: bool) -> DataFrame:
-    hits = V.top_k(table(s, d, "embeddings"), _query_vector(s, d), 100).withColumn("node", _part("vec_id", whole))
-    joined = hits.join(F.broadcast(hits.select("node").distinct()).join(scores, "node"), "node", "left").select("vec_id", "sim", "graph")  # at most 100 nodes
-    return V.blended(joined.select("vec_id", "sim"), joined.select("vec_id", "graph").filter("graph IS NOT NULL"), 0.7, 0.3, 20, "vec_id").select("vec_id", "sim", "graph", "final")
+    """The flagship search: nearest chunks joined with their rows (orders), ranked with the graph scores of their relations."""
+    hits = cut(V.with_metadata(V.top_k(table(s, d, "embeddings"), _query_vector(s, d), V.overfetch(20)), table(s, d, "orders").select(F.col("o_orderkey").alias("vec_id"), F.col("o_orderstatus").alias("status")), "vec_id"))
+    ents, rels = _graph(s, d)
+    scores = _ranked(ents, rels).withColumn("score", F.round("score", 10))
+    near = rels.join(F.broadcast(hits.select(F.col("vec_id").alias("source"))), "source")  # at most 100 hits
+    graph = G.source_scores(near, scores, "source").select(F.col("source").alias("vec_id"), F.round("graph", 10).alias("graph"))
+    return V.blended(hits, graph, 0.7, 0.3, 20, "vec_id").select("vec_id", "status", "sim", "graph", "final")
 
 
-@query("entity_resolution")
+@query("entity_resolution", f"SELECT canonical, first_value(name) OVER (PARTITION BY canonical ORDER BY seq, name) AS display, sum(n) OVER (PARTITION BY canonical)::BIGINT AS mentions FROM (SELECT name, min(seq) AS seq, count(*) AS n, {_CANON.format('nfkc')} AS canonical FROM (SELECT name, seq, replace(replace(name, chr(160), ' '), chr(8230), '...') AS nfkc FROM (SELECT unnest([author, author_en]) AS name, epoch_us(created_at) AS seq FROM books) a WHERE name IS NOT NULL) b GROUP BY name, nfkc) c WHERE canonical <> '' QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY seq, name) = 1")
 def entity_resolution(s: Spark, d: str) -> DataFrame:
     b = table(s, d, "books").select(F.explode(F.array("author", "author_en")).alias("name"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("seq")).filter("name IS NOT NULL")
-    return G.resolve_entities(b)
+    return G.resolve_entities(b).select("canonical", "display", "mentions")
 
 
-@query("entity_registry", "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+@query("entity_registry", "SELECT DISTINCT c_custkey AS id, c_name AS name FROM customer, (SELECT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity > 49) r WHERE c_custkey = a OR c_custkey = b ORDER BY id DESC LIMIT 50")
 def entity_registry(s: Spark, d: str) -> DataFrame:
-    rel = table(s, d, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("subject_id"), F.col("l_suppkey").alias("object_id"))
-    return G.touching(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), rel)
+    rel = table(s, d, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("subject_id"), F.col("l_partkey").alias("object_id"))
+    return G.registry(table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), rel)
 
 
-@query("graph_orphan_sweep", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders UNION SELECT o_orderkey FROM orders WHERE o_orderkey <= 10)")
+@query("graph_orphan_sweep", "SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45 UNION SELECT l_suppkey FROM lineitem WHERE l_quantity > 45)")
 def graph_orphan_sweep(s: Spark, d: str) -> DataFrame:
-    o = table(s, d, "orders")
-    rel = o.select(F.col("o_custkey").alias("subject_id"), F.when(F.col("o_orderkey") <= 10, F.col("o_orderkey")).otherwise(F.col("o_custkey")).alias("object_id"))
-    return G.orphans(table(s, d, "customer").select(F.col("c_custkey").alias("id")), rel)
-
-
-@query("chunk_graph_score", f"WITH g AS ({_PPR}) SELECT l_orderkey AS chunk, CAST(round(sum(coalesce(a.score, 0) + coalesce(b.score, 0)) * 1000000) AS BIGINT) AS micro FROM lineitem LEFT JOIN g a ON a.node = 's' || l_suppkey LEFT JOIN g b ON b.node = 'p' || (l_partkey % 50) GROUP BY 1")
-def chunk_graph_score(s: Spark, d: str) -> DataFrame:
-    scores = _ranked(s, d).select("node", F.round("score", 6).alias("score"))
-    return G.source_scores(_chunk_relations(s, d, False), scores, "chunk").select("chunk", F.round(F.col("graph") * 1_000_000).cast("bigint").alias("micro"))
-
-
-@query("chunk_graph_score_whole")
-def chunk_graph_score_whole(s: Spark, d: str) -> DataFrame:
-    return G.source_scores(_chunk_relations(s, d, True), _ranked_whole(s, d), "chunk").select("chunk", F.round("graph", 12).alias("graph"))
+    rel = table(s, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("subject_id"), F.col("l_suppkey").alias("object_id"))
+    return G.orphans(table(s, d, "part").select(F.col("p_partkey").alias("id")), rel)
 
 
-def _chunk_relations(s: Spark, d: str, whole: bool) -> DataFrame:
-    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.concat(F.lit("s"), "l_suppkey").alias("subject_id"), _part("l_partkey", whole).alias("object_id"))
+@query("graph_cascade_delete", f"WITH k AS (SELECT * FROM {_REL} r WHERE source NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')) SELECT count(DISTINCT node) AS entities, (SELECT count(*) FROM k) AS relations FROM (SELECT unnest([s, o]) AS node FROM k) x")
+def graph_cascade_delete(s: Spark, d: str) -> DataFrame:
+    ents, rels = _graph(s, d)
+    gone = table(s, d, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("source"))
+    kept, left = G.without_source(ents, rels, gone)
+    return kept.agg(F.count("*").alias("entities")).crossJoin(left.agg(F.count("*").alias("relations")))  # one row each
 
 
 @query("propositions", "SELECT concept_id, part, text FROM (SELECT c_nationkey AS concept_id, c_custkey AS part, left(c_name || ' buys in ' || c_mktsegment || '.', 400) AS text FROM customer) x WHERE length(text) >= 10 QUALIFY row_number() OVER (PARTITION BY concept_id, lower(text) ORDER BY part) = 1")

@@ -38,7 +38,9 @@ def differences(df, sql: str, con: duckdb.DuckDBPyConnection) -> str:  # noqa: A
     at = [names.index(c) for c in cols]
     want = Counter(tuple(norm(r[i]) for i in at) for r in cur.fetchall())
     more, less = got - want, want - got
-    return "" if not more and not less else f"{sum(got.values())} and {sum(want.values())} rows; only here {list(more)[:2]}; only there {list(less)[:2]}"
+    if not more and not less:
+        return f"{sum(got.values())} rows equal"
+    return f"{sum(got.values())} and {sum(want.values())} rows; only here {list(more)[:2]}; only there {list(less)[:2]}"
 
 
 if __name__ == "__main__":
