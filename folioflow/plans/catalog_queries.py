@@ -264,14 +264,8 @@ def token_similarity(s: Spark, d: str) -> DataFrame:
     return b.select("id", F.round(T.token_similarity(T.token_set(F.col("author")), T.token_set(F.col("author_en"))), 6).alias("sim"))
 
 
-@query("levenshtein_titles", "SELECT id, round(CASE WHEN greatest(length(title), length(title_en)) = 0 THEN 1 ELSE 1 - levenshtein(title, title_en) / greatest(length(title), length(title_en)) END, 6) AS ratio FROM books WHERE title = ascii_title AND title_en IS NOT NULL".replace("title = ascii_title", "regexp_full_match(title, '[ -~]*') AND regexp_full_match(title_en, '[ -~]*')"))
+@query("levenshtein_titles")
 def levenshtein_titles(s: Spark, d: str) -> DataFrame:
-    b = table(s, d, "books").filter(F.col("title").rlike(r"^[ -~]*\z") & F.col("title_en").rlike(r"^[ -~]*\z"))
-    return b.select("id", F.round(T.levenshtein_ratio(F.col("title"), F.col("title_en")), 6).alias("ratio"))
-
-
-@query("levenshtein_titles_all")
-def levenshtein_titles_all(s: Spark, d: str) -> DataFrame:
     """Titles of every script by characters; DuckDB compares bytes, so there is no SQL."""
     b = table(s, d, "books").filter("title IS NOT NULL AND title_en IS NOT NULL")
     return b.select("id", F.round(T.levenshtein_ratio(F.col("title"), F.col("title_en")), 6).alias("ratio"))
@@ -292,17 +286,10 @@ def script_language(s: Spark, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", T.script_language(F.col("text")).alias("language"))
 
 
-@query("canonical_names", "SELECT author, trim(regexp_replace(regexp_replace(lower(author), '[^\\p{L}\\p{N}\\s_-]', '', 'g'), '\\s+', ' ', 'g')) AS canonical FROM (SELECT DISTINCT author FROM books WHERE regexp_full_match(author, '[ -~]*')) x")
+@query("canonical_names", "SELECT author, trim(regexp_replace(regexp_replace(lower(replace(replace(author, chr(160), ' '), chr(8230), '...')), '[^\\p{L}\\p{N}\\s_-]', '', 'g'), '\\s+', ' ', 'g')) AS canonical FROM (SELECT DISTINCT author FROM books WHERE author IS NOT NULL) x")
 def canonical_names(s: Spark, d: str) -> DataFrame:
-    b = table(s, d, "books").filter(F.col("author").rlike(r"^[ -~]*\z")).select("author").distinct()
-    return b.select("author", T.canonical_name(F.col("author")).alias("canonical"))
-
-
-@query("canonical_names_all")
-def canonical_names_all(s: Spark, d: str) -> DataFrame:
-    """Authors of every script, without SQL."""
     b = table(s, d, "books").filter("author IS NOT NULL").select("author").distinct()
-    return b.select("author", T.canonical_name(F.col("author")).alias("canonical"))
+    return b.select("author", T.canonical_name(T.normalized(F.col("author"))).alias("canonical"))
 
 
 _TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279))"
@@ -430,6 +417,7 @@ def template_dialogues(s: Spark, d: str) -> DataFrame:
 
 @query("book_markdown")
 def book_markdown(s: Spark, d: str) -> DataFrame:
-    body = table(s, d, "chunks").filter("level = 2").groupBy("book_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section_order", "vec_rowid", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
+    """Front matter and title of every book with its chapter summaries; a book's rows are its chapters, not its text."""
+    body = table(s, d, "chunks").filter("level = 2").groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_order", "vec_rowid", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
     j = _books(s, d).join(body, F.col("id") == F.col("book_id"))
-    return j.select("id", E.markdown_of(F.coalesce("title", F.lit("Untitled")), F.col("author"), F.col("year"), F.col("body")).alias("markdown"))
+    return j.select("id", E.markdown_of(F.coalesce("title", F.lit("Untitled")), F.col("author"), F.col("year"), F.col("body")).alias("markdown"))
\ No newline at end of file

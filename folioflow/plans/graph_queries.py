@@ -205,15 +205,71 @@ def rate_window(s: Spark, d: str) -> DataFrame:
     return M.rate_in_window(table(s, d, "events"), "event_type").select("event_id", "recent")
 
 
-@query("drift_monitor")
+@query("drift_monitor", "SELECT event_id, user_id, round((long - short) / long, 6) AS drop FROM (SELECT *, row_number() OVER w AS n, avg(value) OVER (w ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS long, avg(value) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS short FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) x WHERE n >= 20 AND long > 0 AND (long - short) / long >= 0.15")
 def drift_monitor(s: Spark, d: str) -> DataFrame:
-    return M.drift(table(s, d, "events"), "event_type").select("event_id", "event_type", F.round("drop", 6).alias("drop"))
+    return M.drift(table(s, d, "events"), "user_id").select("event_id", "user_id", F.round("drop", 6).alias("drop"))
 
 
-@query("circuit_rates")
+@query("drift_alerts")
+def drift_alerts(s: Spark, d: str) -> DataFrame:
+    return M.drift_alerts(table(s, d, "events"), "user_id", "1 hour").select("event_id", "user_id", F.round("drop", 6).alias("drop"))
+
+
+@query("circuit_rates", "SELECT event_id, round(rate, 6) AS rate, round(p95, 6) AS p95, CASE WHEN rate < 0.8 THEN 'halve' WHEN rate >= 0.95 THEN 'raise' ELSE 'hold' END AS step FROM (SELECT event_id, avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0 END) OVER w AS rate, quantile_cont(value, 0.95) OVER w AS p95 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) x")
 def circuit_rates(s: Spark, d: str) -> DataFrame:
     e = table(s, d, "events").withColumn("ok", F.col("event_type") != "error")
-    return M.success_window(e, "user_id").select("event_id", F.round("rate", 6).alias("rate"), "step")
+    return M.success_window(e, "user_id").select("event_id", F.round("rate", 6).alias("rate"), F.round("p95", 6).alias("p95"), "step")
+
+
+@query("controller_limits")
+def controller_limits(s: Spark, d: str) -> DataFrame:
+    return M.controller_limits(table(s, d, "events").withColumn("ok", F.col("event_type") != "error"), "user_id", slow=100.0)
+
+
+@query("breaker_states")
+def breaker_states(s: Spark, d: str) -> DataFrame:
+    return M.breaker_states(table(s, d, "events").withColumn("ok", F.col("event_type") != "error"), "user_id", rate=0.4)
+
+
+@query("resume_by_ids", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click')")
+def resume_by_ids(s: Spark, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    return M.not_yet_done(e, e.filter("event_type = 'click'"), "event_id").select("event_id")
+
+
+@query("tier_cascade", "SELECT user_id, CASE WHEN g IS NOT NULL THEN g ELSE b END AS tier FROM (SELECT user_id, min(event_id) FILTER (value >= 60) AS g, arg_min(event_id, (-value, event_id)) AS b FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL GROUP BY user_id) x")
+def tier_cascade(s: Spark, d: str) -> DataFrame:
+    tries = table(s, d, "events").filter("user_id IS NOT NULL AND value IS NOT NULL").select("user_id", F.col("event_id").alias("tier"), F.col("value").alias("quality"))
+    return M.first_good_tier(tries, "user_id", 60).select("user_id", "tier")
+
+
+@query("uniqueness_scores", f"SELECT label, count(*) AS ideas, count(*) FILTER (sim < 0.3) AS novel, CASE WHEN count(*) >= 3 THEN CAST(floor(100 * count(*) FILTER (sim < 0.3) / count(*) + 0.5) AS INT) END AS score FROM (SELECT * FROM ({_NEAR}) y QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbour) = 1) z JOIN embeddings ON vec_id = query GROUP BY label")
+def uniqueness_scores(s: Spark, d: str) -> DataFrame:
+    from folioflow.operators import seams
+
+    e = table(s, d, "embeddings").select("vec_id", "embedding", "label")
+    near = V.nearest(e.filter("vec_id % 100 = 0"), e, 1).select(F.col("query").alias("vec_id"), V.novelty_band(F.col("sim"), 0.3, 0.85).alias("band"))
+    return seams.uniqueness(near.join(e.select("vec_id", "label"), "vec_id"), "label")
+
+
+@query("semantic_dedup")
+def semantic_dedup(s: Spark, d: str) -> DataFrame:
+    """The stated query set against all other vectors: which of its rows resemble none before them."""
+    from folioflow.operators import seams
+
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("vec_id").alias("created_at"))
+    return seams.new_concepts(e.filter("id % 100 = 0"), e.filter("id % 100 <> 0"), 0.45).select("id")
+
+
+@query("vector_scroll", "SELECT vec_id, label FROM embeddings WHERE label IN (1, 2) ORDER BY vec_id LIMIT 256 OFFSET 20")
+def vector_scroll(s: Spark, d: str) -> DataFrame:
+    return table(s, d, "embeddings").filter(F.col("label").isin(1, 2)).select("vec_id", "label").orderBy("vec_id").offset(20).limit(256)
+
+
+@query("hits_with_rows", f"SELECT vec_id, sim, o_orderstatus AS status, o_totalprice AS price FROM (SELECT vec_id, {_COS} AS sim FROM embeddings, {_Q} ORDER BY sim DESC, vec_id LIMIT 50) h JOIN orders ON o_orderkey = vec_id")
+def hits_with_rows(s: Spark, d: str) -> DataFrame:
+    rows = table(s, d, "orders").select(F.col("o_orderkey").alias("vec_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    return V.with_metadata(V.top_k(table(s, d, "embeddings"), _query_vector(s, d), 50), rows, "vec_id").select("vec_id", "sim", "status", "price")
 
 
 @query("event_props", "SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k, count(*) AS n FROM events GROUP BY 1")

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from folioflow.plans import catalog_queries, dedup_queries, graph_queries, reply_queries  # noqa: E402, F401  (fill the registry)
+from folioflow.plans import catalog_queries, corpus_queries, dedup_queries, graph_queries, reply_queries  # noqa: E402, F401  (fill the registry)

@@ -30,9 +30,18 @@ def dedup_within(events: DataFrame, key: str, late: str) -> DataFrame:
 
 
 def rate_in_window(events: DataFrame, key: str, seconds: int = 60) -> DataFrame:
-    """Events of the same key in the last seconds up to each event, itself counted."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("recent", F.count("*").over(w))
+    """Events of the same key in the last seconds up to each event, itself and those of the same time counted.
+
+    A key is worked on in spans of time, each with the events of the span before it, so that no task holds all events of a key.
+    """
+    width = seconds * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    spans = events.withColumns({"__at": at, "__span": F.floor(at / (16 * width))})
+    # an event also counts in the next span where it lies in the last seconds of its own
+    both = F.when(F.pmod(F.col("__at"), F.lit(16 * width)) >= 15 * width, F.array("__span", F.col("__span") + 1)).otherwise(F.array("__span"))
+    seen = spans.withColumn("__in", F.explode(both))
+    w = Window.partitionBy(key, "__in").orderBy("__at").rangeBetween(-width, 0)
+    return seen.withColumn("recent", F.count("*").over(w)).filter(F.col("__in") == F.col("__span")).drop("__at", "__span", "__in")
 
 
 def drift(samples: DataFrame, key: str, *, long: int = 50, short: int = 10, least: int = 20, ratio: float = 0.15) -> DataFrame:
@@ -77,3 +86,90 @@ def success_window(samples: DataFrame, key: str, last: int = 30) -> DataFrame:
     w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(1 - last, 0)
     m = samples.withColumns({"rate": F.avg(F.col("ok").cast("double")).over(w), "p95": F.percentile("value", 0.95).over(w)})
     return m.withColumn("step", F.when(F.col("rate") < 0.8, "halve").when(F.col("rate") >= 0.95, "raise").otherwise("hold"))
+
+
+def drift_alerts(samples: DataFrame, key: str, cooldown: str = "60 seconds", **limits) -> DataFrame:  # noqa: ANN003
+    """The rows of drift() that are reported: after one, none of its key for the cooldown; a fold in order of time per key."""
+    rows = drift(samples, key, **limits)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "event_id"])
+        keep, last, pause = [], None, pd.Timedelta(cooldown)
+        for t in pdf["ts"]:
+            keep.append(last is None or t - last >= pause)
+            last = t if keep[-1] else last
+        return pdf[keep]
+
+    return rows.groupBy(key).applyInPandas(fold, rows.schema)
+
+
+def controller_limits(samples: DataFrame, key: str, *, start: int = 4, low: int = 1, high: int = 16, window: int = 30, least: int = 10, step: int = 1, factor: float = 0.5, good: float = 0.95, slow: float = 60_000.0, cooldown: float = 10.0) -> DataFrame:
+    """key, event_id, limit and reason of an additive-increase controller for every sample (ts, event_id, ok, value as latency).
+
+    After `least` samples of the last `window` the limit rises by step where the share of successes is `good`, and falls by
+    factor where it is not or where the 95th percentile of the latency is over `slow`; a change clears the window and rests for `cooldown` seconds.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "event_id"])
+        limit, seen, last, limits, reasons = start, [], None, [], []
+        for t, ok, value in zip(pdf["ts"], pdf["ok"], pdf["value"], strict=True):
+            seen = [*seen, (bool(ok), float(value))][-window:]
+            reason = None
+            if len(seen) >= least and (last is None or (t - last).total_seconds() >= cooldown):
+                rate = sum(o for o, _ in seen) / len(seen)
+                late = sorted(v for _, v in seen)[min(len(seen) - 1, int(0.95 * len(seen)))]
+                if rate < good:
+                    reason, new = "failures", max(low, int(limit * factor))
+                elif late > slow:
+                    reason, new = "latency", max(low, int(limit * factor))
+                else:
+                    reason, new = "increase", min(high, limit + step)
+                if new == limit:
+                    reason = None
+                else:
+                    limit, last, seen = new, t, []
+            limits.append(limit)
+            reasons.append(reason)
+        return pd.DataFrame({key: pdf[key].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "limit": limits, "reason": reasons})
+
+    kinds = dict(samples.dtypes)
+    return samples.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, event_id {kinds['event_id']}, limit int, reason string")
+
+
+def breaker_states(samples: DataFrame, key: str, *, window: int = 20, least: int = 5, rate: float = 0.5, rest: float = 30.0, probes: int = 1) -> DataFrame:
+    """key, event_id and state of a circuit breaker before every sample (ts, event_id, ok): closed, open or half_open.
+
+    It opens when, of the last `window` samples, at least `least` were seen and `rate` of them failed; after `rest` seconds the next
+    sample is a probe: success of `probes` of them closes it, a failure opens it again.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "event_id"])
+        state, since, seen, passed, states = "closed", None, [], 0, []
+        for t, ok in zip(pdf["ts"], pdf["ok"], strict=True):
+            if state == "open" and (t - since).total_seconds() >= rest:
+                state, passed = "half_open", 0
+            states.append(state)
+            if state == "half_open":
+                passed = passed + 1 if ok else 0
+                state, since, seen = ("closed", None, []) if passed >= probes else ("half_open", since, []) if ok else ("open", t, [])
+            elif state == "closed":
+                seen = [*seen, bool(ok)][-window:]
+                if len(seen) >= least and 1 - sum(seen) / len(seen) >= rate:
+                    state, since = "open", t
+        return pd.DataFrame({key: pdf[key].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "state": states})
+
+    kinds = dict(samples.dtypes)
+    return samples.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, event_id {kinds['event_id']}, state string")
+
+
+def not_yet_done(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows of work whose key is not among the done ones: how a run resumes."""
+    return work.join(done.select(key).distinct(), key, "left_anti")
+
+
+def first_good_tier(tries: DataFrame, key: str, good: float = 0.6) -> DataFrame:
+    """key, tier and quality of the first tier whose quality is `good`, else of the best one, the first of equals. tries: key, tier (a number), quality."""
+    t = tries.groupBy(key).agg(F.min(F.when(F.col("quality") >= good, F.struct("tier", "quality"))).alias("first"), F.min(F.struct((-F.col("quality")).alias("q"), "tier")).alias("best"))
+    return t.select(key, F.coalesce("first.tier", "best.tier").alias("tier"), F.coalesce("first.quality", -F.col("best.q")).alias("quality"))

@@ -75,8 +75,13 @@ def test_chunkers():
 
 
 def test_cleaning(spark):
-    lines = F.array(*[F.lit(x) for x in ("— 47 —", "[123]", "Page 200", "стр. 88", "© 2001 X", "ISBN 1", "* * *", "Конец главы", "Real text here.", "run", "run", "run")])
-    assert one(spark, T.clean_lines(lines)) == ["Real text here."]
+    lines = ["— 47 —", "[123]", "Page 200", "стр. 88", "© 2001 X", "ISBN 1", "* * *", "Конец главы", "Real text here.", "run", "run", "run", "As shown before [12]", "in 1969", "--- 12", "one", None, ""]
+    df = spark.createDataFrame([(1, lines), (2, None), (3, [])], "k int, ps array<string>")
+    got = [(r.k, r.paragraph) for r in T.clean_paragraphs(df, "k", F.col("ps")).orderBy("position").collect()]
+    assert got == [(1, "Real text here."), (1, "As shown before"), (1, "in"), (1, "one")]
+    kept = T.clean_paragraphs(df, "k", F.col("ps"), pages=False, running=False, footnotes=False)
+    assert [r.paragraph for r in kept.orderBy("position").collect()].count("run") == 3 and kept.filter("paragraph = 'Page 200'").count() == 1
+    assert one(spark, T.clean_paragraph(F.lit(" a\u00adb\r\n\r\n\r\nc  \t d \x07"))) == "ab\n\nc d"
 
 
 def test_numbers(spark):
@@ -108,8 +113,26 @@ def test_idea_clusters(spark):
 def test_exports(spark):
     df = spark.createDataFrame([(1, [("human", "q"), ("gpt", None)])], "id int, messages array<struct<role string, content string>>")
     assert df.select(export.chatml(F.col("messages"))).first()[0] == "<|im_start|>human\nq<|im_end|>\n<|im_start|>gpt\n<|im_end|>"
-    ids = spark.range(5000).select(export.split_bucket(F.col("id"), 42, 0.9).alias("s")).filter("s = 'train'").count()
+    ids = spark.range(5000).select(export.hash_split(F.col("id"), 42, 0.9).alias("s")).filter("s = 'train'").count()
     assert 0.85 < ids / 5000 < 0.95 and sorted(export.seeded_shuffle([1, 2, 3, 4], 7)) == [1, 2, 3, 4]
+    pairs = spark.range(3000).select(export.split_bucket(F.col("id"), F.lit(1), 42, 0.9).alias("s")).filter("s = 'train'").count()
+    assert 0.87 < pairs / 3000 < 0.93 and one(spark, export.split_bucket(F.lit(None).cast("string"), F.lit(0), 1, 0.5)) is None
+
+
+def test_exported_splits_read_back(spark, tmp_path):
+    c = spark.createDataFrame([("a", "ai", "Essence.", "Proof.", None, "Use."), ("b", None, "", None, None, None), ("c", "ux", "E", None, "F", None)], "id string, domain string, essence string, proof string, cipher string, applicability string")
+    d = export.template_dialogues(c, 3)
+    got = {(r.concept_id, r.depth): r.answer for r in d.collect()}
+    assert got["a", 1] == "Essence." and got["a", 3] == "Essence.\n\nОбоснование: Proof.\n\nПрименение: Use." and got["c", 2] == "E\n\nФормула: F" and ("b", 3) not in got
+    counts = export.export_splits(d, f"{tmp_path}/out", ratio=0.5)
+    back = spark.read.json(f"{tmp_path}/out")
+    assert sum(counts.values()) == 6 == back.count() and {r.role for r in back.select(F.explode("messages.role").alias("role")).collect()} == {"system", "user", "assistant"}
+    qa = "struct<question:string,answer:string>"
+    t = spark.createDataFrame([("a", "b", "c", "now", "ai", ["x"], ("q1", "a1"), ("q2", "a2"), None)], f"concept_id string, book_id string, collection_name string, created_at string, domain string, flags array<string>, t1 {qa}, t2 {qa}, t3 {qa}")
+    lines = export.tier_lines(t).collect()
+    assert [x.metadata.tier for x in lines] == ["t1", "t2"] and lines[0].conversations[0].value == "You are an expert in ai."
+    export.to_jsonl(t.select("concept_id"), f"{tmp_path}/lines", "concept_id")
+    assert spark.read.json(f"{tmp_path}/lines").collect()[0].concept_id == "a"
 
 
 def test_catalog(spark):
@@ -162,32 +185,34 @@ def test_without_llm(tmp_path):
     assert said.stdout.split()[-1] == "False"
 
 
-def test_whole_graph_keeps_every_part(spark, tmp_path, monkeypatch):
-    from folioflow.plans import graph_queries, registry
+def test_graph_at_once_and_by_joins(spark):
+    import random
 
-    rows = [(1, 1, 1), (1, 1, 51), (2, 2, 51), (2, 2, 101), (3, 3, 1), (3, 1, 101), (4, 3, 151)]
-    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    spark.createDataFrame([(1, [1.0, 0.0]), (51, [0.9, 0.1]), (101, [0.8, 0.3]), (7, [0.0, 1.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    r = random.Random(1)
+    edges = spark.createDataFrame([(r.randrange(40), r.randrange(40)) for _ in range(90)] + [(None, 1), (2, None)], "src bigint, dst bigint")
+    seeds = spark.createDataFrame([(1, 1.0), (2, 3.0), (99, 1.0), (3, -1.0)], "node bigint, weight double")
+    a = {x.node: x.score for x in graph.personalised_pagerank(edges, seeds).collect()}
+    b = {x.node: x.score for x in graph.personalised_pagerank(edges, seeds, local_edges=0).collect()}
     near = {}
-    for _, a, b in rows:
-        near.setdefault(f"s{a}", set()).add(f"p{b}")
-        near.setdefault(f"p{b}", set()).add(f"s{a}")
-    score = {n: float(n == "s1") for n in near}
-    for i in range(25):
-        new = {n: 0.15 * (n == "s1") + 0.85 * sum(score[m] / len(near[m]) for m in near[n]) for n in near}
-        change, score = sum(abs(new[n] - score[n]) for n in near), new
-        if i % 5 == 4 and change < 1e-6:
-            break
-    run = lambda q: registry.QUERIES[q](spark, str(tmp_path)).collect()
-    assert {r.src: r.degree for r in run("graph_adjacency_whole")} == {n: len(x) for n, x in near.items()}
-    ranked = run("graph_ppr_whole")
-    assert {r.node: r.score for r in ranked} == pytest.approx(score, abs=1e-11)
-    monkeypatch.setattr(graph_queries, "_ranked_whole", lambda *_: spark.createDataFrame(ranked))
-    chunks = {}
-    for c, a, b in rows:
-        chunks[c] = chunks.get(c, 0) + score[f"s{a}"] + score[f"p{b}"]
-    assert {r.chunk: r.graph for r in run("chunk_graph_score_whole")} == pytest.approx(chunks, abs=1e-10)
-    assert {r.vec_id: r.graph for r in run("hybrid_rank_whole")} == pytest.approx({1: score["p1"], 51: score["p51"], 101: score["p101"], 7: 0.0}, abs=1e-11)
+    for x in graph.adjacency(edges).collect():
+        near.setdefault(x.src, set()).add(x.dst)
+    t = {n: {1: 0.2, 2: 0.6}.get(n, 0.0) for n in near}
+    score = dict(t)
+    for _ in range(25):
+        score = {n: 0.15 * t[n] + 0.85 * sum(score[m] / len(near[m]) for m in near[n]) for n in near}
+    assert a == pytest.approx(score) and b == pytest.approx(score)
+    assert graph.personalised_pagerank(edges, seeds.filter("node = 99")).count() == 0 and graph.personalised_pagerank(edges.limit(0), seeds).count() == 0
+
+
+def test_seeds_and_ingest(spark):
+    t = spark.createDataFrame([("Saturn V", "flies_to", "Moon", 1, "c1"), ("saturn  v!", "burns", "Kerosene", 2, "c2"), ("???", "is", "x", 3, "c3"), (None, "is", "y", 4, "c4")], "subject string, predicate string, object string, seq int, source string")
+    ents, rels = graph.ingest_relations(t)
+    got = {r.canonical: r for r in ents.collect()}
+    assert got["saturn v"].display == "Saturn V" and got["saturn v"].aliases == "saturn  v!" and rels.count() == 2
+    name = {r.id: r.canonical for r in ents.collect()}
+    assert {name[r.node] for r in graph.seeds(ents, "the saturn rocket").collect()} == {"saturn v"} and graph.seeds(ents, "a b").count() == 0
+    kept, left = graph.without_source(ents, rels, spark.createDataFrame([("c2",)], "source string"))
+    assert left.count() == 1 and {r.canonical for r in kept.collect()} == {"saturn v", "moon"}
 
 
 def test_titles_and_names_of_every_script(spark, tmp_path):
@@ -206,5 +231,141 @@ def test_titles_and_names_of_every_script(spark, tmp_path):
     spark.createDataFrame([(*t, a) for t, a in zip(titles, names, strict=True)], "id string, title string, title_en string, author string").write.parquet(f"{tmp_path}/books.parquet")
     run = lambda q: registry.QUERIES[q](spark, str(tmp_path)).collect()
     want = {i: 1 - edits(a, b) / max(len(a), len(b)) for i, a, b in titles if a and b}
-    assert {r.id: r.ratio for r in run("levenshtein_titles_all")} == pytest.approx(want, abs=1e-6)
-    assert {r.author: r.canonical for r in run("canonical_names_all")} == {"Иван  Петров!": "иван петров", "José Ñandú": "josé ñandú", "Knuth, D. E.": "knuth d e"}
+    assert {r.id: r.ratio for r in run("levenshtein_titles")} == pytest.approx(want, abs=1e-6)
+    assert {r.author: r.canonical for r in run("canonical_names")} == {"Иван  Петров!": "иван петров", "José Ñandú": "josé ñandú", "Knuth, D. E.": "knuth d e"}
+
+
+def test_revisions_and_editions(spark):
+    score = lambda *t: one(spark, dedup.revision_score(*[F.lit(x).cast("string") for x in t]))
+    assert score("Neural Systems 2nd Edition 2024", None) == 124 + 8 and score("Neural Systems", "old.zip") == 0 and score("Book v12, revised", None) == 40 + 20
+    work = lambda t, a: one(spark, dedup.work_key(F.lit(t).cast("string"), F.lit(a).cast("string")))
+    assert work("Systems volume 1", "J. Doe") != work("Systems volume 2", "J. Doe") and work("Systems edition 3", "J. Doe") == work("Systems v2", "J. Doe") == "systems|j doe"
+    assert work("abc", "J. Doe") is None and work("abcdef", None) is None and work("abcdefghij", "") == "abcdefghij|"
+    rows = [("1", "w", 5), ("2", "w", 9), ("3", "w", 9), ("4", None, 1), ("5", "v", 0)]
+    got = {r.id: (r.rival, r.decision) for r in dedup.revision_decisions(spark.createDataFrame(rows, "id string, work string, score int")).collect()}
+    assert got == {"1": ("2", "older"), "2": ("3", "same"), "3": ("2", "same"), "4": (None, "new"), "5": (None, "new")}
+    files = spark.createDataFrame([("a/x", "n", "pdf", 1), ("A/X", "N", "epub", 2), ("a/x", "n", "epub", 3), (None, None, "lit", 4)], "d string, b string, f string, at int")
+    assert {r.at for r in dedup.best_format(files, F.col("d"), F.col("b"), F.col("f"), ["at"]).collect()} == {2, 4}
+    assert one(spark, dedup.format_priority(F.lit("xyz"))) == -1 == one(spark, dedup.format_priority(F.lit(None).cast("string")))
+
+
+def test_latest_without_a_date(spark):
+    df = spark.createDataFrame([("a", None, "t"), ("b", None, "old"), ("b", 1, "new")], "id string, at int, title string")
+    assert {r.id: r.title for r in catalog.latest(df, "id", "at").collect()} == {"a": "t", "b": "new"}
+
+
+def test_replies():
+    from folioflow.operators import replies as R
+
+    assert R.reply_state("```json\n{\"a\": 1}\n```") == ("value", '{"a": 1}') and R.reply_state(" NULL ") == ("null", None) and R.reply_state(None)[0] == "empty" and R.reply_state('{"a": ')[0] == "failure"
+    assert R.split_reasoning("<think>why</think> {}") == ("why", "{}") and R.split_reasoning("<think>cut") == ("cut", "") and R.split_reasoning("x") == (None, "x")
+    got = R.parse_reply('<think>a { b</think>so {"x": "}{", "y": {"z": 1}} end')
+    assert got["json"] == '{"x": "}{", "y": {"z": 1}}' and got["problem"] is None
+    assert R.parse_reply("no object")["problem"] == "no_object" and R.parse_reply("{bad}")["problem"] == "invalid" and R.parse_reply("<think>x")["problem"] == "unclosed"
+    assert R.last_json('first {"a": 1} then {"b": 2} and {broken}') == '{"b": 2}' and R.last_json("[1] and [2, 3]", "[", "]") == "[2, 3]" and R.last_json(None) is None
+    assert R.without_prose('Okay, let\'s see {"a": 1} or {"b": 2}') == '{"b": 2}' and R.without_prose("Let me think about it") == "" and R.without_prose("Plain {") == "Plain {"
+
+
+def test_concepts_and_meta(spark):
+    from folioflow.operators import replies as R
+
+    points = ['{"principle": " E ", "domain": "ai", "tagsCsv": "|a| b ||", "explanation": "p"}', '{"essence": "E", "domain": "ai", "tagsJson": "[\\"x\\", \\"\\"]"}', '{"essence": "E", "domain": "ai", "tagsJson": "oops"}', '{"essence": "E", "domain": " "}', "no json", None]
+    got = [r.c for r in spark.createDataFrame([(p,) for p in points], "p string").select(R.concept_of(F.col("p")).alias("c")).collect()]
+    assert got[0].essence == "E" and got[0].tags == ["a", "b"] and got[0].proof == "p" and got[1].tags == ["x"] and got[2].tags == [] and got[3:] == [None, None, None]
+    meta = lambda t: one(spark, R.text_meta(F.lit(t)))
+    assert meta('```json\n{"title": " T ", "year": "1999 ed", "language": "EN"}\n```')[:4] == ("T", None, 1999, "en") and meta('{"year": 3000}') is None
+
+
+def test_packing_breaks_at_headings():
+    size = lambda n: [" ".join(["w"] * 100) for _ in range(n)]
+    chunks = chunking.pack_paragraphs([*size(5), "## Heading", *size(5)], target=300, most=600, least=100, overlap=0)
+    assert len(chunks) == 2 and chunks[1].startswith("## Heading")
+    assert [len(c.split()) for c in chunking.pack_paragraphs(["w " * 700, "w " * 700, "w " * 700])] == [700, 1400, 1400]
+    assert chunking.pack_paragraphs(None) == [] and chunking.pack_paragraphs(["a", " "]) == ["a"]
+
+
+def test_semantic_operators(spark):
+    from folioflow.operators import seams
+
+    e = seams.HashedEmbedder(64)
+    assert abs(float(e(["a b"])[0] @ e(["b a"])[0]) - 1) < 1e-9
+    ps = ["cats purr softly " * 40, "cats purr softly " * 40, "stocks fell hard " * 40]
+    got = seams.semantic_chunks_of(ps, "T", e, safe=100, least=50, hard=1000)
+    assert [c["part_n"] for c in got] == [1, 2] and got[1]["text"].startswith("stocks") and got[1]["overlap"]
+    assert seams.semantic_chunks_of(None, None, e) == [] and len(seams.semantic_chunks_of(["tiny"], "T", e)) == 1
+    v = lambda *t: [float(x) for x in t]
+    stored = spark.createDataFrame([(1, v(1, 0), 0)], "id bigint, vector array<double>, created_at int")
+    fresh = spark.createDataFrame([(2, v(1, 0.01), 1), (3, v(0, 1), 2), (4, v(0.01, 1), 3), (5, v(1, 1), 4)], "id bigint, vector array<double>, created_at int")
+    assert {r.id for r in seams.new_concepts(fresh, stored, 0.93).collect()} == {3, 5} and seams.new_concepts(fresh.limit(0), stored).count() == 0
+    units = spark.createDataFrame([(["A", "B"], ["one", "two"]), (["A"], []), ([], None)], "path_titles array<string>, essences array<string>")
+    assert [r.summary for r in seams.summaries(units, seams.echo_provider).collect()] == ["2. two", "Chapter: A", "Chapter: Body"]
+    books = spark.createDataFrame([(1,)], "id int")
+    asked = seams.evaluated(books, lambda prompts: ["{}" if "not valid" in p else "x" for p in prompts], F.lit("rate"), lambda c: c == "{}").first()
+    assert asked.reply == "{}" and asked.valid
+
+
+def test_surrogates(spark):
+    from folioflow.operators import surrogates as U
+
+    rows = [("small", 1, "One", 1, "word " * 10), ("small", 2, "", 2, "last words")] + [("big", c, f"C{c}", 10 * c + i, f"c{c} " * 200) for c in range(1, 7) for i in range(3)] + [("none", 1, "N", 1, None)]
+    df = spark.createDataFrame(rows, "b string, section_order int, title string, position int, text string")
+    got = {r.b: r.surrogate for r in U.surrogates(df, "b").collect()}
+    assert got["none"] == "[empty book]" and "## Chapter 2" in got["small"] and got["small"].startswith("# Table of Contents\n1. One (10 words)\n2. Chapter 2 (2 words)")
+    assert "# Nodal Slices" in got["big"] and "## C2" in got["big"] and "## C1\n" not in got["big"] and got["big"].count("c1 ") == 600
+    assert one(spark, U.word_slice(F.lit("a b c d"), 2)) == "a b […]" and one(spark, U.word_slice(F.lit("a b c d"), 2, True)) == "c d […]"
+
+
+def test_ingest(spark):
+    from folioflow.operators import ingest as I
+
+    files = [("a/b/book.pdf", 10), ("images/book.pdf", 10), ("x/readme.txt", 99_999), ("x/long.txt", 20_000), ("x/long.txt", 5), ("guide/guide to spark.html", 70_000), ("x/part 3.html", 70_000), ("forum_1/x.pdf", 9), ("solution.pdf", 9), (None, 1)]
+    got = [r.candidate for r in I.candidates(spark.createDataFrame(files, "path string, size bigint")).collect()]
+    assert got == [True, False, False, True, False, True, False, False, False, False] or got[:5] + got[6:] == [True, False, False, True, False, False, False, False, False]
+    names = ["c10_001", "c02_002", "c02_001", "c1"]
+    assert [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(I.natural_key(F.col("n"))).collect()] == ["c1", "c02_001", "c02_002", "c10_001"]
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("in/a.txt", "hello")
+        z.writestr("../out.txt", "bad")
+    got = I.unzip(spark.createDataFrame([("z", buf.getvalue()), ("q", b"no")], "path string, content binary")).collect()
+    assert [(r.path, r.problem) for r in got] == [("in/a.txt", None), (None, "invalid")]
+    assert I.unzip(spark.createDataFrame([("z", buf.getvalue())], "path string, content binary"), most_files=1).first().problem == "files"
+    pages = [("d", f"p{i}.html", "") for i in range(1, 12)] + [("d", "index.html", '<a href="p11.html">x</a><a href="p2.html">y</a>'), ("e", "p1.html", "")]
+    order = [r.name for r in I.html_books(spark.createDataFrame(pages, "folder string, name string, content string")).orderBy("place").collect()]
+    assert order[:3] == ["p11.html", "p2.html", "index.html"] and order[3:5] == ["p1.html", "p3.html"] and len(order) == 12
+    seg = lambda t: one(spark, I.path_segment(F.lit(t)))
+    assert seg("a: b/c..") == "a_bc" and seg("...") == "_unnamed" and seg("con.txt") == "_con.txt" and len(seg("x" * 200)) == 50
+
+
+def test_monitors(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, 1, t0 + timedelta(seconds=i), i < 10 or i > 40, 5.0) for i in range(80)]
+    e = spark.createDataFrame(rows, "event_id int, k int, ts timestamp, ok boolean, value double")
+    limits = {r.event_id: (r.limit, r.reason) for r in monitors.controller_limits(e, "k").collect()}
+    assert limits[9] == (5, "increase") and any(r == "failures" for _, r in limits.values()) and all(1 <= n <= 16 for n, _ in limits.values())
+    states = {r.event_id: r.state for r in monitors.breaker_states(e, "k", window=10, rest=15.0).collect()}
+    assert states[5] == "closed" and states[16] == "open" and "half_open" in states.values() and states[79] == "closed"
+    rate = {r.event_id: r.recent for r in monitors.rate_in_window(e, "k", 10).collect()}
+    assert rate == {i: min(i, 10) + 1 for i in range(80)}
+    tries = spark.createDataFrame([(1, 1, 0.2), (1, 2, 0.7), (1, 3, 0.9), (2, 1, 0.3), (2, 2, 0.3)], "k int, tier int, quality double")
+    assert {r.k: (r.tier, r.quality) for r in monitors.first_good_tier(tries, "k").collect()} == {1: (2, 0.7), 2: (1, 0.3)}
+
+
+def test_token_bucket(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    spark.createDataFrame([("a", t0 + timedelta(seconds=s)) for s in (0, 0, 0, 1, 30)], "k string, ts timestamp").coalesce(1).write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k string, ts timestamp").json(f"{tmp_path}/in")
+    q = monitors.token_bucket(stream, "k", 2, 0.5).writeStream.format("memory").queryName("bucket").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+    q.awaitTermination(120)
+    assert [r.admitted for r in spark.table("bucket").orderBy("ts").collect()].count(True) == 3
+
+
+def test_token_budget(spark):
+    text = "One two three. " * 100
+    b = one(spark, T.token_budget(F.lit(text), 100))
+    assert b.trimmed and b.tokens == 375 and text.startswith(b.text) and b.text.endswith(".") and len(b.text) <= 380
+    assert one(spark, T.token_budget(F.lit("short"), 100)) .text == "short" and one(spark, T.token_budget(F.lit("x" * 1000), 100)).text.endswith(" …")
