@@ -10,15 +10,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import permutations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.session import bounded_collect, cut, require
+from folioflow.session import bounded_collect, cut, require, tasks
 
 #: Bound of the table of name forms.
 MOST_FORMS = 100_000
@@ -55,7 +54,7 @@ MORE_FORMS = (
     ("John", "Джон", "Johnny", "Jack"), ("Richard", "Ричард", "Dick", "Rick"), ("Elizabeth", "Элизабет", "Liz", "Beth", "Betty"), ("Michael", "Майкл", "Mike"), ("Joseph", "Джозеф", "Joe"), ("George", "Джордж"), ("Arthur", "Артур", "Art"), ("Simon", "Саймон"),
 )
 #: Main tokens this long may differ by two edits, shorter ones of at least SHORTEST by one.
-LONG, SHORTEST = 8, 5
+LONG, SHORTEST = 8, 4
 
 
 
@@ -102,10 +101,12 @@ def deletes(word: str) -> list[str]:
     return sorted(out)
 
 
-def close_enough(a: str, b: str) -> bool:
+def close_enough(a: str, b: str) -> int | None:
+    """Edits between two main tokens where they are few enough for their lengths."""
     shorter = min(len(a), len(b))
-    most = 2 if shorter >= LONG else 1 if shorter >= SHORTEST - 1 else 0
-    return edit_distance(a, b, most) <= most
+    most = 2 if shorter >= LONG else 1 if shorter >= SHORTEST else 0
+    d = edit_distance(a, b, most)
+    return d if d <= most else None
 
 
 class Forms:
@@ -123,6 +124,8 @@ class Forms:
                 merged |= g
                 groups.remove(g)
             groups.append(merged)
+        self.memo: dict[str, set[int]] = {}
+        self.costs: dict[tuple[str, str], float | None] = {}
         self.of: dict[str, set[int]] = defaultdict(set)
         self.initials: dict[int, set[str]] = defaultdict(set)
         for i, g in enumerate(groups):
@@ -134,11 +137,35 @@ class Forms:
                     self.of[x].add(i)
 
     def ids(self, folded: str) -> set[int]:
+        got = self.memo.get(folded)
+        if got is None:
+            if len(self.memo) > 500_000:
+                self.memo.clear()
+            got = self.memo[folded] = self._ids(folded)
+        return got
+
+    def _ids(self, folded: str) -> set[int]:
         got = self.of.get(folded)
         if got or len(folded) < 5:
             return got or set()
         return {i for f, s in self.of.items() if abs(len(f) - len(folded)) <= 1 and f[0] == folded[0] and edit_distance(f, folded, 1) <= 1 for i in s}
 
+    def cost(self, a: str, b: str) -> float | None:
+        """_part_cost, kept for pairs met before."""
+        key = (a, b)
+        if key not in self.costs:
+            if len(self.costs) > 1_000_000:
+                self.costs.clear()
+            self.costs[key] = _part_cost(a, b, self)
+        return self.costs[key]
+
+    def keys(self, part: str) -> set[str]:
+        """Keys of a part, of which any two parts that can stand for one name share one: its letter, first consonant, and the letters of the names it stands for."""
+        if part.endswith("."):
+            return {fold(part[:-1])[:1], "^" + part[0]}
+        ids = self.ids(part)
+        return {part[:1], "~" + skeleton(part)[:1], *(f"#{i}" for i in ids), *(x for i in ids for x in self.initials[i])}
+
 
 def _tokens(name: str) -> list[str]:
     t = re.sub(r"\([^)]*\)|,\s*(?:eds?|ред)\.", " ", unicodedata.normalize("NFKC", name))
@@ -149,6 +176,7 @@ def _tokens(name: str) -> list[str]:
     return [x.replace("‐", "-") for x in re.findall(r"[^\W\d_]+(?:‐[^\W\d_]+)?\.?|,", t)]
 
 
+@lru_cache(maxsize=200_000)
 def _org_word(token: str) -> str | None:
     w = token.rstrip(".").lower()
     if len(w) < 3:
@@ -232,27 +260,61 @@ def _part_cost(a: str, b: str, forms: Forms) -> float | None:
     return 0.3 if min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a)) else None
 
 
+def assignment(costs: list[list[float]]) -> list[int]:
+    """Columns of the rows in the cheapest assignment (rows at most as many as columns), by shortest augmenting paths."""
+    n, m = len(costs), len(costs[0])
+    u, v, owner, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], j0 = i, 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while owner[j0]:
+            used[j0] = True
+            i0, delta, j1 = owner[j0], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    c = costs[i0 - 1][j - 1] - u[i0] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[owner[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+        while j0:
+            owner[j0] = owner[way[j0]]
+            j0 = way[j0]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if owner[j]:
+            out[owner[j] - 1] = j - 1
+    return out
+
+
+#: Costs of a part without a place, and of the longer name's first part without one; both forbid the alignment.
+_NO_PLACE, _NO_FIRST = 1e6, 1e3
+
+
 def align(a: list[str], b: list[str], forms: Forms) -> float | None:
-    """Cost of the best assignment of the parts of the shorter name to the longer one's, or none where a part has no place.
+    """Cost of the best assignment of all parts of the shorter name to the longer one's, or none where a part has no place.
 
-    The given names must meet each other; a missing second name costs little.
+    The given names must meet each other; a missing second name costs little, and so does another order.
     """
     if not a or not b:
         return None
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    short, long = short[:4], long[:5]
-    best = None
-    for order in permutations(range(len(long)), len(short)):
-        total = 0.15 * (len(long) - len(short)) + sum(0.05 for i, j in enumerate(order) if i != j)
-        for i, j in enumerate(order):
-            c = _part_cost(short[i], long[j], forms)
-            if c is None:
-                break
-            total += c
-        else:
-            if order[0] == 0 or 0 in order:
-                best = total if best is None else min(best, total)
-    return best
+    costs = []
+    for i, x in enumerate(short):
+        row = [forms.cost(x, y) for y in long]
+        if all(c is None for c in row):
+            return None
+        costs.append([_NO_PLACE if c is None else c + 0.05 * (i != j) - (0 if j else _NO_FIRST) for j, c in enumerate(row)])
+    # the first part of the longer name has its place in the best assignment, unless none allows it
+    total = sum(costs[i][j] for i, j in enumerate(assignment(costs))) + _NO_FIRST
+    return total + 0.15 * (len(long) - len(short)) if total < _NO_FIRST / 2 else None
 
 
 def resolve(parts: list[list[str]], forms: Forms) -> list[int]:
@@ -260,23 +322,28 @@ def resolve(parts: list[list[str]], forms: Forms) -> list[int]:
 
     Names with a written given name come first, those with more parts before those with fewer; a name joins
     the only entity all of whose members it agrees with. Where several fit, it stays alone, as it could be either.
+    Entities are looked up by keys that parts of one name share, so a frequent surname is not compared with all of its own.
     """
     rank = lambda p: (p[0].endswith(".") if p else True, -sum(not x.endswith(".") for x in p), -len(p), p)
     # initials are measured against written names where an entity has any: letters of two scripts need not match
     written = lambda e: [q for q in e if q and not q[0].endswith(".")] or e
     entities: list[list[list[str]]] = []
+    by_key: dict[str, set[int]] = defaultdict(set)
     at: dict[tuple[str, ...], int] = {}
     for p in sorted(parts, key=rank):
-        fit = [i for i, e in enumerate(entities) if all(align(p, q, forms) is not None for q in written(e))] if p else []
+        keys = set().union(*map(forms.keys, p)) if p else set()
+        near = sorted(set().union(*(by_key[k] for k in keys if k in by_key))) if keys else []
+        fit = [i for i in near if all(align(p, q, forms) is not None for q in written(entities[i]))]
         if len(fit) > 1:
             exact = [i for i in fit if any(len(q) == len(p) and not q[0].endswith(".") and not p[0].endswith(".") for q in entities[i])]
             fit = exact if len(exact) == 1 else fit
-        if len(fit) == 1:
-            at[tuple(p)] = fit[0]
-            entities[fit[0]].append(p)
-        else:
-            at[tuple(p)] = len(entities)
-            entities.append([p])
+        if len(fit) != 1:
+            fit = [len(entities)]
+            entities.append([])
+        at[tuple(p)] = fit[0]
+        entities[fit[0]].append(p)
+        for k in keys:
+            by_key[k].add(fit[0])
     return [at[tuple(p)] for p in parts]
 
 
@@ -309,13 +376,13 @@ def entities(names: DataFrame, name_forms: DataFrame, name: str = "name") -> Dat
         for b in batches:
             yield pa.array([resolve(x, forms) for x in b.to_pylist()], pa.list_(pa.int32()))
 
-    people = placed.filter("kind = 'person'").groupBy("root").agg(F.collect_set("parts").alias("ps"))
+    people = placed.filter("kind = 'person'").groupBy("root").agg(F.collect_set("parts").alias("ps")).repartition(tasks(names.sparkSession), "root")
     people = people.select("root", F.explode(F.arrays_zip("ps", F.arrow_udf(number, "array<int>")("ps").alias("e"))).alias("z"))
     people = people.select("root", F.col("z.ps").alias("parts"), F.col("z.e").alias("no"))
     orgs = placed.filter("kind = 'org'").select("root", F.array_join("parts", " ").alias("what"), "name")
     # letters alone beside an organisation's own name stand for its words, such as D.B. for a design bureau
     held = orgs.select("root", "what").distinct().groupBy("root").agg(F.collect_set("what").alias("whats"))
-    by_letters = F.udf(_organisation_of, "string", useArrow=True)
+    by_letters = _by_batch(_organisation_of, pa.string(), "string")
     persons = placed.filter("kind = 'person'").join(held, "root", "left")
     persons = persons.withColumn("what", F.when(F.col("whats").isNotNull() & (F.size("parts") > 1), by_letters("parts", "whats")))
     persons = cut(persons.select("name", "root", "parts", "what"))
@@ -335,25 +402,42 @@ def _organisation_of(parts: list[str] | None, whats: list[str] | None) -> str |
     return None
 
 
+def _by_batch(fn: Callable, kind: pa.DataType, ddl: str) -> Callable[..., Column]:
+    """A column function that calls fn on the values of whole Arrow batches."""
+
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([fn(x) for x in b.to_pylist()], kind)
+
+    def two(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            yield pa.array([fn(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], kind)
+
+    return lambda *cols: F.arrow_udf(one if len(cols) == 1 else two, ddl)(*cols)
+
+
 def canonical_mains(mains: DataFrame) -> DataFrame:
     """kind, main and root: the token that most distinct strings use in its neighbourhood of small edit distances.
 
-    A token points to its most used close neighbour that is used more (or as much and sorts first); two jumps along
-    the pointers carry chains to their end.
+    A token points to its nearest neighbour that is used more (or as much and sorts first), of equally near ones to the most
+    used; jumps along the pointers go on until nothing changes, so that chains of any length come to their end.
     """
-    variants = F.udf(deletes, "array<string>", useArrow=True)
-    close = F.udf(close_enough, "boolean", useArrow=True)
+    variants = _by_batch(deletes, pa.list_(pa.string()), "array<string>")
+    close = _by_batch(close_enough, pa.int32(), "int")
     keyed = mains.select("kind", "main", "n", F.explode(variants("main")).alias("v"))
     other = keyed.select(F.col("kind").alias("k2"), F.col("main").alias("to"), F.col("n").alias("n2"), F.col("v").alias("v2"))
     joined = keyed.join(other, (F.col("kind") == F.col("k2")) & (F.col("v") == F.col("v2")) & (F.col("main") != F.col("to")))
     joined = joined.filter((F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("to") < F.col("main"))))
-    joined = joined.select("kind", "main", "to", "n2").distinct().filter(close("main", "to"))
-    best = joined.groupBy("kind", "main").agg(F.max_by("to", F.struct("n2", "to")).alias("to"))
+    joined = joined.select("kind", "main", "to", "n2").distinct()
+    joined = joined.repartition(tasks(mains.sparkSession), "kind", "main").withColumn("d", close("main", "to")).filter("d IS NOT NULL")
+    best = joined.groupBy("kind", "main").agg(F.min_by("to", F.struct("d", (-F.col("n2")).alias("n"), "to")).alias("to"))
     pointed = cut(mains.select("kind", "main").join(best, ["kind", "main"], "left").select("kind", "main", F.coalesce("to", "main").alias("root")))
-    for _ in range(2):
+    while True:
         step = pointed.select("kind", F.col("main").alias("root"), F.col("root").alias("next"))
-        pointed = pointed.join(step, ["kind", "root"]).select("kind", "main", F.col("next").alias("root"))
-    return pointed
+        jumped = cut(pointed.join(step, ["kind", "root"]).select("kind", "main", "root", "next"))
+        pointed = jumped.select("kind", "main", F.col("next").alias("root"))
+        if jumped.filter("root <> next").isEmpty():
+            return pointed
 
 
 def linked(found: DataFrame) -> DataFrame:

@@ -250,3 +250,22 @@ def test_counted_pairs_give_the_same_costs(spark):
     texts = [RU, EN, DE, UK, "sch�ma", None, ""]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
     assert encoding.fit_cost(df).bits == pytest.approx(encoding.GarblingCost([t for t in texts if t]).bits)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_assignment_is_the_cheapest(seed):
+    r = random.Random(seed)
+    n = r.randint(1, 5)
+    m = r.randint(n, 6)
+    costs = [[r.choice((0.0, 0.1, 0.3, 1e6)) + r.random() for _ in range(m)] for _ in range(n)]
+    got = names.assignment(costs)
+    want = min(sum(costs[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+    assert len(set(got)) == n and sum(costs[i][j] for i, j in enumerate(got)) == pytest.approx(want)
+
+
+def test_all_parts_must_have_a_place():
+    forms = names.Forms([])
+    four = ["anna", "boris", "karl", "diana"]
+    assert names.align([*four, "zzzzz"], [*four, "qqqqq"], forms) is None and names.align([*four, "eva"], ["eva", *four], forms) is not None
+    assert names.align(["boris"], ["anna", "boris"], forms) is None and names.align(["anna"], ["anna", "boris"], forms) is not None
+    assert names.close_enough("ivan", "ivani") == 1 and names.close_enough("ivan", "oleg") is None
