@@ -2,22 +2,22 @@
 
 Every document gets whole copies and a fractional inclusion probability for one more. The cube method's flight phase
 moves the fractions through the null space of the balancing constraints (tokens and documents) until at most as many
-stay fractional as there are constraints; the next level gathers these, and a last small landing decides them.
+stay fractional as there are constraints; further levels gather these, and a landing of the last few decides them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.session import bounded_collect, cut, require
+from folioflow.session import bounded_collect, cut, require, tasks
 
 #: Documents of a block in the flight phase.
 BLOCK_ITEMS = 5000
-#: Documents of one block per source that only the landing decides.
-HELD = 64
 #: Bound of the table of targets.
 MOST_SOURCES = 10_000
 
@@ -58,14 +58,37 @@ def flight(p: np.ndarray, x: np.ndarray, seed: int) -> np.ndarray:
     return p
 
 
-def landing(p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
-    """Decide the few fractions that are left so that the total size stays nearest to its expectation."""
-    p = p.copy()
+#: Documents of all sizes in the last block of a source that stay open for the landing.
+HELD = 64
+
+
+def landing(p: np.ndarray, x: np.ndarray, seed: int) -> np.ndarray:
+    """Decide the few fractions that are left: each is drawn with its probability, then single documents and pairs change sides as long
+    as that brings the balances (rows of x) nearer to their expectation.
+
+    The draw makes the decision random, and an exchange is as likely one way as the other, so no document is preferred.
+    """
+    p, r = p.copy(), np.random.default_rng(seed)
     left = np.flatnonzero((p > 0) & (p < 1))
-    target, got = float((p[left] * size[left]).sum()), 0.0
-    for i in left[np.argsort(-size[left], kind="stable")]:
-        p[i] = float(got + size[i] <= target + size[left].min() / 2)
-        got += size[i] * p[i]
+    if not len(left):
+        return p
+    q, y = p[left], x[:, left]
+    taken = r.random(len(left)) < q
+    off = y @ (taken - q)
+    weight = 1.0 / np.maximum(np.abs(y).max(1), 1e-12)
+    while True:
+        change = y * np.where(taken, -1.0, 1.0)  # what a change of sides adds, by document
+        one = off[:, None] + change
+        two = off[:, None, None] + change[:, :, None] + change[:, None, :]
+        two[:, np.arange(len(left)), np.arange(len(left))] = one
+        cost = np.tensordot(weight, np.abs(two), 1)
+        i, j = np.unravel_index(int(cost.argmin()), cost.shape)
+        if cost[i, j] >= weight @ np.abs(off) - 1e-12:
+            break
+        for k in {int(i), int(j)}:
+            taken[k] = not taken[k]
+        off = two[:, i, j]
+    p[left] = taken
     return p
 
 
@@ -92,45 +115,41 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 1
     sums = sizes.filter(F.col("source").isin(*wanted)).groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()
     totals = {r.source: float(r.t or 0) for r in sums}
     repeats = plan(totals, wanted)
-    items = sizes.filter(F.col("source").isin(*wanted)).select(F.col(f"`{key}`").alias("item"), "source", F.coalesce("tokens", F.lit(0)).alias("tokens"))
-    rate = F.lit(0.0)
-    cap = F.lit(0)
-    for s, r in repeats.items():
-        rate = F.when(F.col("source") == s, F.lit(r)).otherwise(rate)
-        cap = F.when(F.col("source") == s, F.lit(wanted[s][1])).otherwise(cap)
-    items = items.withColumn("rate", F.least(rate, cap.cast("double"))).withColumn("whole", F.floor(F.col("rate") + 1e-9).cast("int"))
-    items = items.withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))).drop("rate")
+    spark = sizes.sparkSession
+    table = [(s, repeats[s], wanted[s][1]) for s in wanted]
+    rates = F.broadcast(spark.createDataFrame(table, "source string, rate double, cap int"))  # at most MOST_SOURCES rows
+    items = sizes.select(F.col(f"`{key}`").alias("item"), "source", F.coalesce("tokens", F.lit(0)).cast("int").alias("tokens")).join(rates, "source")
+    items = items.withColumn("rate", F.least("rate", F.col("cap").cast("double"))).withColumn("whole", F.floor(F.col("rate") + 1e-9).cast("int"))
+    items = items.select("item", "source", "tokens", "whole", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")).alias("p"))
     kind = dict(sizes.dtypes)[key]
-    schema = f"item {kind}, source string, tokens int, whole int, p double"
-    sure = items.filter("p < 1e-9")
-    open_ = cut(items.filter("p >= 1e-9").withColumn("tokens", F.col("tokens").cast("int")))
+    schema = f"item {kind}, source string, tokens int, whole int, p double, last boolean"
+    sure = items.filter("p < 1e-9").withColumn("p", F.lit(0.0))
+    open_ = cut(items.filter("p >= 1e-9"))
+    done: list[DataFrame] = []
+    while True:
+        # each block leaves at most as many open documents as there are balances; levels go on until a source is one block
+        counts = open_.groupBy("source").agg(F.ceil(F.count("*") / BLOCK_ITEMS).cast("int").alias("blocks"))
+        placed = open_.join(F.broadcast(counts), "source")
+        placed = placed.select("*", F.pmod(F.xxhash64("item", "tokens"), F.col("blocks")).cast("int").alias("block"), (F.col("blocks") == 1).alias("last"))
 
-    def level(df: DataFrame, land: bool) -> DataFrame:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            # the largest first: what is left for the landing is small
+            # the largest first: what is left in the end is small
             pdf = pdf.sort_values(["tokens", "item"], ascending=[False, True], kind="stable").reset_index(drop=True)
             p, size = pdf["p"].to_numpy(float), pdf["tokens"].to_numpy(float)
             x = np.stack([size / max(size.max(), 1.0), np.ones(len(p))])
-            # documents of all sizes in one block stay open to the end, so that the landing can even out what is left
             fly = np.ones(len(p), bool)
-            if land or pdf["block"].iloc[0] == 0:
+            if pdf["last"].iloc[0]:
                 fly[np.unique(np.linspace(0, len(p) - 1, HELD).astype(int))] = False
-            if fly.any():
-                p[fly] = flight(p[fly], x[:, fly], seed + len(p))
-            pdf["p"] = landing(p, size, seed) if land else p
-            return pdf[["item", "source", "tokens", "whole", "p"]]
-
-        return df.groupBy("source", "block").applyInPandas(run, schema)
-
-    n = {r.source: r.n for r in sums}
-    blocks = F.lit(1)
-    for s, c in n.items():
-        blocks = F.when(F.col("source") == s, F.lit(-(-c // BLOCK_ITEMS))).otherwise(blocks)
-    flown = cut(level(open_.withColumn("block", F.pmod(F.xxhash64("item", "tokens"), blocks).cast("int")), land=False))
-    done = flown.filter("p <= 0 OR p >= 1")
-    # at most two items a block are left: one more flight and the landing per source
-    rest = level(flown.filter("p > 0 AND p < 1").withColumn("block", F.lit(0)), land=True)
-    out = sure.select("item", "source", F.col("tokens").cast("int").alias("tokens"), "whole", F.lit(0.0).alias("p")).unionByName(done).unionByName(rest)
+            p[fly] = flight(p[fly], x[:, fly], seed + len(p))
+            pdf["p"] = landing(p, x, seed) if pdf["last"].iloc[0] else p
+            return pdf[["item", "source", "tokens", "whole", "p", "last"]]
+
+        flown = cut(placed.drop("blocks").repartition(tasks(spark), "source", "block").groupBy("source", "block").applyInPandas(run, schema))
+        done.append(flown.filter("last OR p <= 0 OR p >= 1").drop("last"))
+        open_ = flown.filter("NOT last AND p > 0 AND p < 1").drop("last")
+        if open_.isEmpty():
+            break
+    out = reduce(DataFrame.unionByName, [sure, *done])
     return out.select(F.col("item").alias(key), "source", "tokens", (F.col("whole") + F.round("p").cast("int")).alias("repeats"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.tokens import pieces_of
-from folioflow.session import cut, require
+from folioflow.session import cut, require, tasks
 
 #: Items of a block; the slack of a full block's containers is close to nothing, so larger blocks gain little.
 BLOCK_ITEMS = 4000
@@ -80,35 +80,39 @@ def pack_sizes(sizes: list[int], capacity: int) -> list[int]:
 def pack(sizes: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     """key, part, tokens and pack for items with their tokens; items over the capacity are cut into full parts first.
 
-    Two rounds: blocks of about BLOCK_ITEMS items, spread by hash so that no source or group of copies fills one, pack
-    for themselves; containers filled below 99.5 percent give their items back to one more round over fewer, larger-ranged
-    blocks. Empty items (no tokens) ride in the first container of their block. Repeated keys are separate items. An
-    empty table gives an empty result.
+    Two rounds: blocks of about BLOCK_ITEMS items, spread by a hash of key, part and copy so that no source or group of copies
+    fills one, pack for themselves; containers filled below 99.5 percent give their items back to one more round over fewer,
+    larger-ranged blocks. The same items give the same packs in any layout and after any retry. Empty items (no tokens) ride in
+    the first container of their block. Repeated keys are separate items, numbered as copies. An empty table gives an
+    empty result.
     """
     require(sizes, key, "tokens")
-    parts = pieces_of(sizes.select(F.col(f"`{key}`").alias("item"), "tokens"), "item", capacity)
-    full = parts.filter(F.col("tokens") == capacity).select("item", "part", "tokens", F.concat_ws("-", F.lit("f"), F.xxhash64("item"), "part", F.monotonically_increasing_id()).alias("pack"))
+    copies = sizes.groupBy(F.col(f"`{key}`").alias("item"), F.coalesce("tokens", F.lit(0)).alias("tokens")).agg(F.count("*").alias("n"))
+    numbered = copies.select("item", "tokens", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select(F.struct("item", "copy", F.col("tokens").alias("size")).alias("it"), "tokens")
+    parts = pieces_of(numbered, "it", capacity).select("it.item", "it.copy", "it.size", "part", "tokens")
+    full = parts.filter(F.col("tokens") == capacity).select("item", "copy", "size", "part", "tokens", F.concat_ws("-", F.lit("f"), F.xxhash64("item", "size"), "copy", "part").alias("pack"))
     rest = parts.filter(F.col("tokens") < capacity)
+    kind = dict(sizes.dtypes)[key]
 
     def in_blocks(rows: DataFrame, label: str) -> DataFrame:
         n = rows.count()
         blocks = max(1, -(-n // BLOCK_ITEMS))
-        spread = rows.withColumn("block", F.pmod(F.xxhash64("item", "part", F.rand(7)), F.lit(blocks)).cast("int"))
+        spread = rows.withColumn("block", F.pmod(F.xxhash64("item", "copy", "size", "part"), F.lit(blocks)).cast("int"))
 
         def run(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["tokens", "item", "part"], kind="stable")
+            pdf = pdf.sort_values(["tokens", "item", "copy", "part"], kind="stable")
             no = pack_sizes(pdf["tokens"].tolist(), capacity)
-            return pd.DataFrame({"item": pdf["item"], "part": pdf["part"], "tokens": pdf["tokens"], "pack": [f"{label}-{key_[0]}-{x}" for x in no]})
+            return pdf[["item", "copy", "size", "part", "tokens"]].assign(pack=[f"{label}-{key_[0]}-{x}" for x in no])
 
-        kind = dict(sizes.dtypes)[key]
-        return spread.groupBy("block").applyInPandas(run, f"item {kind}, part int, tokens int, pack string")
+        many = min(blocks, tasks(rows.sparkSession))
+        return spread.repartition(many, "block").groupBy("block").applyInPandas(run, f"item {kind}, copy bigint, size int, part int, tokens int, pack string")
 
     first = cut(in_blocks(rest, "a"))
     filled = first.groupBy("pack").agg(F.sum("tokens").alias("s"))
-    good = first.join(filled.filter(F.col("s") >= 0.995 * capacity).select("pack"), "pack").select("item", "part", "tokens", "pack")
-    open_ = first.join(filled.filter(F.col("s") < 0.995 * capacity).select("pack"), "pack").select("item", "part", "tokens")
+    good = first.join(filled.filter(F.col("s") >= 0.995 * capacity).select("pack"), "pack").select("item", "copy", "size", "part", "tokens", "pack")
+    open_ = first.join(filled.filter(F.col("s") < 0.995 * capacity).select("pack"), "pack").select("item", "copy", "size", "part", "tokens")
     again = in_blocks(cut(open_), "b")
-    return full.unionByName(good).unionByName(again).withColumnRenamed("item", key)
+    return full.unionByName(good).unionByName(again).select(F.col("item").alias(key), "part", "tokens", "pack")
 
 
 def summary(packed: DataFrame, capacity: int) -> DataFrame:

@@ -179,7 +179,7 @@ def test_flight_keeps_balances_and_lands():
     x = np.stack([size / size.max(), np.ones(300)])
     q = flight(p, x, 1)
     assert abs((q * size).sum() - (p * size).sum()) < 1e-3 * size.sum() and ((q > 0) & (q < 1)).sum() <= 2
-    done = landing(q, size, 1)
+    done = landing(q, x, 1)
     assert set(np.unique(done)) <= {0.0, 1.0}
     assert plan({}, {"a": (0.5, 1)}) == {"a": 0.0}
 
@@ -269,3 +269,14 @@ def test_all_parts_must_have_a_place():
     assert names.align([*four, "zzzzz"], [*four, "qqqqq"], forms) is None and names.align([*four, "eva"], ["eva", *four], forms) is not None
     assert names.align(["boris"], ["anna", "boris"], forms) is None and names.align(["anna"], ["anna", "boris"], forms) is not None
     assert names.close_enough("ivan", "ivani") == 1 and names.close_enough("ivan", "oleg") is None
+
+
+def test_landing_meets_balances_and_probabilities():
+    r = np.random.default_rng(1)
+    size = np.sort(r.lognormal(6, 1, 66))[::-1]
+    x = np.stack([size / size.max(), np.ones(66)])
+    p = np.full(66, 0.37)
+    runs = np.array([landing(p, x, seed) for seed in range(300)])
+    assert set(np.unique(runs)) <= {0.0, 1.0} and np.abs(runs @ size - p @ size).max() < 0.01 * size.sum() and np.abs(runs.sum(1) - p.sum()).max() < 3
+    assert abs(runs.mean() - 0.37) < 0.02 and abs(runs[:, :33].mean() - 0.37) < 0.04
+    assert set(landing(np.array([0.5]), x[:, :1], 1)) <= {0.0, 1.0} and landing(p[:0], x[:, :0], 1).size == 0
