@@ -2,7 +2,7 @@
 
 Copies are found by compressing the answer with its question as a zstandard dictionary; refusals and stand-ins
 by dictionaries; answers in another language by the language model unless question or system turn asks for it;
-truncation by how the text stands at its end, with a model of how list entries end.
+truncation by a model of terminal contexts, counted where lines of all answers end and where they go on.
 """
 
 from __future__ import annotations
@@ -10,18 +10,22 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.language import LanguageModel, sentences
 from folioflow.llm.language import _WORD as WORD
-from folioflow.session import require
+from folioflow.session import bounded_collect, cut, require
 
+#: Bound of the contexts met five times or more: the last characters that text can have, in four states.
+MOST_CONTEXTS = 20_000
 DEFECTS = ("empty_answer", "refusal", "copied_question", "other_language", "truncated_answer")
 
 # What stands in for an answer.
@@ -56,7 +60,7 @@ LANGUAGE_STEMS = {
 _THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
-_COMPLETE = re.compile(r"[.!?…][\"'»”’)\]*_`]*\Z")
+_GOES_ON = re.compile(r"(?<=\S) +(?=[a-zа-яёіїєґß-öø-ÿ])")
 _ENTRY = re.compile(r"^\s*(?:[-*•–—]|\d{1,3}[.)]|\[[ x]?\])\s+(.*)$")
 _LEAD = re.compile(r"^\s*(?:>+|[-*#]+|(?:q|a|question|answer|frage|antwort|вопрос|ответ|питання|відповідь|pregunta|respuesta|réponse)\s*[:.)])\s*", re.I)
 
@@ -75,14 +79,20 @@ def is_empty(answer: str | None) -> bool:
     return not bare or bare in STAND_INS
 
 
+@cache
+def _alone() -> tuple[zstandard.ZstdCompressor, int]:
+    """A compressor without a dictionary, and the size of nothing."""
+    c = zstandard.ZstdCompressor(level=9, write_content_size=False)
+    return c, len(c.compress(b""))
+
+
 def copy_cost(question: str, answer: str) -> float:
     """Compressed size of the answer given its question, against its size without; 0 means nothing but the question."""
     q, a = _plain(question).encode(), _plain(answer).encode()
     if not q or not a:
         return 1.0
     given = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
-    alone = zstandard.ZstdCompressor(level=9, write_content_size=False)
-    base = len(alone.compress(b""))
+    alone, base = _alone()
     return max(0, len(given.compress(a)) - base) / max(1, len(alone.compress(a)) - base)
 
 
@@ -106,12 +116,30 @@ def is_copy(question: str | None, answer: str) -> bool:
     return fresh <= max(1, 0.15 * len(a)) and covered >= 0.7 * len(known) and len(a) >= 0.6 * len(q)
 
 
+_CLOSERS = "\"'»”’)]*_`"
+#: A context is complete where lines end in it at least so often for every time that text goes on behind it.
+ENDS_TO_INSIDE = 0.25
+
+
+def context(text: str, entry: bool) -> str:
+    """How a text stands at its end: in an entry of a list or not, closed by quotes or brackets or not, and the last mark, letter or digit."""
+    bare = text.rstrip(_CLOSERS)
+    last = bare[-1:] or text[-1:]
+    kind = "letter" if last.isalpha() else "digit" if last.isdigit() else last
+    return f"{'entry' if entry else 'plain'} {'closed' if len(bare) < len(text) else 'open'} {kind}"
+
+
+#: What is known before any text is seen: as so many ends and so many places inside.
+_BEFORE = {f"{line} {state} {mark}": (4, 0) for line in ("entry", "plain") for state in ("open", "closed") for mark in ".!?…"}
+
+
 @dataclass
 class EndModel:
-    """How often a word ends a list entry and how often it stands inside one."""
+    """Terminal contexts: how often lines end in them and how often text goes on; and the same for the last words of list entries."""
 
     ends: dict[str, int]
     inside: dict[str, int]
+    contexts: dict[str, tuple[int, int]] = field(default_factory=dict)
 
     def complete(self, entry: str) -> bool:
         words = WORD.findall(entry)
@@ -123,19 +151,44 @@ class EndModel:
             return e > 0.02 * i
         return words[-1][0].isupper() and len(words) > 1 and len(w) > 3
 
+    def ended(self, text: str, entry: bool) -> bool:
+        """Whether a text may end as it does; contexts never met are complete for closing marks alone."""
+        c = context(text, entry)
+        (a, b), (e, i) = self.contexts.get(c, (0, 0)), _BEFORE.get(c, (0, 1))
+        return a + e > ENDS_TO_INSIDE * (b + i)
+
 
 def is_truncated(answer: str, ends: EndModel) -> bool:
     t = answer.rstrip().rstrip("\u200b\ufeff").rstrip()
     if t.count("```") % 2:
         return True
-    if t.endswith("```") or _COMPLETE.search(t):
+    if t.endswith("```"):
         return False
     line = t.rsplit("\n", 1)[-1]
     m = _ENTRY.match(line)
-    if m:
-        body = m[1].rstrip()
-        return not body or body.endswith((",", ":", "(", "«", "„", "“", "-")) or not (body.endswith(";") or ends.complete(body))
-    return True
+    body = m[1].rstrip() if m else line
+    if not body:
+        return True
+    if m and (body[-1].isalpha() or body[-1] == ";"):
+        return not (body[-1] == ";" or ends.complete(body))  # words tell more than the letter does
+    return not ends.ended(body, bool(m))
+
+
+def context_counts(answers: list[str | None]) -> dict[str, list[int]]:
+    """By context how often a line but the last ends in it, and how often small letters follow it inside a line."""
+    out: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for a in answers:
+        lines = _FENCE.sub("", _THINK.sub(" ", a or "")).split("\n")
+        for k, line in enumerate(lines):
+            m = _ENTRY.match(line)
+            body = (m[1] if m else line).strip()
+            if not body:
+                continue
+            if any(x.strip() for x in lines[k + 1 :]):
+                out[context(body, bool(m))][0] += 1
+            for g in _GOES_ON.finditer(body):
+                out[context(body[max(0, g.start() - 3) : g.start()], bool(m))][1] += 1
+    return out
 
 
 def _languages(model: LanguageModel, text: str) -> dict[str, float]:
@@ -248,50 +301,63 @@ def raw_pairs(raw: str | None) -> list[dict]:
 PAIR_DDL = "array<struct<pair_no:bigint,question:string,answer:string,system:string,cut:boolean>>"
 
 
-def _exploded(df: DataFrame, kind: str, record: str, source: str, split) -> DataFrame:  # noqa: ANN001
-    require(df, record, source)
-    pairs = F.udf(split, PAIR_DDL, useArrow=True)
-    rows = df.select(F.lit(kind).alias("record_kind"), F.col(f"`{record}`").cast("bigint").alias("record_no"), F.explode(pairs(F.col(f"`{source}`"))).alias("p"))
-    return rows.select("record_kind", "record_no", "p.*")
+_PAIRS = pa.list_(pa.struct([("pair_no", pa.int64()), ("question", pa.string()), ("answer", pa.string()), ("system", pa.string()), ("cut", pa.bool_())]))
+
 
+def _exploded(df: DataFrame, kind: str, record: str, source: Column, split: Callable) -> DataFrame:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([split(x) for x in b.to_pylist()], _PAIRS)
 
-def _from_json_messages(text: str | None) -> list[dict]:
-    return chat_pairs(json.loads(text)) if text else []
+    rows = df.select(F.lit(kind).alias("record_kind"), F.col(f"`{record}`").cast("bigint").alias("record_no"), F.explode(F.arrow_udf(run, PAIR_DDL)(source)).alias("p"))
+    return rows.select("record_kind", "record_no", "p.*")
 
 
 def pairs_of_chats(df: DataFrame, record: str = "line_id", messages: str = "messages") -> DataFrame:
     """Pairs of chat lines; a null array has none, a missing or null reply gives a null answer."""
-    as_json = df.select(F.col(f"`{record}`"), F.to_json(F.col(f"`{messages}`"), {"ignoreNullFields": "false"}).alias("m"))
-    return _exploded(as_json, "chatml_line", record, "m", _from_json_messages)
+    require(df, record, messages)
+    return _exploded(df, "chatml_line", record, F.col(f"`{messages}`"), chat_pairs)
 
 
 def pairs_of_raw(df: DataFrame, record: str = "sample_id", raw: str = "raw") -> DataFrame:
     """Pairs of raw replies; a null reply has none, a question that is cut itself makes no pair."""
-    return _exploded(df, "raw_sample", record, raw, raw_pairs)
+    require(df, record, raw)
+    return _exploded(df, "raw_sample", record, F.col(f"`{raw}`"), raw_pairs)
 
 
 def fit_ends(pairs: DataFrame, least_share: float = 1e-6) -> EndModel:
-    """Counts over all list entries but the last of each answer; words rarer than least_share of all are left out,
-    which bounds the model by 1 / least_share words at any size of the data."""
+    """Terminal contexts of all answers, and the words of all list entries but the last of each answer.
+
+    Words rarer than least_share of all are left out, which bounds the model by 1 / least_share words at any size of the data.
+    """
     lines = F.filter(F.split("answer", "\n"), lambda x: x.rlike(r"^\s*(?:[-*•–—]|\d{1,3}[.)])\s+\S"))
     kept = pairs.select(lines.alias("l")).filter(F.size("l") > 1).select(F.explode(F.slice("l", 1, F.size("l") - 1)).alias("e"))
     words = kept.select(F.filter(F.split(F.lower("e"), r"[^\p{L}'’]+"), lambda x: F.length(x) > 0).alias("w")).filter(F.size("w") > 0)
     rows = words.select(F.posexplode("w").alias("i", "word"), F.size("w").alias("n")).groupBy("word")
     rows = rows.agg(F.sum((F.col("i") == F.col("n") - 1).cast("int")).alias("ends"), F.sum((F.col("i") < F.col("n") - 1).cast("int")).alias("inside"))
-    rows = rows.filter(F.col("ends") + F.col("inside") >= 2)
+    rows = cut(rows.filter(F.col("ends") + F.col("inside") >= 2))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = context_counts(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([x[0] for x in c.values()], pa.int64()), pa.array([x[1] for x in c.values()], pa.int64())], ["context", "ends", "inside"])
+
+    met = pairs.select("answer").mapInArrow(count, "context string, ends bigint, inside bigint").groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
+    contexts = {r.context: (r.ends, r.inside) for r in bounded_collect(met.filter("ends + inside >= 5"), MOST_CONTEXTS, "the table of terminal contexts")}
     total = rows.agg(F.sum(F.col("ends") + F.col("inside"))).first()[0] or 0
     got = rows.filter(F.col("ends") + F.col("inside") >= least_share * total).collect()
-    return EndModel({r.word: r.ends for r in got if r.ends}, {r.word: r.inside for r in got if r.inside})
+    return EndModel({r.word: r.ends for r in got if r.ends}, {r.word: r.inside for r in got if r.inside}, contexts)
 
 
 def defects(pairs: DataFrame, model: LanguageModel, ends: EndModel) -> DataFrame:
     """The pairs with the column defect: one of DEFECTS, or null. Null and empty answers are empty_answer; a null
     question is an empty one. Repeated pairs stay repeated. No shuffle."""
     require(pairs, "question", "answer", "system", "cut")
+    models = pairs.sparkSession.sparkContext.broadcast((model, ends))  # both bounded by their parameters
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for q, a, s, c in batches:
             rows = zip(q.to_pylist(), a.to_pylist(), s.to_pylist(), c.to_pylist(), strict=True)
-            yield pa.array([defect(*r[:3], model, ends, bool(r[3])) for r in rows], pa.string())
+            yield pa.array([defect(*r[:3], *models.value, bool(r[3])) for r in rows], pa.string())
 
     return pairs.withColumn("defect", F.arrow_udf(run, "string")("question", "answer", "system", "cut"))
