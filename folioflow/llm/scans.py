@@ -108,6 +108,7 @@ class Retrieval:
         self.counts = np.array([counts[w] for w in self.words], float)
         self.total = float(self.counts.sum()) or 1.0
         self.length = np.array([len(w) for w in self.words])
+        self.pairs = np.array([len(set(pairs_of(w))) for w in self.words])
         lists: dict[str, list[int]] = defaultdict(list)
         for i, w in enumerate(self.words):
             for g in set(pairs_of(w)):
@@ -117,14 +118,16 @@ class Retrieval:
     def candidates(self, word: str) -> list[tuple[int, float]]:
         """All words that misreadings lead to, those with the most shared pairs for their lengths first, ties by count.
 
-        A misreading breaks three pairs at most, so every word within two misreadings is found, whatever its rank.
+        A misreading breaks two pairs of the token, or three where it reads two characters, and three of the word at
+        most, so every word within two misreadings is found, whatever its rank.
         """
         mine = set(pairs_of(word))
+        twos = sum(word[i : i + 2] in _READ for i in range(len(word) - 1))
         hits = [self.lists[g] for g in mine if g in self.lists]
         if not hits:
             return []
         shared = np.bincount(np.concatenate(hits), minlength=len(self.words))
-        near = np.flatnonzero((np.abs(self.length - len(word)) <= MOST_MISREADINGS) & (shared >= max(1, len(mine) - 6)))
+        near = np.flatnonzero((np.abs(self.length - len(word)) <= MOST_MISREADINGS) & (shared >= np.maximum(max(1, len(mine) - 4 - min(2, twos)), self.pairs - 6)))
         near = [i for i in near.tolist() if self.words[i] != word and explained(word, self.words[i]) <= MOST_MISREADINGS]
         score = {i: 2 * float(shared[i]) / (self.length[i] + 1 + len(word) + 1) for i in near}
         return [(i, float(score[i])) for i in sorted(near, key=lambda i: (-score[i], -self.counts[i], i))]
