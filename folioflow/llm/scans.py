@@ -594,16 +594,15 @@ def found(noise: DataFrame, fixed: DataFrame) -> DataFrame:
 
 
 def repaired_text(text: str | None, titles: list[str] | None, model: ScanModel) -> str | None:
-    """Continuous paragraphs: running lines and page numbers out, broken words joined, lines joined, misread words replaced."""
-    return repaired_texts([(text, titles)], model)[0]
+    """Continuous paragraphs: running lines and page numbers out, broken words joined, lines joined, misread words replaced.
 
-
-def repaired_texts(items: list[tuple[str | None, list[str] | None]], model: ScanModel) -> list[str | None]:
-    """repaired_text for many texts, with one call of each classifier and each distinct token ranked once."""
-    pages = line_noise_of([(text or "", [x for x in titles or [] if x]) for text, titles in items], model)
-    odd = sorted({t for lines, noise in pages for t in suspects(lines, noise, model)})
-    bad = {t: c[0] for t, c in zip(odd, model.corrections(odd, [1] * len(odd)), strict=True) if c}
-    return [_rebuilt(lines, noise, bad) if text else text for (text, _), (lines, noise) in zip(items, pages, strict=True)]
+    For a text by itself; repair() ranks every token with its count in the whole table, as corrections() does.
+    """
+    lines, noise = line_noise_of([(text or "", [x for x in titles or [] if x])], model)[0]
+    count = Counter(suspects(lines, noise, model))
+    odd = sorted(count)
+    bad = {t: c[0] for t, c in zip(odd, model.corrections(odd, [count[t] for t in odd]), strict=True) if c}
+    return _rebuilt(lines, noise, bad) if text else text
 
 
 def _rebuilt(lines: list[str], noise: LineNoise, bad: dict[tuple[str, bool], str]) -> str:
@@ -631,12 +630,28 @@ def _rebuilt(lines: list[str], noise: LineNoise, bad: dict[tuple[str, bool], str
 
 
 def repair(chunks: DataFrame, model: ScanModel) -> DataFrame:
-    """The chunks with their texts repaired; null and empty texts stay as they are, all other columns too. No shuffle."""
-    require(chunks, "text", "path_titles")
-
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, titles in batches:
-            items = list(zip(texts.to_pylist(), titles.to_pylist(), strict=True))
-            yield pa.array([t for at in range(0, len(items), 512) for t in repaired_texts(items[at : at + 512], model)], pa.string())
+    """The chunks with their texts repaired; null and empty texts stay as they are, all other columns too.
 
-    return chunks.withColumn("text", F.arrow_udf(run, "string")("text", "path_titles"))
+    Misread words are those of corrections() over the whole table, so that p2's two results agree on every word; they are joined to
+    the chunks that hold them by vec_rowid, and what is gathered is bounded by a chunk's own words.
+    """
+    require(chunks, "vec_rowid", "text", "path_titles")
+    noise = cut(chunk_noise(chunks, model))
+    tokens = noise.select("vec_rowid", F.inline("suspects")).distinct()
+    bad = tokens.join(corrections(noise, model).select("token", "start", "printed"), ["token", "start"])
+    bad = bad.groupBy("vec_rowid").agg(F.collect_list(F.struct("token", "start", "printed")).alias("__bad"))
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, titles, fixes in batches:
+            items = list(zip(texts.to_pylist(), titles.to_pylist(), fixes.to_pylist(), strict=True))
+            out = []
+            for at in range(0, len(items), 512):
+                some = items[at : at + 512]
+                pages = line_noise_of([(text or "", [x for x in named or [] if x]) for text, named, _ in some], model)
+                for (text, _, fix), (lines, found_) in zip(some, pages, strict=True):
+                    out.append(_rebuilt(lines, found_, {(f["token"], f["start"]): f["printed"] for f in fix or []}) if text else text)
+            yield pa.array(out, pa.string())
+
+    joined = chunks.join(bad, "vec_rowid", "left")
+    rebuilt = F.arrow_udf(run, "string")("text", "path_titles", "__bad")
+    return joined.withColumn("text", rebuilt).select(*chunks.columns)

@@ -76,29 +76,26 @@ def test_boosting_learns_a_threshold_and_takes_no_rows():
 
 def test_index_counts_every_window():
     r = random.Random(1)
-    records = [[r.choice("abcd") for _ in range(r.randint(0, 12))] for _ in range(30)]
-    index = overlap.TextIndex(records)
-    for w in itertools.product("abcde", repeat=3):
-        ids = np.array([index.vocabulary.get(x, -1) for x in w])
-        length, lo, hi = index.backward(ids, np.array([3]), 3)
-        want = sum(tuple(rec[i : i + 3]) == w for rec in records for i in range(len(rec) - 2))
-        assert (hi[0] - lo[0] if length[0] == 3 else 0) == want
-
-
-def test_candidates_lose_no_partner():
-    r = random.Random(2)
-    vocabulary = [f"w{i}" for i in range(60)]
-    records = [[r.choice(vocabulary) for _ in range(r.randint(1, 40))] for _ in range(60)]
-    index = overlap.TextIndex(records)
-    for _ in range(120):
-        base = list(r.choice(records))
-        for _ in range(len(base) // 6):
-            base[r.randrange(len(base))] = r.choice(vocabulary)
-        got = index.candidates(base)
-        for k, rec in enumerate(records):
-            most = max(len(base), len(rec)) // 6
-            if overlap.edits_within(base, rec, most) is not None:
-                assert k in got
+    records = [[ord(r.choice("abcd")) for _ in range(r.randint(0, 12))] for _ in range(30)]
+    index = overlap.TextIndex.build([np.array(x, np.int64) for x in records])
+    for w in itertools.product(map(ord, "abcde"), repeat=3):
+        lo, hi = index.backward(index.numbers(np.array(w, np.int64)), np.array([3]), np.array([3]))
+        assert hi[0] - lo[0] == sum(tuple(rec[i : i + 3]) == w for rec in records for i in range(len(rec) - 2))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_alignment_of_batches_matches_brute_force(seed):
+    r = np.random.default_rng(seed)
+    texts = [r.integers(1, 6, r.integers(1, 30)) for _ in range(80)]
+    a, b = texts[:40], texts[40:]
+    wide = lambda xs, pad: np.array([np.pad(x, (0, 30 - len(x)), constant_values=pad) for x in xs], np.int32)
+    n, m = np.array(list(map(len, a))), np.array(list(map(len, b)))
+    allowed = np.maximum(n, m) // 2
+    got = overlap.aligned(wide(a, -1), wide(b, -2), n, m, allowed)
+    covered, _ = overlap.merged_matches(wide(a, -1), wide(b, -2), n, allowed)
+    for x, y, d, most, c in zip(a, b, got, allowed, covered, strict=True):
+        want = overlap.edits_within(x.tolist(), y.tolist(), int(most))
+        assert (int(d) if d <= most else None) == want and (want is None or c >= len(x) - most)
 
 
 def test_folding_of_words():
