@@ -180,12 +180,6 @@ def compressed_chapter(text: Column, head: int = 6000, tail: int = 2000) -> Colu
     return F.when(F.char_length(text) <= head + tail, text).otherwise(F.concat(F.substring(text, 1, head), F.lit("\n…\n"), F.right(text, F.lit(tail))))
 
 
-def first_useful(*candidates: Column) -> Column:
-    """The first candidate title that says something: two letters or more, no file name, no placeholder."""
-    ok = lambda c: F.when(c.rlike(r"\p{L}{2}") & ~F.lower(F.trim(c)).rlike(r"^(?:untitled|unknown|document|без названия|book|microsoft word.*|.*\.(?:pdf|docx?|indd|tmp))$"), F.trim(c))
-    return F.coalesce(*[ok(c) for c in candidates])
-
-
 def plain_isbn13(text: Column) -> Column:
     """An ISBN field as 13 digits: blanks and hyphens out, ISBN-10 converted, check digits as they are; null where it is neither."""
     d = F.regexp_replace(text, r"[-\s]", "")
@@ -194,15 +188,28 @@ def plain_isbn13(text: Column) -> Column:
     return F.when(d.rlike(r"^97[89]") & (F.length(d) == 13), d).when(d.rlike(r"^[0-9]{9}[0-9Xx]\z"), F.concat(body, ((10 - total % 10) % 10).cast("string")))
 
 
-def isbn13(text: Column) -> Column:
-    """The first valid ISBN in a text as 13 digits: ISBN-13 as it is, ISBN-10 converted; null where none is valid."""
+def isbns(text: Column, most: int = 3) -> Column:
+    """Valid ISBNs in a text as 13 digits, each once, `most` at most: those of 13 digits in their order, then those of 10, converted."""
     found = F.regexp_extract_all(text, F.lit(r"((?:97[89][- ]?)?[0-9](?:[- ]?[0-9]){8}[- ]?[0-9Xx])"), 1)
     plain = F.transform(found, lambda x: F.upper(F.regexp_replace(x, "[- ]", "")))
     digit = lambda x, i: F.substring(x, i, 1).cast("int")
     check13 = lambda x: (10 - reduce(lambda a, i: a + digit(x, i) * (1 if i % 2 else 3), range(1, 13), F.lit(0)) % 10) % 10
     sum10 = lambda x: reduce(lambda a, i: a + digit(x, i) * (11 - i), range(1, 10), F.lit(0))
     tenth = lambda x: F.when(F.substring(x, 10, 1) == "X", 10).otherwise(digit(x, 10))
-    ok13 = lambda x: (F.length(x) == 13) & ~x.contains("X") & (check13(x) == digit(x, 13))
-    ok10 = lambda x: (F.length(x) == 10) & ((sum10(x) + tenth(x)) % 11 == 0)
-    as13 = lambda x: F.when(ok13(x), x).when(ok10(x), F.concat(F.lit("978"), F.substring(x, 1, 9), check13(F.concat(F.lit("978"), F.substring(x, 1, 9), F.lit("0"))).cast("string")))
-    return F.get(F.filter(F.transform(plain, as13), lambda x: x.isNotNull()), F.lit(0))
+    long = F.filter(plain, lambda x: (F.length(x) == 13) & ~x.contains("X") & (check13(x) == digit(x, 13)))
+    short = F.filter(plain, lambda x: (F.length(x) == 10) & ((sum10(x) + tenth(x)) % 11 == 0))
+    body = lambda x: F.concat(F.lit("978"), F.substring(x, 1, 9))
+    as13 = F.transform(short, lambda x: F.concat(body(x), check13(F.concat(body(x), F.lit("0"))).cast("string")))
+    return F.slice(F.array_distinct(F.concat(long, as13)), 1, most)
+
+
+def isbn13(text: Column) -> Column:
+    """The first valid ISBN of a text, null where none is valid."""
+    return F.get(isbns(text, 1), F.lit(0))
+
+
+def head_and_tail(paragraphs: Column, head: int = 250, tail: int = 150) -> Column:
+    """The paragraphs at the beginning and the end of a book in which its numbers stand, as one text."""
+    rest = F.greatest(F.size(paragraphs) - head, F.lit(0))
+    end = F.slice(F.reverse(paragraphs), F.lit(1), F.least(rest, F.lit(tail)))
+    return F.array_join(F.concat(F.slice(paragraphs, 1, head), F.reverse(end)), " ")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.functions.repair import best_title
 from folioflow.operators import catalog as C
 from folioflow.operators import chunking as K
 from folioflow.operators import dedup as X
@@ -318,9 +319,9 @@ def content_ids(s: Spark, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.sha2(t, 256).alias("sha"), F.substring(F.md5(t), 1, 8).alias("short"))
 
 
-@query("best_titles")
+@query("best_titles", f"SELECT id, CASE WHEN a IS NOT NULL AND NOT regexp_matches(lower(a), '^(предисловие|введение|оглавление|содержание|contents|preface|introduction|foreword)$') THEN a WHEN b IS NOT NULL AND NOT regexp_matches(lower(b), '^(предисловие|введение|оглавление|содержание|contents|preface|introduction|foreword)$') THEN b ELSE coalesce(a, b, c) END AS title FROM (SELECT id, nullif(trim(title_en), '') AS a, nullif(trim(title_ru), '') AS b, nullif(trim(title), '') AS c FROM {_BOOKS} x) y")
 def best_titles(s: Spark, d: str) -> DataFrame:
-    return _books(s, d).select("id", T.first_useful(F.col("title"), F.col("title_ru"), F.col("title_en")).alias("title"))
+    return _books(s, d).select("id", best_title(F.col("title_en"), F.col("title_ru"), F.col("title")).alias("title"))
 
 
 # --- exports

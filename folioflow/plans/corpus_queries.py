@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.functions.repair import mixed_scripts, repaired_lines
+from folioflow.operators import chunking as K
 from folioflow.operators import ingest as I
 from folioflow.operators import seams as M
+from folioflow.operators import stored as S
 from folioflow.operators import surrogates as U
 from folioflow.plans.registry import query
 from folioflow.session import table
@@ -143,3 +146,56 @@ def natural_order(s: Spark, d: str) -> DataFrame:
 @query("path_segments", "SELECT id, CASE WHEN length(s) > 50 THEN regexp_replace(left(s, 50), '_+$', '') ELSE s END AS segment FROM (SELECT id, CASE WHEN t = '' THEN '_unnamed' ELSE regexp_replace(t, '\\s+', '_', 'g') END AS s FROM (SELECT id, trim(regexp_replace(regexp_replace(trim(replace(regexp_replace(nfc_normalize(title), '[<>:\"/\\\\|?*\\x00-\\x1f\\x7f]', '', 'g'), '..', '.')), '^\\.+', ''), '\\.+$', '')) AS t FROM books WHERE title IS NOT NULL) a) b")
 def path_segments(s: Spark, d: str) -> DataFrame:
     return table(s, d, "books").filter("title IS NOT NULL").select("id", I.path_segment(F.col("title")).alias("segment"))
+
+
+@query("script_mixing", "WITH w AS (SELECT vec_rowid, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: length(x) >= 3) AS w FROM chunks WHERE text IS NOT NULL), c AS (SELECT vec_rowid, length(regexp_replace(text, '[^\\x{400}-\\x{4ff}]', '', 'g')) AS cyr, length(regexp_replace(text, '[^A-HJ-Za-hj-z]', '', 'g')) AS lat, len(w) AS n, list_transform(w, lambda x: {'c': length(regexp_replace(x, '[^\\x{400}-\\x{4ff}]', '', 'g')), 'a': length(regexp_replace(x, '[^pcoaexyPCOAEXBHMTK]', '', 'g')), 'l': length(regexp_replace(x, '[^A-HJ-Za-hj-z]', '', 'g')), 'd': regexp_matches(x, '[\\x{400}-\\x{4ff}][0-9]+[a-zA-Z\\x{400}-\\x{4ff}]|[a-zA-Z\\x{400}-\\x{4ff}][0-9]+[\\x{400}-\\x{4ff}]')}) AS t FROM w), k AS (SELECT *, len(list_filter(t, lambda x: x.c >= 3 AND x.a >= 1)) AS lookalikes, len(list_filter(t, lambda x: x.d)) AS digits, len(list_filter(t, lambda x: NOT (x.c >= 3 AND x.a >= 1) AND x.c >= 2 AND x.l >= 1)) AS mixed FROM c) SELECT vec_rowid, lookalikes, digits, mixed, lookalikes + 2 * digits + mixed >= CASE WHEN n < 50 THEN 3 ELSE 5 END OR (n > 0 AND lookalikes + 2 * digits + mixed > 0.03 * n) OR (cyr > 50 AND lat / greatest(1, cyr + lat) > 0.05 AND lat / greatest(1, cyr + lat) < 0.4) AS confused FROM k")
+def script_mixing(s: Spark, d: str) -> DataFrame:
+    got = table(s, d, "chunks").filter("text IS NOT NULL").select("vec_rowid", mixed_scripts(F.col("text")).alias("m"))
+    return got.select("vec_rowid", "m.lookalikes", "m.digits", "m.mixed", "m.confused")
+
+
+@query("line_repairs")
+def line_repairs(s: Spark, d: str) -> DataFrame:
+    got = table(s, d, "chunks").select("vec_rowid", repaired_lines(F.col("text")).alias("r"))
+    return got.select("vec_rowid", "r.double_utf8", "r.koi8", "r.latin1", "r.problem", F.md5("r.text").alias("hash"))
+
+
+@query("folded_chapters")
+def folded_chapters(s: Spark, d: str) -> DataFrame:
+    chapters = S.folded_chapters(K.sections(table(s, d, "documents"), "doc_id", "text"), "doc_id")
+    return chapters.select("doc_id", "chapter_no", "title", F.size("paragraphs").alias("paragraphs"))
+
+
+@query("stored_chapters", "SELECT id, 1 AS chapter_no, trim(title) AS title, CAST(len(list_filter(regexp_split_to_array(coalesce(title_en, ''), '\\s+'), lambda x: x <> '')) AS INT) AS words FROM books WHERE title IS NOT NULL UNION ALL SELECT id, 2, 'End', 1 FROM books WHERE title IS NOT NULL")
+def stored_chapters(s: Spark, d: str) -> DataFrame:
+    """Stored markdown of two chapters a book, made of its titles."""
+    lines = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("id: "), "id"), F.lit("---"), F.lit("# Book"), F.concat(F.lit("## "), "title"), F.lit(""), F.coalesce("title_en", F.lit("")), F.lit(""), F.lit("![Cover][img-1]"), F.lit(""), F.lit("## End"), F.lit(""), F.lit("over"))
+    return S.stored_chapters(table(s, d, "books").filter("title IS NOT NULL").select("id", lines.alias("markdown")), "id").select("id", "chapter_no", "title", "words")
+
+
+@query("canonical_rows", "SELECT id, domain, year::VARCHAR AS year, '|' || array_to_string(tags, '|') || '|' AS tags, NULL AS missing, publisher FROM books")
+def canonical_rows(s: Spark, d: str) -> DataFrame:
+    points = table(s, d, "books").select("id", F.array(F.lit(1.0)).alias("vector"), "domain", "year", "tags", "publisher", "isbn")
+    rows = S.unpacked(S.canonical_rows(points, ["domain", "year", "tags", "missing"]), ["publisher"])
+    return rows.select("id", "domain", "year", "tags", "missing", "publisher")
+
+
+@query("cut_metadata", "SELECT doc_id, length(CASE WHEN length(text) > 500 THEN left(text, 499) || '…' ELSE text END) AS kept FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
+def cut_metadata(s: Spark, d: str) -> DataFrame:
+    docs = table(s, d, "documents").filter("text IS NOT NULL AND source IS NOT NULL")
+    cut = S.cut_metadata(F.create_map(F.lit("source"), F.col("source"), F.lit("text"), F.col("text")))
+    return docs.select("doc_id", F.char_length(F.get_json_object(cut, "$.text")).alias("kept"))
+
+
+@query("vector_upsert", "SELECT vec_id, label FROM embeddings WHERE label <> 1 UNION ALL SELECT vec_id, 100 FROM embeddings WHERE label = 1")
+def vector_upsert(s: Spark, d: str) -> DataFrame:
+    e = table(s, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"))
+    return S.upserted(e, e.filter("label = 1").select("vec_id", F.lit(100).alias("label")), "vec_id")
+
+
+@query("book_isbns", "SELECT id, isbn13 FROM (SELECT id, regexp_replace(isbn, '[- ]', '', 'g') AS isbn13 FROM books WHERE isbn IS NOT NULL) x WHERE length(isbn13) = 13 AND (10 - list_sum(list_transform(range(1, 13), lambda i: substr(isbn13, i, 1)::INT * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10 = substr(isbn13, 13, 1)::INT")
+def book_isbns(s: Spark, d: str) -> DataFrame:
+    """Numbers found in what a book's first and last paragraphs would say; check digits must hold."""
+    b = table(s, d, "books").filter("isbn IS NOT NULL")
+    text = T.head_and_tail(F.array(F.lit("Printed 2001."), F.concat(F.lit("ISBN "), "isbn", F.lit(". All rights."))))
+    return b.select("id", F.explode(T.isbns(text)).alias("isbn13"))

@@ -96,7 +96,24 @@ def parse_txt(data: bytes) -> dict:
             paragraphs.append(" ".join(lines))
     if paragraphs or title:
         sections.append((1, title, paragraphs))
-    return {"sections": sections}
+    return {"sections": merged_headings(sections)}
+
+
+def merged_headings(sections: list[Section]) -> list[Section]:
+    """Sections without text give their titles to the next one with text, or at the end to the last one."""
+    out: list[Section] = []
+    waiting: list[str] = []
+    for level, title, paragraphs in sections:
+        if paragraphs:
+            names = [t for t in (*waiting, title) if t]
+            out.append((level, " / ".join(names) or None, paragraphs))
+            waiting = []
+        elif title:
+            waiting.append(title)
+    if waiting and out:
+        level, title, paragraphs = out[-1]
+        out[-1] = (level, " / ".join([*([title] if title else []), *waiting]), paragraphs)
+    return out or ([(1, " / ".join(waiting), [])] if waiting else [])
 
 
 def strip_tags(markup: str) -> str:

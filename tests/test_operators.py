@@ -369,3 +369,38 @@ def test_token_budget(spark):
     b = one(spark, T.token_budget(F.lit(text), 100))
     assert b.trimmed and b.tokens == 375 and text.startswith(b.text) and b.text.endswith(".") and len(b.text) <= 380
     assert one(spark, T.token_budget(F.lit("short"), 100)) .text == "short" and one(spark, T.token_budget(F.lit("x" * 1000), 100)).text.endswith(" …")
+
+
+def test_repair_of_lines_and_titles(spark):
+    from folioflow.functions import repair as P
+
+    ru = "Надёжный способ описывает точный прибор и новый раздел этой книги"
+    assert P.repaired_line(ru.encode().decode("cp1251")) == (ru, "double_utf8")
+    assert P.repaired_line(ru.encode("koi8-r").decode("cp1251")) == (ru, "koi8") or P.repaired_line(ru.lower().encode("koi8-r").decode("cp1251"))[1] == "koi8"
+    assert P.repaired_line(ru.encode("cp1251").decode("latin-1")) == (ru, "latin1") and P.repaired_line(ru) == (ru, None) and P.repaired_line("café") == ("café", None)
+    got = spark.createDataFrame([(None,), ("",), ("\n".join([ru.encode("cp1251").decode("latin-1")] * 5),)], "t string").select(P.repaired_lines(F.col("t")).alias("r")).collect()
+    assert got[0].r is None and got[1].r.problem == "clean" and got[2].r.problem == "encoding_garble" and got[2].r.text == "\n".join([ru] * 5)
+    mix = one(spark, P.mixed_scripts(F.lit("тeкст и cлово 06pa3y стр0ка чисто i")))
+    assert mix.lookalikes == 2 and mix.digits == 1 and mix.confused and not one(spark, P.mixed_scripts(F.lit("чистый русский текст без примеси"))).confused
+    assert P.hex_title("<" + "Книга".encode("cp1251").hex() + ">") == "Книга" and P.hex_title("<feff0041>") == "A" and P.hex_title("<abc>") is None and P.hex_title("plain") is None
+    best = lambda *t: one(spark, P.best_title(*[F.lit(x).cast("string") for x in t]))
+    assert best(None, "Contents", " Real ") == "Real" and best("Глава 3", None) == "Глава 3" and best("", None) is None and best("<" + "Том".encode("cp1251").hex() + ">") == "Том"
+
+
+def test_stored_rows_and_books(spark, tmp_path):
+    from folioflow.operators import stored as S
+    from folioflow.sources import parsers as Q
+
+    meta = S.typed_front_matter('---\nid: "a \\"b\\""\nyear: 1999\ntags: [x, "y z"]\nauthors:\n  - A\n  - B\nisFictionOrWater: true\n---\nbody')
+    assert meta == {"id": 'a "b"', "year": 1999, "tags": ["x", "y z"], "authors": ["A", "B"], "isFictionOrWater": True} and S.typed_front_matter(None) == {}
+    text = "x\n" + "\n".join(f"Chapter {i}. Name\nBody {i}" for i in (1, 2, 3))
+    df = spark.createDataFrame([(1, text), (2, "Chapter 1. A\nb"), (3, None)], "k int, t string")
+    assert [(r.title, r.body) for r in S.marked_chapters(df, "k", "t").collect()] == [(f"Chapter {i}. Name", f"Body {i}") for i in (1, 2, 3)]
+    secs = spark.createDataFrame([(1, 1, 3, "Stray", ["s"]), (1, 2, 1, "One", ["a"]), (1, 3, 3, "Deep", ["b"]), (1, 4, 2, None, [])], "k int, section_order int, level int, title string, paragraphs array<string>")
+    assert {r.title: r.paragraphs for r in S.folded_chapters(secs, "k").filter("chapter_no > 0").collect()} == {"One": ["a", "### Deep", "b"], "Body": []}
+    blobs = spark.createDataFrame([(b"x",), (b"x",), (b"y",), (None,)], "content binary")
+    assert S.put_blobs(blobs, f"{tmp_path}/b").count() == 2 and S.put_blobs(blobs, f"{tmp_path}/b").count() == 2 and spark.read.parquet(f"{tmp_path}/b").count() == 2
+    note = spark.range(1).select(S.cut_metadata(F.map_from_arrays(F.array(*[F.lit(f"k{i}") for i in range(60)]), F.array(*[F.lit("v" * 400)] * 60))).alias("x")).first().x
+    assert '"keysDropped":20' in note and len(note) < 8000
+    assert Q.merged_headings([(1, "A", []), (1, "B", ["x"]), (1, "C", [])]) == [(1, "A / B / C", ["x"])] and Q.merged_headings([]) == []
+    assert one(spark, T.isbns(F.lit("0-306-40615-2 and 978-0-306-40615-7, 978-3-16-148410-0"))) == ["9780306406157", "9783161484100"]
