@@ -404,3 +404,34 @@ def test_stored_rows_and_books(spark, tmp_path):
     assert '"keysDropped":20' in note and len(note) < 8000
     assert Q.merged_headings([(1, "A", []), (1, "B", ["x"]), (1, "C", [])]) == [(1, "A / B / C", ["x"])] and Q.merged_headings([]) == []
     assert one(spark, T.isbns(F.lit("0-306-40615-2 and 978-0-306-40615-7, 978-3-16-148410-0"))) == ["9780306406157", "9783161484100"]
+
+
+def test_api(spark, tmp_path):
+    from folioflow import api
+    from folioflow.operators import seams
+
+    e = seams.HashedEmbedder(64)
+    texts = ["saturn rocket engine", "moon landing", "garden flowers", "saturn rings"]
+    chunks = spark.createDataFrame([(i, "u", i % 2, t, e([t])[0].tolist()) for i, t in enumerate(texts)], "id bigint, user_id string, level int, text string, vector array<double>")
+    triples = spark.createDataFrame([("Saturn V", "reaches", "Moon", 1, 1), ("Flower", "in", "Garden", 2, 2)], "subject string, predicate string, object string, seq int, source bigint")
+    ents, rels = graph.ingest_relations(triples)
+    got = api.search_chunks(chunks, ents, rels, "saturn rocket", e, user="u", limit=4).collect()
+    assert got[0].id == 0 and {r.id: r.graph > 0 for r in got}[1] and [r.id for r in got].index(1) < [r.id for r in got].index(2)
+    plain = api.search_chunks(chunks, ents, rels, "saturn rocket", e, user="u", limit=4, beta=0, level=0).collect()
+    assert [r.id for r in plain][0] == 0 and {r.id for r in plain} <= {0, 2} and api.search_chunks(chunks, ents, rels, "x", e, user="nobody").count() == 0
+    concepts = chunks.selectExpr("id", "user_id", "'c' AS collection_name", "vector")
+    assert api.search(concepts, "moon landing", e, user="u", limit=1).first().id == 1 and api.collections(concepts, "u").first().concepts == 4
+    rows = spark.createDataFrame([("a", "u", "c", True, 2, '{"essence": "E", "domain": "ai", "proof": "P"}'), ("b", "u", "c", True, 1, "broken"), ("d", "u", "c", False, 0, "{}")], "id string, user_id string, collection_name string, accepted boolean, created_at int, payload string")
+    assert api.export_dataset(rows, f"{tmp_path}/j", user="u", collection="c") == (1, 1) and spark.read.json(f"{tmp_path}/j").first().conceptId == "a"
+    assert api.export_dataset(rows, f"{tmp_path}/s", user="u", collection="c", form="sharegpt") == (3, 1)
+    assert api.export_dataset(rows, f"{tmp_path}/t", user="u", collection="c", form="chatml")[0] == 3 and "<|im_start|>system" in spark.read.json(f"{tmp_path}/t").first().text
+    books = spark.createDataFrame([(str(i), f"T{i}", 5, "indexed") for i in range(5)], "id string, title string, quality_score int, status string")
+    page, total = api.catalogue_page(books, least_quality=5, order="title", limit=2)
+    assert [r.id for r in page.collect()] == ["0", "1"] and total == 5
+    page, last = api.next_page(books, ["indexed"], "1", 2)
+    assert last == "3" and api.next_page(books, ["indexed"], last, 2)[1] is None
+    (tmp_path / "md").mkdir()
+    (tmp_path / "md" / "a.md").write_text('---\nid: "1"\ntitle: "T"\nyear: 1999\ntags: [x, y]\n---\nbody')
+    (tmp_path / "md" / "b.md").write_text("no front matter")
+    made = api.catalogue_from_files(spark, f"{tmp_path}/md").collect()
+    assert [(r.id, r.title, r.year, r.tags) for r in made] == [("1", "T", 1999, "x,y")]
