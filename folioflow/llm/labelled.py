@@ -15,6 +15,7 @@ class Builder:
 
     def __init__(self, texts: list[str], seed: int = 0) -> None:
         self.r, self.texts = random.Random(seed), texts
+        self.alike: dict[int, list[float]] = {}
         self.by_text = [[s.strip() for s in _END.split(t.replace("\n", " ")) if len(_LETTERS.findall(s)) >= 4] for t in texts]
         self.by_text = [s for s in self.by_text if len(s) >= 3]
         self.words = [{w.lower() for x in s for w in _LETTERS.findall(x)} for s in self.by_text]
@@ -23,8 +24,10 @@ class Builder:
 
     def start(self) -> None:
         """Begin a document: its sentences come from one text, then from the most similar others, each once before any comes again."""
-        first = self.words[self.r.randrange(len(self.words))]
-        near = [(len(first & w) / (1 + len(first | w)) + self.r.random() / 50, i) for i, w in enumerate(self.words)]
+        k = self.r.randrange(len(self.words))
+        if k not in self.alike:
+            self.alike[k] = [len(self.words[k] & w) / (1 + len(self.words[k] | w)) for w in self.words]
+        near = [(x + self.r.random() / 50, i) for i, x in enumerate(self.alike[k])]
         self.order = [i for _, i in sorted(near, reverse=True)]
         self.at, self.left = 0, []
 
