@@ -29,7 +29,7 @@ class Builder:
             self.alike[k] = [len(self.words[k] & w) / (1 + len(self.words[k] | w)) for w in self.words]
         near = [(x + self.r.random() / 50, i) for i, x in enumerate(self.alike[k])]
         self.order = [i for _, i in sorted(near, reverse=True)]
-        self.at, self.left = 0, []
+        self.at, self.left, self.bare = 0, [], self.r.random() < 0.5
 
     def sentence(self) -> str:
         if not self.left:
@@ -39,7 +39,9 @@ class Builder:
         return self.left.pop()
 
     def phrase(self) -> str:
+        """One to three words of a sentence; in half of the documents long ones alone, as entries often have no small words."""
         w = _LETTERS.findall(self.sentence())
+        w = [x for x in w if len(x) >= 5] or w if self.bare else w
         k = self.r.choice((1, 1, 2, 2, 3))
         i = self.r.randrange(max(1, len(w) - k))
         name = f" {self.r.choice('«“')}{self.r.choice(w)}{self.r.choice('»”')}" if self.r.random() < 0.1 else ""
