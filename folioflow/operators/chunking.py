@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECTION_DDL = "array<struct<level:int,title:string,path_titles:array<string>,section_order:int,paragraphs:array<string>>>"
@@ -47,8 +49,14 @@ def markdown_sections(text: str | None) -> list[tuple[int, str | None, list[str]
 
 
 def sections(documents: DataFrame, key: str, text: str) -> DataFrame:
-    split = F.udf(markdown_sections, SECTION_DDL, useArrow=True)
-    return documents.select(key, F.explode(split(F.col(text))).alias("s")).select(key, "s.*")
+    fields = ("level", "title", "path_titles", "section_order", "paragraphs")
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("title", pa.string()), ("path_titles", pa.list_(pa.string())), ("section_order", pa.int32()), ("paragraphs", pa.list_(pa.string()))]))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([[dict(zip(fields, x, strict=True)) for x in markdown_sections(t)] for t in b.to_pylist()], kind)
+
+    return documents.select(key, F.explode(F.arrow_udf(run, SECTION_DDL)(F.col(text))).alias("s")).select(key, "s.*")
 
 
 def units(sections_: DataFrame, key: str) -> DataFrame:
@@ -124,8 +132,12 @@ def pack_paragraphs(paragraphs: list[str] | None, target: int = 1000, most: int
 
 def section_chunks(sections_: DataFrame, key: str, **sizes: int) -> DataFrame:
     """Chunks with part_n and part_of; no chunk crosses a section."""
-    pack = F.udf(lambda ps: pack_paragraphs(ps, **sizes), "array<string>", useArrow=True)
-    rows = sections_.withColumn("parts", pack("paragraphs"))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([pack_paragraphs(ps, **sizes) for ps in b.to_pylist()], pa.list_(pa.string()))
+
+    rows = sections_.withColumn("parts", F.arrow_udf(run, "array<string>")("paragraphs"))
     return rows.select(key, "section_order", "level", "path_titles", F.posexplode("parts").alias("i", "text"), F.size("parts").alias("part_of")).withColumn("part_n", F.col("i") + 1).drop("i")
 
 
@@ -156,6 +168,16 @@ def char_chunks(text: str | None, target: int = 900, most: int = 1600, least: in
     return out
 
 
+def char_chunks_of(text: Column) -> Column:
+    """char_chunks of a column of texts, in batches."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([char_chunks(t) for t in b.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(text)
+
+
 def chunk_id(path: str, chapter: int, index: int, text: str) -> str:
     h = hashlib.sha1(f"{path}|{chapter}|{index}|{text[:64]}".encode(), usedforsecurity=False).hexdigest()
     return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}"

@@ -247,8 +247,7 @@ def section_chunks(s: Spark, d: str) -> DataFrame:
 
 @query("char_chunks")
 def char_chunks(s: Spark, d: str) -> DataFrame:
-    cut = F.udf(K.char_chunks, "array<string>", useArrow=True)
-    rows = table(s, d, "documents").select("doc_id", F.posexplode(cut("text")).alias("i", "text"))
+    rows = table(s, d, "documents").select("doc_id", F.posexplode(K.char_chunks_of(F.col("text"))).alias("i", "text"))
     return rows.withColumn("id", F.sha1(F.concat_ws("|", "doc_id", "i", F.substring("text", 1, 64))))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def local_session(app: str = "folioflow", cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -51,14 +52,25 @@ def cut(df: DataFrame) -> DataFrame:
 
     This cuts lineage like checkpoint(), survives the loss of executors, and keeps
     the columns compressed and prunable. Parts that read the result several times
-    do not compute it again.
+    do not compute it again. The tables stay until release() is called.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioflow/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that cut() has written in this process and say how many; what reads them must be done by then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list[Row]:
     """Rows of a relation that must be small; raises instead of truncating when it is not."""
     rows = df.limit(max_rows + 1).collect()

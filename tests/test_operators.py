@@ -435,3 +435,13 @@ def test_api(spark, tmp_path):
     (tmp_path / "md" / "b.md").write_text("no front matter")
     made = api.catalogue_from_files(spark, f"{tmp_path}/md").collect()
     assert [(r.id, r.title, r.year, r.tags) for r in made] == [("1", "T", 1999, "x,y")]
+
+
+def test_cut_tables_are_released(spark):
+    from folioflow import session
+
+    df = session.cut(spark.range(3))
+    path = session._WRITTEN[-1]
+    assert df.count() == 3 and session.release(spark) >= 1 and not session._WRITTEN
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(path)
