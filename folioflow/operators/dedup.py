@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,25 +239,81 @@ def components(pairs: DataFrame) -> DataFrame:
             return state
 
 
+#: Words of 64 bits in the bitmap of lines that are compared; it is bounded and only spares reading, any line may pass it.
+SCREEN_WORDS = 1 << 18
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Integers of 64 bits, scattered."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def part_hashes(sets: pa.ListArray, threshold: float) -> pa.ListArray:
+    """Hashes of which any two different sets more alike (Jaccard) than threshold share one; sets are of hashed tokens.
+
+    Sizes fall into classes by powers of 1 / threshold, so that partners are of one class or of neighbouring ones. Partners with at most
+    r tokens each differ in at most d = 2 r (1 - threshold) / (1 + threshold) tokens, so when all tokens are dealt to d + 1 parts by their
+    hash, one part is equal in both. A set is hashed for its own class and, as the smaller partner, for the next one.
+    """
+    sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    tokens = sets.flatten().to_numpy().view(np.uint64)
+    like = min(threshold, 1 - 1e-6)
+    own = np.floor(np.log(np.maximum(sizes, 1)) / -np.log(like))
+    tags = np.stack([own, own + 1], axis=1)
+    most = np.floor(like ** -(tags + 1) + 1e-6)
+    differ = np.floor(2 * most * (1 - like) / (1 + like) + 1e-9).astype(np.int64)
+    # where partners can't differ they are equal, and need no hashes
+    parts = np.where((differ > 0) & (sizes > 0)[:, None], differ + 1, 0)
+    starts = np.concatenate([[0], np.cumsum(parts.ravel())])
+    out = np.zeros(starts[-1], np.uint64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    for t in (0, 1):
+        n = parts[row, t]
+        dealt = n > 0
+        slot = starts[:-1].reshape(-1, 2)[row[dealt], t] + (tokens[dealt] % n[dealt].astype(np.uint64)).astype(np.int64)
+        np.bitwise_xor.at(out, slot, tokens[dealt])
+    part = np.arange(len(out)) - np.repeat(starts[:-1], parts.ravel())
+    tag = np.repeat(tags.ravel(), parts.ravel()).astype(np.int64)
+    out = _mixed(out ^ _mixed((tag << 32 | part).astype(np.uint64) + np.uint64(1)))
+    return pa.ListArray.from_arrays(pa.array(starts[::2], pa.int32()), pa.array(out.view(np.int64)))
+
+
 def greedy_tiers(lines: DataFrame, threshold: float = 0.92, key: str = "line_id", tier: str = "tier", text: str = "text") -> DataFrame:
     """Lines that survive greedy deduplication inside their tier: a line falls when an earlier kept line is more similar than threshold.
 
-    Only lines with a partner above the threshold can fall. Candidate pairs come from a join on rare tokens (prefix filter), so
-    the ordered fold per tier sees only rows that have partners; all other lines pass untouched.
+    Only lines with a partner above the threshold can fall. Lines of the same tokens are one, by a digest; partners of the others share one
+    of their part_hashes, so only those few numbers of a line are shuffled. Tokens are compared for lines that share one with another.
     """
-    t = lines.select(F.col(key).alias("id"), F.coalesce(tier, F.lit("")).alias("tier"), token_set(F.coalesce(text, F.lit(""))).alias("set"))
-    texts = t.groupBy("tier", F.sort_array("set").alias("set")).agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0])
-    copies = texts.filter(F.size("ids") > 1).select(F.explode(F.slice("ids", 2, F.size("ids") - 1)).alias("id"))
-    df_ = texts.select(F.explode("set").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    words = texts.select("tier", "id", F.size("set").alias("n"), F.explode("set").alias("w")).join(df_, "w")
-    rank = F.row_number().over(Window.partitionBy("tier", "id").orderBy("df", "w"))
-    prefix = words.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).filter("df > 1").select("tier", "id", "n", "w")
-    a = prefix.select("tier", "w", F.col("id").alias("a"), F.col("n").alias("na"))
-    b = prefix.select("tier", "w", F.col("id").alias("b"), F.col("n").alias("nb"))
-    cand = a.join(b, ["tier", "w"]).filter(F.col("a") < F.col("b")).filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("tier", "a", "b").distinct()
-    sets = texts.select("id", "set")
-    near = cand.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    near = near.filter(F.size(F.array_intersect("sa", "sb")) > threshold * F.size(F.array_union("sa", "sb"))).select("tier", "a", "b")
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0")
+
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield part_hashes(b, threshold)
+
+    t = lines.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(tier, F.lit("")).alias("tier"), F.coalesce(text, F.lit("")).alias("text"))
+    sets = t.select("id", "tier", token_set(F.col("text")).alias("set"))
+    short = sets.select("id", "tier", F.unhex(F.sha2(F.concat_ws(" ", F.sort_array("set")), 256)).alias("same"), F.transform("set", lambda w: F.xxhash64(w)).alias("set"))
+    short = short.select("id", "tier", "same", F.arrow_udf(hashed, "array<bigint>")("set").alias("parts"))
+    first = F.row_number().over(Window.partitionBy("tier", "same").orderBy("id")) == 1
+    short = short.withColumn("first", first)
+    short = cut(short.select("id", "first", F.when(F.col("first"), F.transform("parts", lambda h: F.xxhash64("tier", h))).alias("parts")))
+    copies = short.filter("NOT first").select("id")
+    shared = short.filter("first").select("id", F.explode("parts").alias("h")).withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1")
+    shared = cut(shared.select("h", "id"))
+    cand = shared.select("h", F.col("id").alias("a")).join(shared.select("h", F.col("id").alias("b")), "h").filter("a < b").select("a", "b").distinct()
+    # only lines that may be compared are read again with their text
+    bit = F.pmod(F.xxhash64("id"), F.lit(SCREEN_WORDS * 64))
+    screen = shared.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit"))
+    screen = screen.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    again = t.withColumns({"word": F.shiftright(bit, 6), "bit": F.pmod(bit, F.lit(64)).cast("int")}).join(F.broadcast(screen), "word")
+    again = again.filter(F.getbit("bits", "bit") == 1).select("id", "tier", token_set(F.col("text")).alias("set"))
+    left = again.select(F.col("id").alias("a"), "tier", F.col("set").alias("sa"))
+    right = again.select(F.col("id").alias("b"), F.col("tier").alias("tb"), F.col("set").alias("sb"))
+    near = cand.join(left, "a").join(right, "b").filter("tier = tb")
+    near = cut(near.filter(F.size(F.array_intersect("sa", "sb")) > threshold * F.size(F.array_union("sa", "sb"))).select("tier", "a", "b"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         fallen: set = set()
@@ -274,7 +333,6 @@ def idea_clusters(ideas: DataFrame, threshold: float = 0.92, group: str = "book_
 
     A fold over one group's ideas (those of a book), inherently sequential; groups run in parallel.
     """
-    import numpy as np
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sums: list[np.ndarray] = []

@@ -1,6 +1,7 @@
 """Operators of the core against transcribed cases, brute force and SQL."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -104,6 +105,32 @@ def test_greedy_tiers(spark):
     assert sorted(r.line_id for r in dedup.greedy_tiers(df).collect()) == [1, 3, 4, 5, 6]
 
 
+def shuffled(spark):
+    """Bytes that the session's stages have written for shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_greedy_tiers_shuffles_less_than_its_texts(spark, tmp_path):
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(300)]
+    rows, kept = [], {"a": [], "b": []}
+    for i in range(3000):
+        text = rnd.choice(rows)[2].split() if rows and rnd.random() < 0.1 else rnd.choices(words, k=rnd.choice([1, 5, 12, 30, 45, 60, 100]))
+        for _ in range(rnd.choice([0, 0, 1, 2, 3, 5])):
+            text[rnd.randrange(len(text))] = rnd.choice(words)
+        rows.append((i, rnd.choice("ab"), " ".join(text)))
+        if not any(len(k & set(text)) > 0.92 * len(k | set(text)) for _, k in kept[rows[-1][1]]):
+            kept[rows[-1][1]].append((i, set(text)))
+    spark.createDataFrame(rows, "line_id bigint, tier string, text string").write.parquet(f"{tmp_path}/lines")
+    before = shuffled(spark)
+    assert sorted(r.line_id for r in dedup.greedy_tiers(spark.read.parquet(f"{tmp_path}/lines")).collect()) == sorted(i for k in kept.values() for i, _ in k)
+    assert 0 < shuffled(spark) - before < sum(len(text) for _, _, text in rows)
+
+
 def test_idea_clusters(spark):
     rows = [("b", i, v) for i, v in enumerate([[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.99, 0.05, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]])]
     df = spark.createDataFrame(rows, "book_id string, seq int, embedding array<double>")
