@@ -1,5 +1,7 @@
 """Edge cases of the operators as DataFrames: nulls, empty tables, repeated rows, clashing columns."""
 
+import re
+
 from pyspark.sql import Row
 
 from folioflow.llm import encoding, language, mixing, names, overlap, packing, pairs, quality, splitting
@@ -68,6 +70,15 @@ def test_names_edges(spark):
     assert names.linked(names.entities(df.limit(0), forms)).count() == 0
 
 
+def test_index_of_deletions_is_not_broadcast(spark, monkeypatch):
+    mains = names.cut(spark.createDataFrame([("person", "shufelobrord", 3), ("person", "shufelobrort", 1), ("person", "zubova", 1)], "kind string, main string, n bigint"))
+    plans, cut = [], names.cut
+    monkeypatch.setattr(names, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    assert {(r.main, r.root) for r in names.canonical_mains(mains).collect()} == {("shufelobrord", "shufelobrord"), ("shufelobrort", "shufelobrord"), ("zubova", "zubova")}
+    by_deletion = [x for p in plans for x in re.findall(r"(\w+Join) \[kind#\d+, v#\d+\]", p)]
+    assert by_deletion and set(by_deletion) == {"SortMergeJoin"}
+
+
 def test_pairs_edges(spark):
     chats = spark.createDataFrame([(1, [("user", "q"), ("assistant", None)]), (2, None), (3, [("user", None)])], "line_id bigint, messages array<struct<role string, content string>>")
     assert sorted((r.record_no, r.pair_no) for r in pairs.pairs_of_chats(chats).collect()) == [(1, 1), (3, 1)]
